@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import calendar
 from stallwise.functions.labels import lookup, ordinal
+from stallwise.functions.numeric import half_up
 from stallwise.operators.ranking import uniform_thresholds
 from stallwise.sources.schemas import TRAFFIC_ORDINAL, WEATHER_ORDINAL
 from stallwise.sources.staging import stage
@@ -33,7 +34,7 @@ def order_time_features(orders: DataFrame) -> DataFrame:
 
 
 def surge_pricing(orders: DataFrame, high_traffic: str = "High", rain: str = "Rain") -> DataFrame:
-    """Add surge factor, listed price and revenue. Needs the peak flag."""
+    """Add surge factor, listed price and revenue, money to the cent. Needs the peak flag."""
 
     def when(condition: Column, share: float) -> Column:
         return F.when(condition, F.lit(share)).otherwise(F.lit(0.0))
@@ -44,11 +45,12 @@ def surge_pricing(orders: DataFrame, high_traffic: str = "High", rain: str = "Ra
         + when(F.col("traffic") == high_traffic, SURGE_TRAFFIC)
         + when(F.col("weather") == rain, SURGE_WEATHER)
     )
-    discounted = F.col("listed_price") * (F.lit(1.0) - F.col("discount_pct"))
+    price = F.col("basket_value") * F.col("surge")
+    paid = half_up(price * (F.lit(1.0) - F.col("discount_pct")), 2)
     return (
         orders.withColumn("surge", surge)
-        .withColumn("listed_price", F.col("basket_value") * F.col("surge"))
-        .withColumn("revenue", F.when(F.col("delivered") == 1, discounted).otherwise(F.lit(0.0)))
+        .withColumn("listed_price", half_up(price, 2))
+        .withColumn("revenue", F.when(F.col("delivered") == 1, paid).otherwise(F.lit(0.0)))
     )
 
 

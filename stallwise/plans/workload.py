@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,16 +80,10 @@ def _funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 def _funnel_scoped(spark: SparkSession, sf: str) -> DataFrame:
     events = src.session_events(spark, sf)
-    week = Scope("custom", *map(_date, ("2024-01-08", "2024-01-14")))
+    week = Scope("custom", date(2024, 1, 8), date(2024, 1, 14))
     return funnel.event_funnel(week.apply(events, week.bounds(events, "event_ts"), ts="event_ts"), src.FUNNEL)
 
 
-def _date(text: str):
-    from datetime import date
-
-    return date.fromisoformat(text)
-
-
 def _cohort_activity(spark: SparkSession, sf: str) -> DataFrame:
     return retention.cohort_activity(LAST_90.filter(src.order_facts(spark, sf)))
 
@@ -115,9 +110,8 @@ def _surge(spark: SparkSession, sf: str) -> DataFrame:
     timed = features.order_time_features(src.order_facts(spark, sf, weather=True))
     priced = features.surge_pricing(timed, src.HIGH_TRAFFIC, src.RAIN)
     return rounded(
-        priced.select("order_id", "hour", "weekend", "peak", "surge", "listed_price", "revenue"),
-        "surge", "listed_price", "revenue", places=4,
-    )
+        priced.select("order_id", "hour", "weekend", "peak", "surge", "listed_price", "revenue"), "surge", places=4
+    )
 
 
 def _penalties(spark: SparkSession, sf: str) -> DataFrame:
