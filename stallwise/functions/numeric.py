@@ -36,8 +36,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def half_up(value: Column | str, places: int) -> Column:
-    """Round half away from zero on the decimal digits, not on the binary double."""
-    return F.round(col(value).cast("decimal(28,10)"), places).cast("double")
+    """Round half away from zero on the decimal digits, not on the binary double.
+
+    Six decimals absorb the noise of double arithmetic before the rounding.
+    """
+    return F.round(col(value).cast("decimal(28,6)"), places).cast("double")
 
 
 def clip(value: Column | str, low: float, high: float) -> Column:

@@ -145,6 +145,7 @@ def _span(days: int) -> str:
                  FROM edge)"""
 
 
+SNAPSHOT = ("orders", "gmv", "aov", "cancel", "delivery", "sla")
 NOW = "order_ts::DATE BETWEEN a AND b"
 BEFORE = "order_ts::DATE >= p AND order_ts::DATE < a"
 ASIA = " AND traffic = '1-URGENT' AND restaurant_id IN (SELECT restaurant_id FROM places WHERE cuisine = 'ASIA')"
@@ -156,12 +157,14 @@ def _comparison(days: int, extra: str = "") -> str:
         + [f"{k} - prev_{k} AS {k}_delta_pp" for k in ("cancel", "delivery", "sla")]
     ).replace("orders::DOUBLE / nullif(prev_orders::DOUBLE, 0)", "orders::DOUBLE / nullif(prev_orders, 0)")
     changes = changes.replace("orders::DOUBLE_delta_pct", "orders_delta_pct")
+    kept = ", ".join(f"CASE WHEN n > 0 THEN prev_{k} END AS prev_{k}" for k in SNAPSHOT)
     return _with(
         "facts", "places", _span(days),
         f"""
         SELECT *, {changes}
-        FROM ({_snapshot(NOW + extra, "")}) CROSS JOIN ({_snapshot(BEFORE + extra, "prev_")})""",
-    )
+        FROM ({_snapshot(NOW + extra, "")})
+        CROSS JOIN (SELECT {kept} FROM (SELECT *, prev_orders AS n FROM ({_snapshot(BEFORE + extra, "prev_")})))""",
+    )
 
 
 def _cohort(start: str, number: str, names: tuple[str, str, str]) -> str:
@@ -215,10 +218,10 @@ ORACLE: dict[str, str] = {
         "facts",
         """
         SELECT count(*) AS orders, sum(delivered)::BIGINT AS delivered_orders,
-               round((1e2 * avg(delivered))::DECIMAL(28, 10), 2)::DOUBLE AS delivery_rate_pct,
-               round((1e2 * avg(cancelled))::DECIMAL(28, 10), 2)::DOUBLE AS cancellation_rate_pct,
-               round(avg(eta_minutes)::DECIMAL(28, 10), 2)::DOUBLE AS avg_eta_minutes,
-               round((sum(paid)::DOUBLE / 1e2 / count(*))::DECIMAL(28, 10), 2)::DOUBLE AS revenue_per_order,
+               round((1e2 * avg(delivered))::DECIMAL(28, 6), 2)::DOUBLE AS delivery_rate_pct,
+               round((1e2 * avg(cancelled))::DECIMAL(28, 6), 2)::DOUBLE AS cancellation_rate_pct,
+               round(avg(eta_minutes)::DECIMAL(28, 6), 2)::DOUBLE AS avg_eta_minutes,
+               round((sum(paid)::DOUBLE / 1e2 / count(*))::DECIMAL(28, 6), 2)::DOUBLE AS revenue_per_order,
                sum(paid)::DOUBLE / 1e2 AS total_revenue
         FROM facts""",
     ),
@@ -294,9 +297,9 @@ ORACLE: dict[str, str] = {
     "restaurant_performance": _with(
         "card",
         """
-        SELECT restaurant_id, cuisine, round(rating::DECIMAL(28, 10), 2)::DOUBLE AS rating, orders,
-               round(avg_eta::DECIMAL(28, 10), 2)::DOUBLE AS avg_eta,
-               round(cancellation_rate::DECIMAL(28, 10), 2)::DOUBLE AS cancellation_pct, gmv AS revenue
+        SELECT restaurant_id, cuisine, round(rating::DECIMAL(28, 6), 2)::DOUBLE AS rating, orders,
+               round(avg_eta::DECIMAL(28, 6), 2)::DOUBLE AS avg_eta,
+               round(cancellation_rate::DECIMAL(28, 6), 2)::DOUBLE AS cancellation_pct, gmv AS revenue
         FROM card""",
     ),
     "top3_restaurants_by_cuisine": _with(
@@ -310,9 +313,9 @@ ORACLE: dict[str, str] = {
     "restaurant_top30": _with(
         "card",
         """
-        SELECT restaurant_id, cuisine, orders, round(gmv::DECIMAL(28, 10), 0)::DOUBLE AS gmv,
-               round(avg_eta::DECIMAL(28, 10), 1)::DOUBLE AS avg_eta,
-               round(cancellation_rate::DECIMAL(28, 10), 1)::DOUBLE AS cancellation_rate, rating, status
+        SELECT restaurant_id, cuisine, orders, round(gmv::DECIMAL(28, 6), 0)::DOUBLE AS gmv,
+               round(avg_eta::DECIMAL(28, 6), 1)::DOUBLE AS avg_eta,
+               round(cancellation_rate::DECIMAL(28, 6), 1)::DOUBLE AS cancellation_rate, rating, status
         FROM (SELECT * FROM status ORDER BY status.gmv DESC, restaurant_id LIMIT 30)""",
     ),
     "top_n_restaurants": _with(
@@ -498,8 +501,8 @@ ORACLE: dict[str, str] = {
         "facts",
         """
         SELECT order_id, 0::INT AS hour, (isodow(order_ts) > 5)::INT AS weekend, 0::INT AS peak,
-               round(surge, 4) AS surge, round((basket_value * surge)::DECIMAL(28, 10), 2)::DOUBLE AS listed_price,
-               CASE WHEN delivered = 1 THEN round((basket_value * surge * (1 - discount_pct))::DECIMAL(28, 10), 2)::DOUBLE
+               round(surge, 4) AS surge, round((basket_value * surge)::DECIMAL(28, 6), 2)::DOUBLE AS listed_price,
+               CASE WHEN delivered = 1 THEN round((basket_value * surge * (1 - discount_pct))::DECIMAL(28, 6), 2)::DOUBLE
                     ELSE 0 END AS revenue
         FROM (SELECT *, 1 + 0.07::DOUBLE * (traffic = '1-URGENT')::INT + 0.05::DOUBLE * (weather = 'MACHINERY')::INT
                      AS surge FROM facts)""",
