@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions import measures as M
 from stallwise.functions.numeric import cents, money
-from stallwise.operators.ranking import uniform_thresholds, with_tiles
+from stallwise.operators.ranking import values_at, with_tiles
 from stallwise.sources.staging import stage
 
 
@@ -69,12 +69,10 @@ def customer_segments(orders: DataFrame) -> DataFrame:
     )
     customers = stage(base, "customers")
     # The median lies between the two middle ranks; doubling keeps it whole cents.
-    rows = customers.agg(F.count("revenue_cents")).first()[0]
-    low, high = uniform_thresholds(customers, "revenue_cents", [(rows + 1) // 2, rows // 2 + 1])
+    middle = values_at(customers, "revenue_cents", lambda rows: [(rows + 1) // 2, rows // 2 + 1] if rows else [])
     n = F.col("orders")
-    twice_median = F.lit(None) if low is None else F.lit(low + high)
     segment = (
-        F.when((n >= 4) & (F.col("revenue_cents") * 2 >= twice_median.cast("long")), "Loyal high-value")
+        F.when((n >= 4) & (F.col("revenue_cents") * 2 >= F.lit(sum(middle))), "Loyal high-value")
         .when(n.between(2, 3), "Repeat")
         .when(n == 1, "New / one-time")
         .otherwise("Occasional")

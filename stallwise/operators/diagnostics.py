@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions import measures as M
 from stallwise.functions.numeric import money, ratio
-from stallwise.operators.scope import Period, Scope, period_totals
+from stallwise.operators.scope import Scope, period_totals
 
 
 def top_n_restaurants(orders: DataFrame, n: int = 10) -> DataFrame:
@@ -64,9 +64,7 @@ def rate_change_contribution(orders: DataFrame, column: str, scope: Scope = Scop
     rate moved).
     """
     current = scope.bounds(orders)
-    rows = scope.apply(orders, Period(current.previous().first, current.last)).withColumn(
-        "now", F.col("order_ts") >= current.first.cast("timestamp_ntz")
-    )
+    rows = scope.apply(orders, current.with_previous()).withColumn("now", current.contains("order_ts"))
     cancelled = F.col("cancelled") == 1
     # One row per segment in both periods together reaches the window below.
     n1, n0 = F.sum("n1").over(Window.partitionBy()), F.sum("n0").over(Window.partitionBy())

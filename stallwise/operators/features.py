@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions.labels import lookup, ordinal
 from stallwise.functions.numeric import half_up
-from stallwise.operators.ranking import uniform_thresholds
+from stallwise.operators.ranking import Probe, order_statistics, values_at
 from stallwise.sources.schemas import TRAFFIC_ORDINAL, WEATHER_ORDINAL
 from stallwise.sources.staging import stage
 
@@ -112,13 +112,15 @@ def train_test_split(
     row. With ``stratify`` (a column of few classes) every class gives its share.
     """
     staged = stage(rows.withColumn("split_key", split_key(key, seed)), "split")
-    counts = staged.groupBy(stratify).count().collect() if stratify else [(None, staged.count())]
-    in_test = F.lit(False)
-    for label, size in counts:
-        members = staged.filter(F.col(stratify).eqNullSafe(F.lit(label))) if stratify else staged
-        take = round(test_share * size) if stratify else math.ceil(test_share * size)
-        limit = uniform_thresholds(members, "split_key", [take])[0]
-        if limit is not None:
-            chosen = F.col("split_key") <= F.lit(limit)
-            in_test = in_test | (chosen & F.col(stratify).eqNullSafe(F.lit(label)) if stratify else chosen)
+    if stratify is None:
+        cut = values_at(staged, "split_key", lambda rows: [math.ceil(test_share * rows)] if rows else [])
+        in_test = F.col("split_key") <= F.lit(cut[0]) if cut else F.lit(False)
+    else:
+        in_test = F.lit(False)
+        classes = [row[0] for row in staged.select(stratify).distinct().collect()]
+        members = [F.col(stratify).eqNullSafe(F.lit(c)) for c in classes]
+        probes = [Probe(staged.filter(m), "split_key", lambda rows: [round(test_share * rows)]) for m in members]
+        for member, (_, found) in zip(members, order_statistics(probes)):
+            for at in found.values():
+                in_test = in_test | (member & (F.col("split_key") <= F.lit(at.value)))
     return staged.withColumn("is_test", in_test).drop("split_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.numeric import col
+from stallwise.functions.numeric import clip, col
 
 # Elasticity, lowest price ratio the demand curve is used for, and grid size.
 ELASTICITY = -1.15
@@ -18,16 +18,26 @@ def demand_multiplier(price: Column | str, reference_price: Column | str, elasti
     return F.pow(F.greatest(col(price) / col(reference_price), F.lit(LOWEST_RATIO)), F.lit(elasticity))
 
 
-def _candidate(step: Column, min_margin: Column, max_change: float, steps: int) -> dict[str, Column]:
-    """Price at a grid step. Where the whole grid is under the margin floor, the floor is the only price."""
+def _grid(min_margin: Column, max_change: float, steps: int) -> dict[str, Column]:
+    """Ends and step of the price grid, the margin floor, and whether the whole grid is below it."""
     reference = F.col("reference_price")
     low, high = reference * F.lit(1 - max_change), reference * F.lit(1 + max_change)
     floor = F.col("unit_cost") / (F.lit(1.0) - min_margin)
-    on_grid = F.when(step == steps - 1, high).otherwise(low + step * ((high - low) / F.lit(float(steps - 1))))
-    none_feasible = high < floor
     return {
-        "price": F.when(none_feasible, floor).otherwise(on_grid),
-        "feasible": F.when(none_feasible, step == 0).otherwise(on_grid >= floor),
+        "low": low,
+        "high": high,
+        "width": (high - low) / F.lit(float(steps - 1)),
+        "floor": floor,
+        "none_feasible": high < floor,
+    }
+
+
+def _candidate(step: Column, grid: dict[str, Column], steps: int) -> dict[str, Column]:
+    """Price at a grid step. Where the whole grid is under the margin floor, the floor is the only price."""
+    on_grid = F.when(step == steps - 1, grid["high"]).otherwise(grid["low"] + step * grid["width"])
+    return {
+        "price": F.when(grid["none_feasible"], grid["floor"]).otherwise(on_grid),
+        "feasible": F.when(grid["none_feasible"], step == 0).otherwise(on_grid >= grid["floor"]),
     }
 
 
@@ -48,7 +58,7 @@ def price_grid(
     ``products`` has reference_price, base_demand and unit_cost; the margin may
     be a number or the name of a column.
     """
-    candidate = _candidate(F.col("step"), _margin(min_margin), max_change, steps)
+    candidate = _candidate(F.col("step"), _grid(_margin(min_margin), max_change, steps), steps)
     return (
         products.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
         .select("*", *(value.alias(name) for name, value in candidate.items()))
@@ -74,14 +84,25 @@ def optimize_price(
 ) -> DataFrame:
     """The feasible price with the greatest contribution, the lowest one on ties.
 
-    The grid of a product lives in its own row and is searched there, so products
-    are never shuffled.
+    Contribution rises up to a single price and falls after it (it only rises when
+    demand is inelastic), so the best grid point is next to that price or to the
+    end of the feasible range. Only those few points are priced, in the product's
+    own row: no grid is expanded and no product is shuffled.
     """
+    grid = _grid(_margin(min_margin), max_change, steps)
+    reference, last = F.col("reference_price"), F.lit(steps - 1)
+    if elasticity < -1:
+        peak = F.greatest(
+            F.col("unit_cost") * F.lit(elasticity / (1 + elasticity)), reference * F.lit(LOWEST_RATIO), grid["floor"]
+        )
+    else:
+        peak = grid["high"]
+    nearest = F.floor(clip((peak - grid["low"]) / grid["width"], 0.0, float(steps - 1))).cast("int")
 
     def offer(step: Column) -> Column:
-        candidate = _candidate(step, _margin(min_margin), max_change, steps)
+        candidate = _candidate(step, grid, steps)
         price = candidate["price"]
-        demand = F.col("base_demand") * demand_multiplier(price, "reference_price", elasticity)
+        demand = F.col("base_demand") * demand_multiplier(price, reference, elasticity)
         return F.struct(
             candidate["feasible"].alias("feasible"),
             ((price - F.col("unit_cost")) * demand).alias("contribution"),
@@ -90,12 +111,17 @@ def optimize_price(
             (price * demand).alias("revenue"),
         )
 
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), offer)
+    # One step either way covers rounding in the division.
+    around = [F.greatest(F.lit(0), F.least(last, F.col("nearest") + d)) for d in (-1, 0, 1, 2)]
     best = F.col("best")
-    return products.select(key, F.array_max(grid).alias("best")).select(
-        key,
-        (-best["negative_price"]).alias("recommended_price"),
-        best["demand"].alias("expected_demand"),
-        best["revenue"].alias("expected_revenue"),
-        best["contribution"].alias("expected_contribution"),
+    return (
+        products.withColumn("nearest", F.when(grid["none_feasible"], F.lit(0)).otherwise(nearest))
+        .select(key, F.greatest(*map(offer, around)).alias("best"))
+        .select(
+            key,
+            (-best["negative_price"]).alias("recommended_price"),
+            best["demand"].alias("expected_demand"),
+            best["revenue"].alias("expected_revenue"),
+            best["contribution"].alias("expected_contribution"),
+        )
     )

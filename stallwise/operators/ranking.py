@@ -11,7 +11,7 @@ values always share a group, so hot values cost nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,27 +26,29 @@ _EXACT_DOUBLE = 1 << 53
 class Probe:
     """Ranks (from 1, in ascending order of ``column``) to look up in ``frame``.
 
-    ``column`` is a long or double; nulls and NaN have no rank.
+    ``ranks`` gets the number of ranked rows and names the wanted ones. ``column``
+    is a long or double; nulls and NaN have no rank.
     """
 
     frame: DataFrame
     column: str
-    ranks: Sequence[int]
+    ranks: Callable[[int], Sequence[int]]
 
-    def values(self) -> DataFrame:
-        kind = self.frame.schema[self.column].dataType.simpleString()
-        if kind not in ("bigint", "double"):
-            raise TypeError(f"rank over bigint or double, not {kind} ({self.column})")
-        value = F.col(self.column)
-        ranked = value.isNotNull() if self.integral else value.isNotNull() & ~F.isnan(value)
-        return self.frame.filter(ranked).select(value.alias("v"))
+    def __post_init__(self) -> None:
+        if self._kind not in ("bigint", "double"):
+            raise TypeError(f"rank over bigint or double, not {self._kind} ({self.column})")
 
     @property
-    def integral(self) -> bool:
-        return self.frame.schema[self.column].dataType.simpleString() == "bigint"
+    def _kind(self) -> str:
+        return self.frame.schema[self.column].dataType.simpleString()
+
+    def value(self) -> Column:
+        """The column with null for every value that has no rank."""
+        value = F.col(self.column)
+        return value if self._kind == "bigint" else F.when(~F.isnan(value), value)
 
     def parse(self, text: str) -> int | float:
-        return int(text) if self.integral else float(text)
+        return int(text) if self._kind == "bigint" else float(text)
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ def _histogram(index: int, probe: Probe, spans: list[_Span], buckets: int) -> Da
         F.when(_within(spans[0]), _bucket(spans[0], buckets)),
     )
     counted = (
-        probe.values()
+        probe.frame.select(probe.value().alias("v"))
         .select("v", slot.alias("slot"), place.alias("bucket"))
         .filter(F.col("slot").isNotNull())
         .groupBy("slot", "bucket")
@@ -119,30 +121,44 @@ def _histogram(index: int, probe: Probe, spans: list[_Span], buckets: int) -> Da
     )
 
 
-def _extent(index: int, probe: Probe) -> DataFrame:
-    return probe.values().agg(
-        F.lit(index).alias("probe"),
-        F.count(F.lit(1)).alias("rows"),
-        F.min("v").cast("string").alias("lo"),
-        F.max("v").cast("string").alias("hi"),
-    )
-
-
-def order_statistics(probes: Sequence[Probe], buckets: int = BUCKETS) -> list[dict[int, Found]]:
-    """Exact values at the wanted ranks, one dict per probe; ranks beyond the rows are left out.
-
-    The frames are read once per pass and must not change between passes: stage
-    them first. Only one row per wanted rank comes back to the driver.
+def _extents(probes: Sequence[Probe]) -> list[tuple[int, str | None, str | None]]:
+    """Ranked rows, least and greatest value of each probe; probes of one frame share a scan."""
+    frames = list({id(p.frame): p.frame for p in probes}.values())
+    parts = []
+    for frame in frames:
+        members = [(i, p) for i, p in enumerate(probes) if p.frame is frame]
+        sums = []
+        for i, p in members:
+            v = p.value()
+            sums.append(
+                F.struct(
+                    F.lit(i).alias("probe"),
+                    F.count(v).alias("rows"),
+                    F.min(v).cast("string").alias("lo"),
+                    F.max(v).cast("string").alias("hi"),
+                )
+            )
+        parts.append(frame.agg(F.array(*sums).alias("found")).select(F.inline("found")))
+    by_probe = {row.probe: row[1:] for row in reduce(DataFrame.unionByName, parts).collect()}
+    return [by_probe[i] for i in range(len(probes))]
+
+
+def order_statistics(probes: Sequence[Probe], buckets: int = BUCKETS) -> list[tuple[int, dict[int, Found]]]:
+    """Ranked rows of each probe and the exact values at its wanted ranks.
+
+    Ranks beyond the rows are left out. The frames are read once per pass and
+    must not change between passes: stage them first. Only one row per wanted
+    rank comes back to the driver.
     """
-    found: list[dict[int, Found]] = [{} for _ in probes]
     if not probes:
-        return found
+        return []
+    found: list[dict[int, Found]] = [{} for _ in probes]
     open_spans: dict[int, list[_Span]] = {}
-    for row in reduce(DataFrame.unionByName, [_extent(i, p) for i, p in enumerate(probes)]).collect():
-        probe = probes[row.probe]
-        ranks = tuple(sorted({r for r in probe.ranks if 1 <= r <= row.rows}))
+    extents = _extents(probes)
+    for index, (probe, (rows, lo, hi)) in enumerate(zip(probes, extents)):
+        ranks = tuple(sorted({r for r in probe.ranks(rows) if 1 <= r <= rows}))
         if ranks:
-            _settle(found[row.probe], open_spans, row.probe, probe, row, 0, ranks)
+            _settle(found[index], open_spans, index, probe, (lo, hi, rows), 0, ranks)
     while open_spans:
         parts = [_histogram(i, probes[i], spans, buckets) for i, spans in open_spans.items()]
         previous, open_spans = open_spans, {}
@@ -150,34 +166,43 @@ def order_statistics(probes: Sequence[Probe], buckets: int = BUCKETS) -> list[di
             span = previous[row.probe][row.slot]
             below = span.below + row.before
             ranks = tuple(r for r in span.ranks if below < r <= below + row.rows)
-            _settle(found[row.probe], open_spans, row.probe, probes[row.probe], row, below, ranks)
-    return found
+            _settle(found[row.probe], open_spans, row.probe, probes[row.probe], (row.lo, row.hi, row.rows), below, ranks)
+    return [(rows, at) for (rows, _, _), at in zip(extents, found)]
 
 
-def _settle(found, open_spans, index, probe, row, below, ranks) -> None:
+def _settle(found, open_spans, index, probe, extent, below, ranks) -> None:
     """Record a range holding a single value; keep any other for the next pass."""
-    lo, hi = probe.parse(row.lo), probe.parse(row.hi)
+    lo, hi, rows = probe.parse(extent[0]), probe.parse(extent[1]), extent[2]
     if lo == hi:
-        found.update({r: Found(lo, below, row.rows) for r in ranks})
+        found.update({r: Found(lo, below, rows) for r in ranks})
     else:
         open_spans.setdefault(index, []).append(_Span(lo, hi, below, ranks))
 
 
 def interpolated_quantiles(frame: DataFrame, columns: Sequence[str], q: float) -> dict[str, float | None]:
     """Quantile of each column with linear interpolation between neighbours; null without values."""
-    counts = frame.agg(*(F.count(c).alias(c) for c in columns)).first()
-    positions = {c: q * (counts[c] - 1) for c in columns}
-    probes = [Probe(frame, c, [math.floor(positions[c]) + 1, math.ceil(positions[c]) + 1]) for c in columns]
+
+    def around(rows: int) -> list[int]:
+        at = q * (rows - 1)
+        return [math.floor(at) + 1, math.ceil(at) + 1]
+
     limits: dict[str, float | None] = {}
-    for c, probe, values in zip(columns, probes, order_statistics(probes)):
+    for c, (rows, values) in zip(columns, order_statistics([Probe(frame, c, around) for c in columns])):
         if not values:
             limits[c] = None
             continue
-        low, high = (values[r].value for r in probe.ranks)
-        limits[c] = low + (high - low) * (positions[c] - math.floor(positions[c]))
+        low, high = (values[r].value for r in around(rows))
+        at = q * (rows - 1)
+        limits[c] = low + (high - low) * (at - math.floor(at))
     return limits
 
 
+def values_at(frame: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> list[int | float]:
+    """Values of one staged column at the given ranks, which must exist."""
+    rows, found = order_statistics([Probe(frame, column, ranks)])[0]
+    return [found[r].value for r in ranks(rows)]
+
+
 def tile_starts(rows: int, tiles: int) -> list[int]:
     """First rank of the second, third, … tile when ``rows`` are dealt into ``tiles``.
 
@@ -198,9 +223,12 @@ def with_tiles(frame: DataFrame, key: str, scores: dict[str, str], tiles: int =
     Equal to ``ntile(tiles)`` over that order. ``frame`` must be staged, ``key``
     unique, and the ranked columns long or double without nulls.
     """
-    rows = frame.count()
-    starts = [s for s in tile_starts(rows, tiles) if s <= rows]
-    cuts = order_statistics([Probe(frame, column, starts) for column in scores.values()])
+    cuts = [
+        at
+        for _, at in order_statistics(
+            [Probe(frame, column, lambda rows: tile_starts(rows, tiles)) for column in scores.values()]
+        )
+    ]
     # A tile may begin among rows of equal value; there the key decides.
     ties: dict[tuple[str, int | float], list[int]] = {}
     for column, values in zip(scores.values(), cuts):
@@ -208,9 +236,12 @@ def with_tiles(frame: DataFrame, key: str, scores: dict[str, str], tiles: int =
             if start - at.below > 1:
                 ties.setdefault((column, at.value), []).append(start - at.below)
     keys = order_statistics(
-        [Probe(frame.filter(F.col(column) == F.lit(value)), key, ranks) for (column, value), ranks in ties.items()]
+        [
+            Probe(frame.filter(F.col(column) == F.lit(value)), key, lambda _, ranks=ranks: ranks)
+            for (column, value), ranks in ties.items()
+        ]
     )
-    tie_keys = {tie: found for tie, found in zip(ties, keys)}
+    tie_keys = {tie: found for tie, (_, found) in zip(ties, keys)}
 
     def reached(column: str, start: int, at: Found) -> Column:
         value, rank = F.col(column), start - at.below
@@ -226,9 +257,3 @@ def with_tiles(frame: DataFrame, key: str, scores: dict[str, str], tiles: int =
     return frame.select(
         "*", *(tile(column, values).alias(score) for (score, column), values in zip(scores.items(), cuts))
     )
-
-
-def uniform_thresholds(frame: DataFrame, column: str, ranks: Sequence[int]) -> list[int | float | None]:
-    """Values at the given ranks of one staged column, null beyond its rows."""
-    found = order_statistics([Probe(frame, column, ranks)])[0]
-    return [found[r].value if r in found else None for r in ranks]

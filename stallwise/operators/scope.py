@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +41,20 @@ class Scope:
             raise ValueError(f"unknown period {self.period!r}")
 
     def bounds(self, orders: DataFrame, ts: str = "order_ts") -> Period:
-        """First and last date of the period as columns.
+        """First and last date of the period.
 
-        Dates anchored on the data are scalar subqueries: they are evaluated
-        before the scan that uses them, so they still reach it as pushed filters.
+        The rolling presets look up the table's first and last date, two values,
+        so that every filter made from them is a literal the scans can push down
+        and prune by. The other periods need no look at the data.
         """
         if self.period == "custom":
-            return Period(F.lit(self.start), F.lit(self.end))
-        extent = orders.agg(F.to_date(F.min(ts)).alias("first"), F.to_date(F.max(ts)).alias("last"))
-        first = F.col("first")
-        if self.period in PRESET_DAYS:
-            first = F.greatest(first, F.date_sub("last", PRESET_DAYS[self.period] - 1))
-        return Period(extent.select(first).scalar(), extent.select("last").scalar())
+            return Period(self.start, self.end)
+        if self.period == "full":
+            return Period()
+        first, last = orders.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+        if last is None:
+            return Period(empty=True)
+        return Period(max(first, last - timedelta(days=PRESET_DAYS[self.period] - 1)), last)
 
     def apply(
         self, facts: DataFrame, period: Period | None, restaurants: DataFrame | None = None, ts: str = "order_ts"
@@ -76,19 +78,35 @@ class Scope:
 
 @dataclass(frozen=True)
 class Period:
-    """Two dates, both included."""
+    """Two dates, both included; without dates all of time, or none of it."""
 
-    first: Column
-    last: Column
+    first: date | None = None
+    last: date | None = None
+    empty: bool = False
 
     def contains(self, ts: Column | str) -> Column:
         """A range on the raw timestamp, so that scans can skip files and row groups."""
         ts = F.col(ts) if isinstance(ts, str) else ts
-        return (ts >= self.first.cast("timestamp_ntz")) & (ts < F.date_add(self.last, 1).cast("timestamp_ntz"))
+        if self.empty:
+            return F.lit(False)
+        if self.first is None:
+            return ts.isNotNull()
+        return (ts >= _midnight(self.first)) & (ts < _midnight(self.last + timedelta(days=1)))
 
     def previous(self) -> Period:
-        """The period of the same length that ends the day before."""
-        return Period(F.date_sub(self.first, F.datediff(self.last, self.first) + 1), F.date_sub(self.first, 1))
+        """The period of the same length that ends the day before. Nothing precedes all of time."""
+        if self.empty or self.first is None:
+            return Period(empty=True)
+        return Period(self.first - (self.last - self.first) - timedelta(days=1), self.first - timedelta(days=1))
+
+    def with_previous(self) -> Period:
+        """Both periods, which adjoin, as one range."""
+        before = self.previous()
+        return self if before.empty else Period(before.first, self.last)
+
+
+def _midnight(day: date) -> Column:
+    return F.lit(day.isoformat()).cast("timestamp_ntz")
 
 
 def cuisine_members(restaurants: DataFrame | None, cuisine: str) -> DataFrame:
@@ -168,9 +186,8 @@ def period_totals(orders: DataFrame, restaurants: DataFrame | None, scope: Scope
     Both periods are one range of time, read in one pass and told apart by their start.
     """
     current = scope.bounds(orders)
-    previous = current.previous()
-    rows = orders.filter(Period(previous.first, current.last).contains("order_ts")).withColumn(
-        "is_current", F.col("order_ts") >= current.first.cast("timestamp_ntz")
+    rows = orders.filter(current.with_previous().contains("order_ts")).withColumn(
+        "is_current", current.contains("order_ts")
     )
     sums = _additive(F.col("is_current"), "", sla) + _additive(~F.col("is_current"), "prev_", sla)
     return _totals(rows, sums, scope, restaurants)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A restaurant or user may own a third of all rows: let joins split it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Where every partition of one side is small, hash it instead of sorting both.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.ui.enabled": "false",
 }
 
