@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions.labels import lookup, ordinal
 from stallwise.functions.numeric import half_up
-from stallwise.operators.ranking import Probe, order_statistics, values_at
+from stallwise.operators.ranking import Target, order_statistics, values_at
 from stallwise.sources.schemas import TRAFFIC_ORDINAL, WEATHER_ORDINAL
 from stallwise.sources.staging import stage
 
@@ -21,6 +21,7 @@ TRAFFIC_POINTS = {"Low": 0, "Medium": 7, "High": 16}
 WEATHER_POINTS = {"Clear": 0, "Cloudy": 3, "Rain": 9}
 TRAVEL_BASE, TRAVEL_PER_KM, TRAVEL_TRAFFIC, TRAVEL_WEATHER = 8.0, 3.1, 0.45, 0.35
 CANCEL_MIDPOINT, CANCEL_SCALE = 48.0, 8.0
+MAX_CLASSES = 100
 FEATURES = ("distance_km", "items", "basket_value", "hour", "weekend", "traffic", "weather")
 
 
@@ -117,10 +118,11 @@ def train_test_split(
         in_test = F.col("split_key") <= F.lit(cut[0]) if cut else F.lit(False)
     else:
         in_test = F.lit(False)
-        classes = [row[0] for row in staged.select(stratify).distinct().collect()]
-        members = [F.col(stratify).eqNullSafe(F.lit(c)) for c in classes]
-        probes = [Probe(staged.filter(m), "split_key", lambda rows: [round(test_share * rows)]) for m in members]
-        for member, (_, found) in zip(members, order_statistics(probes)):
+        classes = [row[0] for row in staged.select(stratify).distinct().limit(MAX_CLASSES + 1).collect()]
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes in {stratify}")
+        targets = [Target("split_key", lambda rows: [round(test_share * rows)], stratify, c) for c in classes]
+        for target, (_, found) in zip(targets, order_statistics(staged, targets)):
             for at in found.values():
-                in_test = in_test | (member & (F.col("split_key") <= F.lit(at.value)))
+                in_test = in_test | (target.member() & (F.col("split_key") <= F.lit(at.value)))
     return staged.withColumn("is_test", in_test).drop("split_key")

@@ -4,7 +4,7 @@ A window without PARTITION BY moves every row to one task. Quantiles and tile
 numbers need far less than a full ranking: only the values at a few ranks. Those
 are found here by repeatedly counting rows per value range and descending into
 the range that holds the wanted rank. Every pass is one scan with map-side
-counting; no task ever sees more than ``BUCKETS`` groups per probe, and equal
+counting; no task ever sees more than ``BUCKETS`` groups per span, and equal
 values always share a group, so hot values cost nothing.
 """
 
@@ -14,6 +14,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,162 +22,178 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 _EXACT_DOUBLE = 1 << 53
 
+Ranks = Callable[[int], Sequence[int]]
+Number = int | float
+
 
 @dataclass(frozen=True)
-class Probe:
-    """Ranks (from 1, in ascending order of ``column``) to look up in ``frame``.
+class Target:
+    """Ranks (from 1, ascending) wanted of a long or double column.
 
-    ``ranks`` gets the number of ranked rows and names the wanted ones. ``column``
-    is a long or double; nulls and NaN have no rank.
+    ``ranks`` gets the number of ranked rows and names the wanted ones. With
+    ``by``, only rows where that column has ``value`` are ranked. Nulls and NaN
+    have no rank.
     """
 
-    frame: DataFrame
     column: str
-    ranks: Callable[[int], Sequence[int]]
-
-    def __post_init__(self) -> None:
-        if self._kind not in ("bigint", "double"):
-            raise TypeError(f"rank over bigint or double, not {self._kind} ({self.column})")
-
-    @property
-    def _kind(self) -> str:
-        return self.frame.schema[self.column].dataType.simpleString()
+    ranks: Ranks
+    by: str | None = None
+    value: Any = None
 
-    def value(self) -> Column:
-        """The column with null for every value that has no rank."""
-        value = F.col(self.column)
-        return value if self._kind == "bigint" else F.when(~F.isnan(value), value)
-
-    def parse(self, text: str) -> int | float:
-        return int(text) if self._kind == "bigint" else float(text)
+    def member(self) -> Column:
+        return F.lit(True) if self.by is None else F.col(self.by).eqNullSafe(F.lit(self.value))
 
 
 @dataclass(frozen=True)
 class Found:
     """The value at a rank, how many rows are below it and how many equal it."""
 
-    value: int | float
+    value: Number
     below: int
     equal: int
 
 
 @dataclass(frozen=True)
 class _Span:
-    lo: int | float
-    hi: int | float
+    """A range of one target's values known to hold some of its ranks."""
+
+    target: int
+    lo: Number
+    hi: Number
     below: int
     ranks: tuple[int, ...]
 
 
-def _bucket(span: _Span, buckets: int) -> Column:
+def _kind(frame: DataFrame, column: str) -> str:
+    kind = frame.schema[column].dataType.simpleString()
+    if kind not in ("bigint", "double"):
+        raise TypeError(f"rank over bigint or double, not {kind} ({column})")
+    return kind
+
+
+def _ranked(frame: DataFrame, column: str) -> Column:
+    """The column with null for every value that has no rank."""
+    value = F.col(column)
+    return value if _kind(frame, column) == "bigint" else F.when(~F.isnan(value), value)
+
+
+# Spans become SQL text: one expression to parse instead of dozens of column calls.
+
+
+def _text(number: Number) -> str:
+    return f"{number}L" if isinstance(number, int) else f"{number!r}D"
+
+
+def _bucket(span: _Span, buckets: int) -> str:
     """Position of a value in the span; the ends fall in different buckets, order is kept."""
-    v = F.col("v")
-    if isinstance(span.lo, int):
-        width = span.hi - span.lo
+    lo, width = span.lo, span.hi - span.lo
+    if isinstance(lo, int):
         if width < buckets:
-            return v - F.lit(span.lo).cast("long")
+            return f"v - {_text(lo)}"
         if width < _EXACT_DOUBLE:
-            share = (v - F.lit(span.lo).cast("long")).cast("double") / F.lit(float(width))
+            share = f"double(v - {_text(lo)}) / {_text(float(width))}"
         else:
-            share = (v.cast("double") - F.lit(float(span.lo))) / F.lit(float(span.hi) - float(span.lo))
+            share = f"(double(v) - {_text(float(lo))}) / {_text(float(span.hi) - float(lo))}"
+    elif math.isinf(width):
+        raise ValueError("cannot rank infinite values")
     else:
-        share = (v - F.lit(span.lo)) / F.lit(span.hi - span.lo)
-    return F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1).cast("long"))
+        share = f"(v - {_text(lo)}) / {_text(width)}"
+    return f"least(floor({share} * {_text(float(buckets))}), {_text(buckets - 1)})"
 
 
-def _within(span: _Span) -> Column:
-    return F.col("v").between(F.lit(span.lo), F.lit(span.hi))
+def _histogram(frame: DataFrame, targets: Sequence[Target], spans: list[_Span], buckets: int) -> DataFrame:
+    """The buckets that hold the wanted ranks, with the rows before each one in its span.
 
-
-def _histogram(index: int, probe: Probe, spans: list[_Span], buckets: int) -> DataFrame:
-    """The buckets that hold the wanted ranks, with the rows before each one in its span."""
-    slot = reduce(lambda acc, s: acc.when(_within(s[1]), s[0]), list(enumerate(spans))[1:], F.when(_within(spans[0]), 0))
-    place = reduce(
-        lambda acc, s: acc.when(_within(s), _bucket(s, buckets)),
-        spans[1:],
-        F.when(_within(spans[0]), _bucket(spans[0], buckets)),
+    The spans are of one column and do not overlap, so a row is in at most one.
+    """
+    members = sorted({s.target for s in spans})
+    group = reduce(lambda acc, t: acc.when(targets[t].member(), t), members[1:], F.when(targets[members[0]].member(), members[0]))
+    slot = " ".join(
+        f"WHEN g = {s.target} AND v BETWEEN {_text(s.lo)} AND {_text(s.hi)} THEN {i}" for i, s in enumerate(spans)
+    )
+    place = " ".join(f"WHEN {i} THEN {_bucket(s, buckets)}" for i, s in enumerate(spans))
+    holds = " OR ".join(
+        f"slot = {i} AND before < {r - s.below} AND before + n >= {r - s.below}"
+        for i, s in enumerate(spans)
+        for r in s.ranks
     )
     counted = (
-        probe.frame.select(probe.value().alias("v"))
-        .select("v", slot.alias("slot"), place.alias("bucket"))
-        .filter(F.col("slot").isNotNull())
-        .groupBy("slot", "bucket")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        frame.select(_ranked(frame, targets[members[0]].column).alias("v"), group.alias("g"))
+        .select("v", F.expr(f"CASE {slot} END").alias("slot"))
+        .filter("slot IS NOT NULL")
+        .groupBy("slot", F.expr(f"CASE slot {place} END").alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     # At most BUCKETS rows per slot reach this window.
-    upto = F.sum("rows").over(Window.partitionBy("slot").orderBy("bucket"))
-    placed = counted.withColumn("before", upto - F.col("rows"))
-    holds = [
-        (F.col("slot") == i) & (F.col("before") < r - s.below) & (F.col("before") + F.col("rows") >= r - s.below)
-        for i, s in enumerate(spans)
-        for r in s.ranks
-    ]
-    return placed.filter(reduce(Column.__or__, holds)).select(
-        F.lit(index).alias("probe"),
-        "slot",
-        "before",
-        "rows",
-        F.col("lo").cast("string").alias("lo"),
-        F.col("hi").cast("string").alias("hi"),
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("bucket"))
+    return (
+        counted.withColumn("before", upto - F.col("n"))
+        .filter(holds)
+        .selectExpr("slot", "before", "n", "string(lo) AS lo", "string(hi) AS hi")
     )
 
 
-def _extents(probes: Sequence[Probe]) -> list[tuple[int, str | None, str | None]]:
-    """Ranked rows, least and greatest value of each probe; probes of one frame share a scan."""
-    frames = list({id(p.frame): p.frame for p in probes}.values())
-    parts = []
-    for frame in frames:
-        members = [(i, p) for i, p in enumerate(probes) if p.frame is frame]
-        sums = []
-        for i, p in members:
-            v = p.value()
-            sums.append(
-                F.struct(
-                    F.lit(i).alias("probe"),
-                    F.count(v).alias("rows"),
-                    F.min(v).cast("string").alias("lo"),
-                    F.max(v).cast("string").alias("hi"),
-                )
-            )
-        parts.append(frame.agg(F.array(*sums).alias("found")).select(F.inline("found")))
-    by_probe = {row.probe: row[1:] for row in reduce(DataFrame.unionByName, parts).collect()}
-    return [by_probe[i] for i in range(len(probes))]
+def _extents(frame: DataFrame, targets: Sequence[Target]) -> list[tuple[int, str | None, str | None]]:
+    """Ranked rows, least and greatest value of every target, in one scan."""
+    sums = []
+    for t in targets:
+        v = F.when(t.member(), _ranked(frame, t.column)) if t.by else _ranked(frame, t.column)
+        sums.append(
+            F.struct(F.count(v).alias("n"), F.min(v).cast("string").alias("lo"), F.max(v).cast("string").alias("hi"))
+        )
+    return [tuple(e) for e in frame.agg(F.array(*sums).alias("extents")).first().extents]
 
 
-def order_statistics(probes: Sequence[Probe], buckets: int = BUCKETS) -> list[tuple[int, dict[int, Found]]]:
-    """Ranked rows of each probe and the exact values at its wanted ranks.
+def order_statistics(
+    frame: DataFrame, targets: Sequence[Target], buckets: int = BUCKETS
+) -> list[tuple[int, dict[int, Found]]]:
+    """Ranked rows of each target and the exact values at its wanted ranks.
 
-    Ranks beyond the rows are left out. The frames are read once per pass and
-    must not change between passes: stage them first. Only one row per wanted
-    rank comes back to the driver.
+    Ranks beyond the rows are left out. ``frame`` is read once per pass and must
+    not change between passes: stage it first. Only one row per wanted rank comes
+    back to the driver.
     """
-    if not probes:
+    if not targets:
         return []
-    found: list[dict[int, Found]] = [{} for _ in probes]
-    open_spans: dict[int, list[_Span]] = {}
-    extents = _extents(probes)
-    for index, (probe, (rows, lo, hi)) in enumerate(zip(probes, extents)):
-        ranks = tuple(sorted({r for r in probe.ranks(rows) if 1 <= r <= rows}))
+    found: list[dict[int, Found]] = [{} for _ in targets]
+    spans: list[_Span] = []
+
+    def settle(target: int, extent: tuple[int, str, str], below: int, ranks: Sequence[int]) -> None:
+        """Record a range holding a single value; keep any other for the next pass."""
+        parse = int if _kind(frame, targets[target].column) == "bigint" else float
+        rows, lo, hi = extent[0], parse(extent[1]), parse(extent[2])
+        if lo == hi:
+            found[target].update({r: Found(lo, below, rows) for r in ranks})
+        else:
+            spans.append(_Span(target, lo, hi, below, tuple(ranks)))
+
+    extents = _extents(frame, targets)
+    for i, (target, extent) in enumerate(zip(targets, extents)):
+        ranks = sorted({r for r in target.ranks(extent[0]) if 1 <= r <= extent[0]})
         if ranks:
-            _settle(found[index], open_spans, index, probe, (lo, hi, rows), 0, ranks)
-    while open_spans:
-        parts = [_histogram(i, probes[i], spans, buckets) for i, spans in open_spans.items()]
-        previous, open_spans = open_spans, {}
-        for row in reduce(DataFrame.unionByName, parts).collect():
-            span = previous[row.probe][row.slot]
+            settle(i, extent, 0, ranks)
+    while spans:
+        open_spans, spans = spans, []
+        parts: dict[tuple, list[_Span]] = {}
+        for span in open_spans:
+            # Without ``by`` each target has the column to itself; with it, groups exclude each other.
+            t = targets[span.target]
+            parts.setdefault((t.column, t.by) if t.by else (span.target,), []).append(span)
+        scans = [
+            _histogram(frame, targets, members, buckets).withColumn("part", F.lit(i))
+            for i, members in enumerate(parts.values())
+        ]
+        by_part = list(parts.values())
+        for row in reduce(DataFrame.unionByName, scans).collect():
+            span = by_part[row.part][row.slot]
             below = span.below + row.before
-            ranks = tuple(r for r in span.ranks if below < r <= below + row.rows)
-            _settle(found[row.probe], open_spans, row.probe, probes[row.probe], (row.lo, row.hi, row.rows), below, ranks)
-    return [(rows, at) for (rows, _, _), at in zip(extents, found)]
-
-
-def _settle(found, open_spans, index, probe, extent, below, ranks) -> None:
-    """Record a range holding a single value; keep any other for the next pass."""
-    lo, hi, rows = probe.parse(extent[0]), probe.parse(extent[1]), extent[2]
-    if lo == hi:
-        found.update({r: Found(lo, below, rows) for r in ranks})
-    else:
-        open_spans.setdefault(index, []).append(_Span(lo, hi, below, ranks))
+            settle(
+                span.target,
+                (row.n, row.lo, row.hi),
+                below,
+                [r for r in span.ranks if below < r <= below + row.n],
+            )
+    return [(extent[0], at) for extent, at in zip(extents, found)]
 
 
 def interpolated_quantiles(frame: DataFrame, columns: Sequence[str], q: float) -> dict[str, float | None]:
@@ -187,7 +204,7 @@ def interpolated_quantiles(frame: DataFrame, columns: Sequence[str], q: float) -
         return [math.floor(at) + 1, math.ceil(at) + 1]
 
     limits: dict[str, float | None] = {}
-    for c, (rows, values) in zip(columns, order_statistics([Probe(frame, c, around) for c in columns])):
+    for c, (rows, values) in zip(columns, order_statistics(frame, [Target(c, around) for c in columns])):
         if not values:
             limits[c] = None
             continue
@@ -197,9 +214,9 @@ def interpolated_quantiles(frame: DataFrame, columns: Sequence[str], q: float) -
     return limits
 
 
-def values_at(frame: DataFrame, column: str, ranks: Callable[[int], Sequence[int]]) -> list[int | float]:
+def values_at(frame: DataFrame, column: str, ranks: Ranks) -> list[Number]:
     """Values of one staged column at the given ranks, which must exist."""
-    rows, found = order_statistics([Probe(frame, column, ranks)])[0]
+    rows, found = order_statistics(frame, [Target(column, ranks)])[0]
     return [found[r].value for r in ranks(rows)]
 
 
@@ -221,39 +238,27 @@ def with_tiles(frame: DataFrame, key: str, scores: dict[str, str], tiles: int =
     """Add one tile number per ``{score: column}``, ranking by (column, key) ascending.
 
     Equal to ``ntile(tiles)`` over that order. ``frame`` must be staged, ``key``
-    unique, and the ranked columns long or double without nulls.
+    a unique long, and the ranked columns long or double without nulls.
     """
-    cuts = [
-        at
-        for _, at in order_statistics(
-            [Probe(frame, column, lambda rows: tile_starts(rows, tiles)) for column in scores.values()]
-        )
-    ]
+    columns = list(scores.values())
+    cuts = [at for _, at in order_statistics(frame, [Target(c, lambda n: tile_starts(n, tiles)) for c in columns])]
     # A tile may begin among rows of equal value; there the key decides.
-    ties: dict[tuple[str, int | float], list[int]] = {}
-    for column, values in zip(scores.values(), cuts):
+    ties: dict[tuple[str, Number], list[int]] = {}
+    for column, values in zip(columns, cuts):
         for start, at in values.items():
             if start - at.below > 1:
                 ties.setdefault((column, at.value), []).append(start - at.below)
-    keys = order_statistics(
-        [
-            Probe(frame.filter(F.col(column) == F.lit(value)), key, lambda _, ranks=ranks: ranks)
-            for (column, value), ranks in ties.items()
-        ]
-    )
-    tie_keys = {tie: found for tie, (_, found) in zip(ties, keys)}
+    in_tie = [Target(key, lambda _, ranks=ranks: ranks, column, value) for (column, value), ranks in ties.items()]
+    tie_keys = dict(zip(ties, (at for _, at in order_statistics(frame, in_tie))))
 
-    def reached(column: str, start: int, at: Found) -> Column:
-        value, rank = F.col(column), start - at.below
+    def reached(column: str, start: int, at: Found) -> str:
+        rank = start - at.below
         if rank == 1:
-            return value >= F.lit(at.value)
-        cut = tie_keys[column, at.value][rank].value
-        return (value > F.lit(at.value)) | ((value == F.lit(at.value)) & (F.col(key) >= F.lit(cut)))
+            return f"`{column}` >= {_text(at.value)}"
+        cut = _text(tie_keys[column, at.value][rank].value)
+        return f"`{column}` > {_text(at.value)} OR `{column}` = {_text(at.value)} AND `{key}` >= {cut}"
 
     def tile(column: str, values: dict[int, Found]) -> Column:
-        steps = [reached(column, start, at).cast("long") for start, at in sorted(values.items())]
-        return reduce(Column.__add__, steps, F.lit(1).cast("long"))
+        return F.expr(" + ".join(["1L", *(f"bigint({reached(column, start, at)})" for start, at in values.items())]))
 
-    return frame.select(
-        "*", *(tile(column, values).alias(score) for (score, column), values in zip(scores.items(), cuts))
-    )
+    return frame.select("*", *(tile(c, values).alias(score) for (score, c), values in zip(scores.items(), cuts)))
