@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import measures as M
 from stallwise.functions.numeric import ratio
+from stallwise.functions.totals import grand_totals
 from stallwise.operators.kpis import first_max
 
 
@@ -30,13 +31,15 @@ def severity_impact_rank(orders: DataFrame, column: str) -> DataFrame:
     segments = (
         orders.filter(F.col(column).isNotNull())
         .groupBy(column)
-        .agg(
-            F.count("order_id").alias("orders"),
-            M.cancellation_pct().alias("cancellation_rate"),
-            F.sum("cancelled").alias("cancelled_orders"),
-        )
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum("cancelled").alias("cancelled_orders"))
     )
-    total = orders.filter(F.col(column).isNotNull()).agg(F.sum("cancelled").alias("t")).scalar()
-    return segments.withColumn(
-        "share_of_cancellations_pct", ratio(F.col("cancelled_orders"), total) * F.lit(100.0)
+    total = grand_totals(segments, "orders", "cancelled_orders")
+    return segments.select(
+        column,
+        "orders",
+        (ratio(F.col("cancelled_orders"), F.col("orders")) * F.lit(100.0)).alias("cancellation_rate"),
+        "cancelled_orders",
+        (ratio(F.col("cancelled_orders"), total.getField("cancelled_orders")) * F.lit(100.0)).alias(
+            "share_of_cancellations_pct"
+        ),
     ).orderBy(F.desc("cancelled_orders"), column)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions import measures as M
 from stallwise.functions.numeric import money, ratio
+from stallwise.functions.totals import grand_totals
 from stallwise.operators.scope import Scope, period_totals
 
 
@@ -42,17 +43,13 @@ def wow_growth(orders: DataFrame) -> DataFrame:
 
 def gmv_contribution(orders: DataFrame, column: str) -> DataFrame:
     """GMV per segment and its share of the total."""
-    total = orders.agg(M.delivered_cents()).scalar()
-    return (
-        orders.groupBy(column)
-        .agg(M.delivered_cents().alias("cents"))
-        .select(
-            column,
-            money(F.col("cents")).alias("gmv"),
-            (ratio(F.col("cents"), total) * F.lit(100.0)).alias("share_pct"),
-        )
-        .orderBy(F.desc("gmv"), column)
-    )
+    segments = orders.groupBy(column).agg(M.delivered_cents().alias("cents"))
+    total = grand_totals(segments, "cents")
+    return segments.select(
+        column,
+        money(F.col("cents")).alias("gmv"),
+        (ratio(F.col("cents"), total.getField("cents")) * F.lit(100.0)).alias("share_pct"),
+    ).orderBy(F.desc("gmv"), column)
 
 
 def rate_change_contribution(orders: DataFrame, column: str, scope: Scope = Scope("last_90_days")) -> DataFrame:
@@ -66,22 +63,19 @@ def rate_change_contribution(orders: DataFrame, column: str, scope: Scope = Scop
     current = scope.bounds(orders)
     rows = scope.apply(orders, current.with_previous()).withColumn("now", current.contains("order_ts"))
     cancelled = F.col("cancelled") == 1
-    # One row per segment in both periods together reaches the window below.
-    n1, n0 = F.sum("n1").over(Window.partitionBy()), F.sum("n0").over(Window.partitionBy())
-    segments = (
-        rows.groupBy(column)
-        .agg(
-            F.count_if(F.col("now")).alias("n1"),
-            F.count_if(~F.col("now")).alias("n0"),
-            F.count_if(F.col("now") & cancelled).alias("c1"),
-            F.count_if(~F.col("now") & cancelled).alias("c0"),
-        )
-        .select(
-            "*",
-            ratio(F.col("n1"), n1).alias("w1"),
-            ratio(F.col("n0"), n0).alias("w0"),
-            (ratio(F.col("c1"), n1) * F.lit(100.0) - ratio(F.col("c0"), n0) * F.lit(100.0)).alias("contribution_pp"),
-        )
+    counts = rows.groupBy(column).agg(
+        F.count_if(F.col("now")).alias("n1"),
+        F.count_if(~F.col("now")).alias("n0"),
+        F.count_if(F.col("now") & cancelled).alias("c1"),
+        F.count_if(~F.col("now") & cancelled).alias("c0"),
+    )
+    total = grand_totals(counts, "n1", "n0", "c1", "c0")
+    n1, n0 = total.getField("n1"), total.getField("n0")
+    segments = counts.select(
+        "*",
+        ratio(F.col("n1"), n1).alias("w1"),
+        ratio(F.col("n0"), n0).alias("w0"),
+        (ratio(F.col("c1"), n1) * F.lit(100.0) - ratio(F.col("c0"), n0) * F.lit(100.0)).alias("contribution_pp"),
     )
     rate0 = F.coalesce(ratio(F.col("c0"), F.col("n0")), ratio(F.col("c1"), F.col("n1")))
     mix = (F.col("w1") - F.col("w0")) * rate0 * F.lit(100.0)

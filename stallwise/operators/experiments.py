@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.numeric import cents, money, normal_cdf, ratio
+from stallwise.functions.totals import grand_totals
 
 # Variant names and decisions.
 CONTROL, TREATMENT = "Control", "Treatment"
@@ -85,13 +86,12 @@ def experiment_readout(sessions: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def experiment_by_segment(sessions: DataFrame, segment: str, alpha: float = 0.05) -> DataFrame:
     """The readout per segment, p-values Bonferroni-corrected for the number of segments tested."""
-    tested = _z_test(_arms(sessions.filter(F.col(segment).isNotNull()), [segment]))
-    # One row per pre-specified segment reaches this window.
-    segments = F.count(F.lit(1)).over(Window.partitionBy())
+    arms = _arms(sessions.filter(F.col(segment).isNotNull()), [segment])
+    tests = grand_totals(arms, "n_c", "n_t", "x_c", "x_t", "gmv_t").getField("groups")
     return (
-        tested.select(segment, *READOUT, segments.alias("tests"))
-        .withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * F.col("tests")))
-        .drop("tests")
+        _z_test(arms)
+        .select(segment, *READOUT)
+        .withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * tests))
         .withColumn("decision", _decision(F.col("p_adjusted"), alpha))
     )
 
