@@ -16,21 +16,24 @@ def rfm_segments(orders: DataFrame, tiles: int = 5) -> DataFrame:
     """Recency, frequency and monetary tiles per customer, and the segment they imply.
 
     Customers with equal values are told apart by user id, so scores do not
-    change from run to run.
+    change from run to run. Orders without a user count as one customer, the
+    last in order.
     """
+    last = F.lit((1 << 63) - 1)
     base = (
-        orders.filter(M.delivered() & F.col("user_id").isNotNull())
-        .groupBy(F.col("user_id").cast("long").alias("user_id"))
+        orders.filter(M.delivered())
+        .groupBy("user_id")
         .agg(
             F.max("order_ts").cast("timestamp_ntz").alias("last_order"),
             F.count(F.lit(1)).alias("frequency"),
             F.coalesce(F.sum(cents("revenue")), F.lit(0).cast("long")).alias("monetary_cents"),
         )
-        .withColumn("recency", F.coalesce(calendar.micros("last_order"), F.lit((1 << 63) - 1)))
+        .withColumn("recency", F.coalesce(calendar.micros("last_order"), last))
+        .withColumn("key", F.coalesce(F.col("user_id").cast("long"), last))
     )
     scored = with_tiles(
         stage(base, "rfm"),
-        "user_id",
+        "key",
         {"recency_score": "recency", "frequency_score": "frequency", "monetary_score": "monetary_cents"},
         tiles,
     )

@@ -43,29 +43,26 @@ def test_scans_read_the_needed_columns_only(spark):
     assert set(schemas) == {"o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz"}
 
 
-def test_no_python_in_any_plan(spark):
-    skipped = ("model_metrics", "score_")
-    for name in QUERIES:
-        if not any(s in name for s in skipped):
-            plan = planned(spark, name)
-            assert not re.search(r"PythonUDF|EvalPython|InPandas|MapInArrow", plan), name
+def untrained():
+    return [name for name in QUERIES if "model_metrics" not in name and not name.startswith("score_")]
+
+
+def test_no_python_and_no_cross_join_in_any_plan(spark):
+    for name in untrained():
+        plan = planned(spark, name)
+        assert not re.search(r"PythonUDF|EvalPython|InPandas|MapInArrow", plan), name
+        assert not re.search(r"CartesianProduct|NestedLoopJoin", plan), name
 
 
 def test_single_task_windows_see_bounded_rows_only(spark):
-    """Windows without a partition are allowed over calendar days, weeks, hours and funnel stages."""
+    """Windows that gather rows in one task are allowed over calendar days, weeks and hours."""
     bounded = {
         "rolling_7d_orders",
         "daily_trends_7d",
         "wow_growth",
         "hourly_demand",
-        "event_funnel",
-        "event_funnel_scoped",
-        "funnel_display",
-        "largest_leak",
     }
-    for name in QUERIES:
-        if "model_metrics" in name or name.startswith("score_"):
-            continue
+    for name in untrained():
         plan = planned(spark, name)
         single = re.search(r"Window \[.*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan)
-        assert not single or name in bounded, name
+        assert bool(single) == (name in bounded), name

@@ -103,6 +103,12 @@ def test_rfm_ties_follow_the_user_id(make_orders):
     assert [r.segment for r in rows[-4:]] == ["Champions"] * 4
 
 
+def test_orders_without_user_are_one_customer(make_orders):
+    orders = make_orders({"user_id": None}, {"user_id": None}, *({"user_id": u} for u in (1, 2, 3, 4)))
+    scores = {r.user_id: (r.frequency, r.recency_score, r.frequency_score) for r in customers.rfm_segments(orders).collect()}
+    assert scores == {1: (1, 1, 1), 2: (1, 2, 2), 3: (1, 3, 3), 4: (1, 4, 4), None: (2, 5, 5)}
+
+
 def test_customers_with_orders_counts_every_order(make_orders):
     orders = make_orders({"cancelled": 1}, {}, {}, {"user_id": 2})
     assert [tuple(r) for r in customers.customers_with_orders(orders).collect()] == [(1, 3)]
