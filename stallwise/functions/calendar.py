@@ -21,9 +21,14 @@ def day(ts: Column | str) -> Column:
     return F.to_date(col(ts)).cast("timestamp_ntz")
 
 
+def period_date(ts: Column | str, grain: str) -> Column:
+    """First date of the timestamp's ``week``, ``month``, ``quarter`` or ``year``."""
+    return F.trunc(col(ts).cast("date"), grain)
+
+
 def period_start(ts: Column | str, grain: str) -> Column:
-    """Timestamp cut to the start of its ``week``, ``month``, ``quarter`` or ``year``."""
-    return F.trunc(col(ts).cast("date"), grain).cast("timestamp_ntz")
+    """Timestamp cut to the start of its period."""
+    return period_date(ts, grain).cast("timestamp_ntz")
 
 
 def periods_between(start: Column, end: Column, grain: str) -> Column:
