@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import calendar
 from stallwise.functions import measures as M
-from stallwise.functions.numeric import cents, half_up, money, ratio
+from stallwise.functions.numeric import cents, half_up, ratio
 
 
 def kpi_summary(orders: DataFrame) -> DataFrame:

@@ -107,7 +107,11 @@ def _histogram(frame: DataFrame, targets: Sequence[Target], spans: list[_Span],
     The spans are of one column and do not overlap, so a row is in at most one.
     """
     members = sorted({s.target for s in spans})
-    group = reduce(lambda acc, t: acc.when(targets[t].member(), t), members[1:], F.when(targets[members[0]].member(), members[0]))
+    group = reduce(
+        lambda whens, t: whens.when(targets[t].member(), t),
+        members[1:],
+        F.when(targets[members[0]].member(), members[0]),
+    )
     slot = " ".join(
         f"WHEN g = {s.target} AND v BETWEEN {_text(s.lo)} AND {_text(s.hi)} THEN {i}" for i, s in enumerate(spans)
     )

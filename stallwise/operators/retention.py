@@ -67,7 +67,11 @@ def retention_by_segment(orders: DataFrame, users: DataFrame, segment: str, grai
     labelled = active.join(users.select("user_id", F.col(segment).alias("segment")), "user_id", "left")
     counts = (
         _cells(labelled, "segment")
-        .groupBy("segment", F.col("cohort").cast("timestamp_ntz").alias(f"cohort_{grain}"), number.alias(f"{grain}_number"))
+        .groupBy(
+            "segment",
+            F.col("cohort").cast("timestamp_ntz").alias(f"cohort_{grain}"),
+            number.alias(f"{grain}_number"),
+        )
         .agg(F.count(F.lit(1)).alias("active_users"))
     )
     # Every user is active in the cohort's own period, so that cell is its size.

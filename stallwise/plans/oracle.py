@@ -181,7 +181,8 @@ def _cohort(start: str, number: str, names: tuple[str, str, str]) -> str:
 
 MONTHS = "datediff('month', c, m)"
 ORDER_STEPS = "('session_start', -8), ('menu_view', -6), ('add_to_cart', -4), ('checkout', -2), ('order', 0)"
-BROWSE_STEPS = "('session_start', 0, true), ('menu_view', 3, saw), ('add_to_cart', 6, saw AND clicked), ('checkout', 9, saw AND clicked AND joined)"
+BROWSE_STEPS = """('session_start', 0, true), ('menu_view', 3, saw), ('add_to_cart', 6, saw AND clicked),
+               ('checkout', 9, saw AND clicked AND joined)"""
 ORDER_EVENTS = f"""
         SELECT 'S' || lpad(order_id::VARCHAR, greatest(7, length(order_id::VARCHAR))::INT, '0') AS session_id, user_id,
                order_ts + to_minutes(minutes) AS event_ts, event_name, restaurant_id, cuisine, traffic
@@ -211,7 +212,8 @@ FEATURES = """
                  (list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], weather) - 1)::DOUBLE
                    AS weather
           FROM facts WHERE items IS NOT NULL),
-        digests AS (SELECT order_id, cancelled, ('0x' || substr(md5('42:' || order_id), 1, 15))::BIGINT AS h FROM feats)"""
+        digests AS (
+          SELECT order_id, cancelled, ('0x' || substr(md5('42:' || order_id), 1, 15))::BIGINT AS h FROM feats)"""
 
 ORACLE: dict[str, str] = {
     "kpi_summary": _with(
@@ -502,7 +504,8 @@ ORACLE: dict[str, str] = {
         """
         SELECT order_id, 0::INT AS hour, (isodow(order_ts) > 5)::INT AS weekend, 0::INT AS peak,
                round(surge, 4) AS surge, round((basket_value * surge)::DECIMAL(28, 6), 2)::DOUBLE AS listed_price,
-               CASE WHEN delivered = 1 THEN round((basket_value * surge * (1 - discount_pct))::DECIMAL(28, 6), 2)::DOUBLE
+               CASE WHEN delivered = 1
+                    THEN round((basket_value * surge * (1 - discount_pct))::DECIMAL(28, 6), 2)::DOUBLE
                     ELSE 0 END AS revenue
         FROM (SELECT *, 1 + 0.07::DOUBLE * (traffic = '1-URGENT')::INT + 0.05::DOUBLE * (weather = 'MACHINERY')::INT
                      AS surge FROM facts)""",
@@ -590,7 +593,8 @@ ORACLE: dict[str, str] = {
     "gmv_decomposition": _with(
         "facts", _span(90),
         f""",
-        t AS (SELECT sum(paid) FILTER ({NOW})::DOUBLE / 1e2 AS gmv, sum(paid) FILTER ({BEFORE})::DOUBLE / 1e2 AS prev_gmv,
+        t AS (SELECT sum(paid) FILTER ({NOW})::DOUBLE / 1e2 AS gmv,
+                     sum(paid) FILTER ({BEFORE})::DOUBLE / 1e2 AS prev_gmv,
                      sum(delivered) FILTER ({NOW})::DOUBLE AS d1, sum(delivered) FILTER ({BEFORE})::DOUBLE AS d0
               FROM facts, span)
         SELECT gmv, prev_gmv, gmv - prev_gmv AS gmv_change, round((d1 - d0) * (prev_gmv / d0), 6) AS volume_effect,

@@ -14,9 +14,9 @@ from stallwise.operators import experiments, pricing
 def make_sessions(spark):
     def make(*arms: tuple):
         rows = []
-        for variant, sessions, converted, cancelled, segment in arms:
+        for variant, sessions, won, cancelled, segment in arms:
             rows += [
-                (f"{variant}{segment}{i}", variant, int(i < converted), 50.0 * (i < converted), int(i < cancelled), segment)
+                (f"{variant}{segment}{i}", variant, int(i < won), 50.0 * (i < won), int(i < cancelled), segment)
                 for i in range(sessions)
             ]
         return spark.createDataFrame(

@@ -78,7 +78,12 @@ def test_browse_journey_stops_at_the_furthest_stage(spark, make_restaurants):
     )
     events = journeys.browse_session_events(sessions, make_restaurants((1, "Thai", 4.0)))
     found = sorted((r.session_id, r.event_ts.minute, r.event_name) for r in events.collect())
-    assert found == [("B1", 0, "session_start"), ("B1", 3, "menu_view"), ("B1", 6, "add_to_cart"), ("B2", 0, "session_start")]
+    assert found == [
+        ("B1", 0, "session_start"),
+        ("B1", 3, "menu_view"),
+        ("B1", 6, "add_to_cart"),
+        ("B2", 0, "session_start"),
+    ]
 
 
 def test_events_are_written_by_day_in_order(spark, make_events, tmp_path):

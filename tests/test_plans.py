@@ -39,7 +39,8 @@ def test_lines_are_not_read_where_not_needed(spark, name):
 
 
 def test_scans_read_the_needed_columns_only(spark):
-    schemas = re.findall(r"ReadSchema: struct<(.*?)>", QUERIES["cohort_retention"](spark, SF_DIR)._jdf.queryExecution().toString())
+    plan = QUERIES["cohort_retention"](spark, SF_DIR)._jdf.queryExecution().toString()
+    schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan)
     assert set(schemas) == {"o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz"}
 
 

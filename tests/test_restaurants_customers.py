@@ -105,7 +105,8 @@ def test_rfm_ties_follow_the_user_id(make_orders):
 
 def test_orders_without_user_are_one_customer(make_orders):
     orders = make_orders({"user_id": None}, {"user_id": None}, *({"user_id": u} for u in (1, 2, 3, 4)))
-    scores = {r.user_id: (r.frequency, r.recency_score, r.frequency_score) for r in customers.rfm_segments(orders).collect()}
+    rows = customers.rfm_segments(orders).collect()
+    scores = {r.user_id: (r.frequency, r.recency_score, r.frequency_score) for r in rows}
     assert scores == {1: (1, 1, 1), 2: (1, 2, 2), 3: (1, 3, 3), 4: (1, 4, 4), None: (2, 5, 5)}
 
 
