@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import measures as M
 from stallwise.functions.numeric import money, ratio
+from stallwise.sources.schemas import DAY_COLUMNS
 
 ALL = "All"
 # Days covered by the rolling presets.
@@ -51,7 +52,10 @@ class Scope:
             return Period(self.start, self.end)
         if self.period == "full":
             return Period()
-        first, last = orders.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+        day = DAY_COLUMNS.get(ts)
+        # A table written by day knows its dates without reading any column.
+        at = day if day in orders.columns else ts
+        first, last = orders.agg(F.to_date(F.min(at)), F.to_date(F.max(at))).first()
         if last is None:
             return Period(empty=True)
         return Period(max(first, last - timedelta(days=PRESET_DAYS[self.period] - 1)), last)
@@ -61,7 +65,7 @@ class Scope:
     ) -> DataFrame:
         """Rows in scope. The cuisine comes from the facts if they carry it, else from the restaurants."""
         if period is not None:
-            facts = facts.filter(period.contains(ts))
+            facts = period.filter(facts, ts)
         if self.traffic != ALL:
             facts = facts.filter(F.col("traffic") == self.traffic)
         if self.cuisine != ALL:
@@ -93,6 +97,13 @@ class Period:
             return ts.isNotNull()
         return (ts >= _midnight(self.first)) & (ts < _midnight(self.last + timedelta(days=1)))
 
+    def filter(self, facts: DataFrame, ts: str) -> DataFrame:
+        """Rows of the period; where the table is written by day, other days are not even opened."""
+        day = DAY_COLUMNS.get(ts)
+        if self.first is not None and day in facts.columns:
+            facts = facts.filter(F.col(day).between(F.lit(self.first), F.lit(self.last)))
+        return facts.filter(self.contains(ts))
+
     def previous(self) -> Period:
         """The period of the same length that ends the day before. Nothing precedes all of time."""
         if self.empty or self.first is None:
@@ -175,7 +186,7 @@ def period_snapshot(
 
     The on-time rate is over delivered orders.
     """
-    rows = orders.filter(scope.bounds(orders).contains("order_ts"))
+    rows = scope.bounds(orders).filter(orders, "order_ts")
     totals = _totals(rows, _additive(F.lit(True), "", sla), scope, restaurants)
     return totals.select(*(value.alias(name) for name, value in _snapshot("").items()))
 
@@ -186,9 +197,7 @@ def period_totals(orders: DataFrame, restaurants: DataFrame | None, scope: Scope
     Both periods are one range of time, read in one pass and told apart by their start.
     """
     current = scope.bounds(orders)
-    rows = orders.filter(current.with_previous().contains("order_ts")).withColumn(
-        "is_current", current.contains("order_ts")
-    )
+    rows = current.with_previous().filter(orders, "order_ts").withColumn("is_current", current.contains("order_ts"))
     sums = _additive(F.col("is_current"), "", sla) + _additive(~F.col("is_current"), "prev_", sla)
     return _totals(rows, sums, scope, restaurants)
 

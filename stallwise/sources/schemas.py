@@ -41,6 +41,9 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Date columns that tables written by day are partitioned by, next to their timestamps.
+DAY_COLUMNS = {"order_ts": "order_date", "event_ts": "event_date"}
+
 REQUIRED = ("orders", "restaurants")
 
 # Funnel stages in journey order with their labels.

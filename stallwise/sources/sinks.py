@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallwise.sources.schemas import DAY_COLUMNS
 from stallwise.sources.tables import CSV_OPTIONS
 
 
@@ -29,17 +30,26 @@ def order_events(events: DataFrame) -> DataFrame:
     return events.repartitionByRange("event_ts", "session_id").sortWithinPartitions("event_ts", "session_id")
 
 
-def write_events(events: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Events in time order, one folder per day so that period filters prune.
+def write_by_day(frame: DataFrame, path: str, ts: str, then_by: str, kind: str = "parquet") -> None:
+    """Rows in time order, one folder per day, so that period filters skip whole folders.
 
     Range partitions follow the date, so a task writes to few folders; a day too
     big for one task is split between tasks.
     """
-    dated = events.withColumn("event_date", F.to_date("event_ts"))
-    ordered = dated.repartitionByRange("event_ts", "session_id").sortWithinPartitions(
-        "event_date", "event_ts", "session_id"
-    )
-    write_table(ordered, path, kind, partition_by=("event_date",))
+    day = DAY_COLUMNS[ts]
+    dated = frame.withColumn(day, F.to_date(ts))
+    ordered = dated.repartitionByRange(ts, then_by).sortWithinPartitions(day, ts, then_by)
+    write_table(ordered, path, kind, partition_by=(day,))
+
+
+def write_events(events: DataFrame, path: str, kind: str = "parquet") -> None:
+    """The event table, ordered by time and session."""
+    write_by_day(events, path, "event_ts", "session_id", kind)
+
+
+def write_orders(orders: DataFrame, path: str, kind: str = "parquet") -> None:
+    """The order table, ordered by time and id."""
+    write_by_day(orders, path, "order_ts", "order_id", kind)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ import pytest
 
 from stallwise.operators import diagnostics, scope
 from stallwise.operators.scope import Period, Scope
+from stallwise.sources import sinks
 
 JAN = Scope("custom", date(2025, 1, 1), date(2025, 1, 31))
 
@@ -121,6 +122,19 @@ def test_period_filter_reaches_the_scan(spark, make_orders, tmp_path):
     assert "GreaterThanOrEqual(order_ts" in plan and "LessThan(order_ts" in plan
 
 
+def test_days_out_of_the_period_are_not_opened(spark, make_orders, tmp_path):
+    stamps = [datetime(2025, m, 5, 10) for m in range(1, 7)]
+    sinks.write_orders(make_orders(*({"order_ts": t} for t in stamps)), str(tmp_path / "orders"))
+    orders = spark.read.parquet(str(tmp_path / "orders"))
+    assert Scope("last_90_days").bounds(orders) == Period(date(2025, 3, 8), date(2025, 6, 5))
+    kept = Scope("last_90_days").filter(orders)
+    assert kept.count() == 3
+    plan = kept._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(order_date" in plan
+    row = scope.period_over_period(orders, scope=Scope("last_90_days")).first()
+    assert (row.orders, row.prev_orders) == (3, 3)
+
+
 def test_filter_values_are_sorted(make_orders, make_restaurants):
     rows = scope.filter_values(
         make_orders({"traffic": "Low"}, {"traffic": "High"}), make_restaurants((1, "Thai", 1.0), (2, "Pizza", 1.0))
