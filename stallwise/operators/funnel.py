@@ -21,18 +21,28 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
     first stage and for 0 of 0, null for some of 0.
     """
     names = list(stages)
-    reached = (
-        events.filter(F.col("event_name").isin(names))
-        .groupBy("event_name")
-        .agg(F.count_distinct("session_id").alias("sessions"))
+    bits = F.coalesce(*(F.when(F.col("event_name") == name, F.lit(1 << i).cast("long")) for i, name in enumerate(names)))
+    # A session becomes one row with a bit per stage, merged before the shuffle;
+    # counting bits then needs no DISTINCT.
+    sessions = (
+        events.filter(F.col("event_name").isin(names) & F.col("session_id").isNotNull())
+        .groupBy("session_id")
+        .agg(F.bit_or(bits).alias("reached"))
     )
-    # One entry per stage; the global aggregate yields its row even without events.
-    found = reached.agg(F.map_from_entries(F.collect_list(F.struct("event_name", "sessions"))).alias("found"))
-    aligned = found.select("found", F.posexplode(F.array(*map(F.lit, names))).alias("position", "stage")).select(
-        "position",
-        "stage",
-        F.coalesce(F.try_element_at("found", F.col("stage")), F.lit(0).cast("long")).alias("sessions"),
+    # The global aggregate yields its row, with zeros, even without events.
+    counts = sessions.agg(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(i).alias("position"),
+                    F.lit(name).alias("stage"),
+                    F.count_if(F.getbit("reached", F.lit(i)) == 1).alias("sessions"),
+                )
+                for i, name in enumerate(names)
+            )
+        ).alias("stages")
     )
+    aligned = counts.select(F.inline("stages"))
     # One row per stage.
     order = Window.orderBy("position")
     n, before = F.col("sessions"), F.lag("sessions").over(order)
