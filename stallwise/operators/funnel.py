@@ -21,7 +21,7 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
     first stage and for 0 of 0, null for some of 0.
     """
     names = list(stages)
-    bits = F.coalesce(*(F.when(F.col("event_name") == name, F.lit(1 << i).cast("long")) for i, name in enumerate(names)))
+    bits = lookup("event_name", {name: 1 << i for i, name in enumerate(names)}).cast("long")
     # A session becomes one row with a bit per stage, merged before the shuffle;
     # counting bits then needs no DISTINCT.
     sessions = (
