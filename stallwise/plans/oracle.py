@@ -622,3 +622,24 @@ ORACLE: dict[str, str] = {
         FROM digests""",
     ),
 }
+
+ORACLE["csv_round_trip"] = ORACLE["restaurant_performance"]
+ORACLE["metrics_json"] = ORACLE["kpi_summary"]
+ORACLE["events_by_day"] = _with(
+    "sessions",
+    "places",
+    f"journey AS ({BROWSE_EVENTS})",
+    f"""
+    , steps(position, stage) AS (
+        SELECT row_number() OVER () - 1, s FROM (VALUES {ORDER_STEPS}) v(s, minutes)),
+    counted AS (
+        SELECT position, stage, count(DISTINCT session_id) AS sessions
+        FROM steps LEFT JOIN journey ON event_name = stage AND event_ts::DATE BETWEEN '2024-01-08' AND '2024-01-14'
+        GROUP BY ALL)
+    SELECT position::INT AS position, stage, sessions,
+           CASE position WHEN 0 THEN 1e2
+                ELSE sessions::DOUBLE / lag(sessions) OVER (ORDER BY position) * 1e2 END AS conversion,
+           1e2 - conversion AS drop_off,
+           sessions::DOUBLE / first(sessions) OVER (ORDER BY position) * 1e2 AS overall_conversion
+    FROM counted""",
+)

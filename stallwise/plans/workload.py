@@ -26,14 +26,16 @@ from stallwise.operators import (
     scope,
 )
 from stallwise.operators.scope import Scope
-from stallwise.sources import sinks
+from stallwise.sources import sinks, staging
 from stallwise.sources import standins as src
-from stallwise.sources.tables import TableSet
+from stallwise.sources.schemas import SCHEMAS, conform
+from stallwise.sources.tables import TableSet, load_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LAST_30 = Scope("last_30_days")
 LAST_90 = Scope("last_90_days")
+WEEK = Scope("custom", date(2024, 1, 8), date(2024, 1, 14))
 ASIA_URGENT = Scope("last_90_days", cuisine="ASIA", traffic="1-URGENT")
 
 # Delay points of the stand-in categories.
@@ -80,8 +82,7 @@ def _funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 def _funnel_scoped(spark: SparkSession, sf: str) -> DataFrame:
     events = src.session_events(spark, sf)
-    week = Scope("custom", date(2024, 1, 8), date(2024, 1, 14))
-    return funnel.event_funnel(week.apply(events, week.bounds(events, "event_ts"), ts="event_ts"), src.FUNNEL)
+    return funnel.event_funnel(WEEK.apply(events, WEEK.bounds(events, "event_ts"), ts="event_ts"), src.FUNNEL)
 
 
 def _cohort_activity(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,6 +193,31 @@ def _adhoc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The data set written as CSV files, loaded from them and summarised."""
+    path = staging.fresh_path(spark, "csv")
+    frames = {"orders": src.order_facts(spark, sf), "restaurants": src.restaurants(spark, sf)}
+    for name, frame in frames.items():
+        sinks.write_table(conform(frame, name), f"{path}/{name}.csv", "csv")
+    return restaurants.restaurant_performance(*map(load_csv(spark, path).__getitem__, ("orders", "restaurants")))
+
+
+def _events_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written by day, and the funnel of some days, which opens their folders only."""
+    path = staging.fresh_path(spark, "events")
+    sinks.write_events(_browse_events(spark, sf), path)
+    events = spark.read.schema(SCHEMAS["events"]).parquet(path)
+    return funnel.event_funnel(WEEK.apply(events, WEEK.bounds(events, "event_ts"), ts="event_ts"))
+
+
+def _metrics_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Headline metrics written as JSON lines and read back."""
+    path = staging.fresh_path(spark, "metrics")
+    metrics = kpis.kpi_summary(src.order_facts(spark, sf))
+    sinks.write_metrics(metrics, path)
+    return spark.read.schema(metrics.schema).json(path)
+
+
 QUERIES: dict[str, Query] = {
     # Headline and daily series
     "kpi_summary": _orders(kpis.kpi_summary),
@@ -274,7 +300,11 @@ QUERIES: dict[str, Query] = {
     "gmv_decomposition": _then(
         _catalogue(diagnostics.gmv_decomposition, scope=LAST_90), rounded, "volume_effect", "aov_effect"
     ),
+    # Sources and sinks
     "adhoc_sql": _adhoc,
+    "csv_round_trip": _csv,
+    "events_by_day": _events_by_day,
+    "metrics_json": _metrics_json,
     # Models
     "model_features": _features,
     "train_test_split": _split,

@@ -6,6 +6,8 @@ change a column's type with the data.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -41,6 +43,17 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+
+def conform(frame: DataFrame, name: str) -> DataFrame:
+    """Exactly the columns of a table in their declared order and type, null where the frame has none."""
+    return frame.select(
+        *(
+            (F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in SCHEMAS[name].fields
+        )
+    )
+
+
 # Date columns that tables written by day are partitioned by, next to their timestamps.
 DAY_COLUMNS = {"order_ts": "order_date", "event_ts": "event_date"}
 

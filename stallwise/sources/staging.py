@@ -32,8 +32,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/stallwise/{label}-{uuid.uuid4().hex}"
+
+
 def stage(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and return it read back from the shared folder."""
-    path = f"{shared_folder(frame.sparkSession)}/stallwise/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(frame.sparkSession, label)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
