@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +60,11 @@ class Scope:
             return Period(empty=True)
         return Period(max(first, last - timedelta(days=PRESET_DAYS[self.period] - 1)), last)
 
+    def pinned(self, orders: DataFrame) -> Scope:
+        """The same scope with its dates fixed, so that several analyses look them up once."""
+        period = self.bounds(orders)
+        return self if period.first is None else replace(self, period="custom", start=period.first, end=period.last)
+
     def apply(
         self, facts: DataFrame, period: Period | None, restaurants: DataFrame | None = None, ts: str = "order_ts"
     ) -> DataFrame:

