@@ -6,7 +6,9 @@ the join then sees one row per restaurant, however popular it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions import measures as M
@@ -84,8 +86,8 @@ def restaurant_status(orders: DataFrame, restaurants: DataFrame, q: float = 0.9)
     catalogue = restaurants.filter(F.col("cuisine").isNotNull()).select("restaurant_id", "cuisine", "rating")
     card = stage(scores.join(catalogue, "restaurant_id"), "restaurants")
     limits = interpolated_quantiles(card, ["cancellation_rate", "avg_eta"], q)
-    late = [F.coalesce(F.col(c) >= F.lit(limit), F.lit(False)) for c, limit in limits.items() if limit is not None]
-    flagged = late[0] | late[1] if len(late) == 2 else (late or [F.lit(False)])[0]
+    # A measure nobody has a value for has no limit, and a missing value reaches none.
+    reached = [F.coalesce(F.col(c) >= F.lit(limit).cast("double"), F.lit(False)) for c, limit in limits.items()]
     return card.select(
         "restaurant_id",
         "cuisine",
@@ -94,7 +96,7 @@ def restaurant_status(orders: DataFrame, restaurants: DataFrame, q: float = 0.9)
         "cancellation_rate",
         "avg_eta",
         "rating",
-        F.when(flagged, "Needs attention").otherwise("Healthy").alias("status"),
+        F.when(reduce(Column.__or__, reached), "Needs attention").otherwise("Healthy").alias("status"),
     )
 
 

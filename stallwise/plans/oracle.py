@@ -625,21 +625,35 @@ ORACLE: dict[str, str] = {
 
 ORACLE["csv_round_trip"] = ORACLE["restaurant_performance"]
 ORACLE["metrics_json"] = ORACLE["kpi_summary"]
+
+
+def _journey_funnel(events: str, where: str) -> tuple[str, str]:
+    """Views and body of the five-stage funnel over an event query."""
+    return (
+        f"journey AS ({events})",
+        f""",
+        steps(position, stage) AS (SELECT row_number() OVER () - 1, s FROM (VALUES {ORDER_STEPS}) v(s, minutes)),
+        counted AS (
+          SELECT position, stage, count(DISTINCT session_id) AS sessions
+          FROM steps LEFT JOIN journey ON event_name = stage AND {where} GROUP BY ALL)
+        SELECT position::INT AS position, stage, sessions,
+               CASE WHEN position = 0 OR sessions + lag(sessions) OVER w = 0 THEN 1e2
+                    ELSE sessions::DOUBLE / nullif(lag(sessions) OVER w, 0) * 1e2 END AS conversion,
+               1e2 - conversion AS drop_off,
+               sessions::DOUBLE / nullif(first(sessions) OVER w, 0) * 1e2 AS overall_conversion
+        FROM counted WINDOW w AS (ORDER BY position)""",
+    )
+
+
 ORACLE["events_by_day"] = _with(
+    "sessions", "places", *_journey_funnel(BROWSE_EVENTS, "event_ts::DATE BETWEEN '2024-01-08' AND '2024-01-14'")
+)
+ORACLE["journey_funnel"] = _with(
+    "facts",
     "sessions",
     "places",
-    f"journey AS ({BROWSE_EVENTS})",
-    f"""
-    , steps(position, stage) AS (
-        SELECT row_number() OVER () - 1, s FROM (VALUES {ORDER_STEPS}) v(s, minutes)),
-    counted AS (
-        SELECT position, stage, count(DISTINCT session_id) AS sessions
-        FROM steps LEFT JOIN journey ON event_name = stage AND event_ts::DATE BETWEEN '2024-01-08' AND '2024-01-14'
-        GROUP BY ALL)
-    SELECT position::INT AS position, stage, sessions,
-           CASE position WHEN 0 THEN 1e2
-                ELSE sessions::DOUBLE / lag(sessions) OVER (ORDER BY position) * 1e2 END AS conversion,
-           1e2 - conversion AS drop_off,
-           sessions::DOUBLE / first(sessions) OVER (ORDER BY position) * 1e2 AS overall_conversion
-    FROM counted""",
+    *_journey_funnel(
+        f"{ORDER_EVENTS} UNION ALL {BROWSE_EVENTS}",
+        "event_ts::DATE BETWEEN '2000-01-01' AND '2000-12-31' AND cuisine = 'ASIA' AND traffic = '1-URGENT'",
+    ),
 )

@@ -107,6 +107,13 @@ def _journeys(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.order_events(journeys.journey_union(_order_events(spark, sf), _browse_events(spark, sf)))
 
 
+def _journey_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """The five-stage funnel of one cuisine at one traffic level in one year."""
+    events = journeys.journey_union(_order_events(spark, sf), _browse_events(spark, sf))
+    year = Scope("custom", date(2000, 1, 1), date(2000, 12, 31), cuisine="ASIA", traffic="1-URGENT")
+    return funnel.event_funnel(year.apply(events, year.bounds(events, "event_ts"), ts="event_ts"))
+
+
 def _surge(spark: SparkSession, sf: str) -> DataFrame:
     timed = features.order_time_features(src.order_facts(spark, sf, weather=True))
     priced = features.surge_pricing(timed, src.HIGH_TRAFFIC, src.RAIN)
@@ -254,6 +261,7 @@ QUERIES: dict[str, Query] = {
     # Funnel and journeys
     "event_funnel": _funnel,
     "event_funnel_scoped": _funnel_scoped,
+    "journey_funnel": _journey_funnel,
     "funnel_display": _then(_funnel, funnel.label_stages, src.FUNNEL),
     "largest_leak": _then(_funnel, funnel.largest_leak),
     "order_journey_events": _order_events,

@@ -38,6 +38,12 @@ def test_lines_are_not_read_where_not_needed(spark, name):
     assert "l_orderkey" not in plan and "Join" not in plan
 
 
+def test_top_restaurants_are_cut_before_the_shuffle(spark):
+    plan = planned(spark, "top3_restaurants_by_cuisine")
+    partial = plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1)
+    assert "Exchange hashpartitioning(cuisine" in plan[:partial] and "Partial" in plan[partial : partial + 200]
+
+
 def test_scans_read_the_needed_columns_only(spark):
     plan = QUERIES["cohort_retention"](spark, SF_DIR)._jdf.queryExecution().toString()
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan)
