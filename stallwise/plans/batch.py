@@ -1,6 +1,6 @@
 """Batch run: load, check, report, train, write.
 
-    python -m stallwise.plans.pipeline INPUT OUTPUT [--period last_30_days]
+    python -m stallwise.plans.batch INPUT OUTPUT [--period last_30_days]
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stallwise.operators import customers, features, kpis, models, quality
 from stallwise.operators.scope import Scope
-from stallwise.plans import pipeline, reports
+from stallwise.plans import batch, reports
 from stallwise.sources import sinks, staging, tables
 from stallwise.sources.schemas import SCHEMAS, TRAFFIC_ORDINAL, WEATHER_ORDINAL
 
@@ -116,8 +116,8 @@ def test_saved_table(spark, market):
     spark.sql("DROP TABLE orders_by_user")
 
 
-def test_pipeline(spark, market, tmp_path):
-    pipeline.run(market, str(tmp_path), rounds=2)
+def test_batch_run(spark, market, tmp_path):
+    batch.run(market, str(tmp_path), rounds=2)
     metrics = {r.metric: r.value for r in spark.read.json(f"{tmp_path}/metrics").collect()}
     assert metrics["eta_mae"] < 15 and 0 <= metrics["cancel_auc"] <= 1
     assert spark.read.parquet(f"{tmp_path}/sql_pack/daily_kpis").count() > 30
@@ -128,10 +128,10 @@ def test_pipeline(spark, market, tmp_path):
     assert risk.filter("cancellation_probability BETWEEN 0 AND 1").count() == ORDERS
 
 
-def test_pipeline_stops_on_broken_data(market, tmp_path):
+def test_batch_run_stops_on_broken_data(market, tmp_path):
     broken = market["orders"].withColumn("delivered", F.lit(1))
-    with pytest.raises(pipeline.BrokenInvariant, match="delivered_is_not_cancelled: 54 of 600"):
-        pipeline.run(tables.TableSet(market.spark, {**market.frames, "orders": broken}), str(tmp_path))
+    with pytest.raises(batch.BrokenInvariant, match="delivered_is_not_cancelled: 54 of 600"):
+        batch.run(tables.TableSet(market.spark, {**market.frames, "orders": broken}), str(tmp_path))
 
 
 def test_eta_model_learns(market):
