@@ -52,18 +52,30 @@ class Scope:
             return Period(self.start, self.end)
         if self.period == "full":
             return Period()
+        return self._between(orders, ts)
+
+    def _between(self, orders: DataFrame, ts: str) -> Period:
+        """The period cut to the dates present in the table."""
         day = DAY_COLUMNS.get(ts)
         # A table written by day knows its dates without reading any column.
         at = day if day in orders.columns else ts
         first, last = orders.agg(F.to_date(F.min(at)), F.to_date(F.max(at))).first()
         if last is None:
             return Period(empty=True)
-        return Period(max(first, last - timedelta(days=PRESET_DAYS[self.period] - 1)), last)
+        if self.period in PRESET_DAYS:
+            first = max(first, last - timedelta(days=PRESET_DAYS[self.period] - 1))
+        return Period(first, last)
 
     def pinned(self, orders: DataFrame) -> Scope:
-        """The same scope with its dates fixed, so that several analyses look them up once."""
-        period = self.bounds(orders)
-        return self if period.first is None else replace(self, period="custom", start=period.first, end=period.last)
+        """The same scope with the dates it has on the orders fixed.
+
+        Several analyses then look them up once, and other tables are cut to the
+        dates of the orders, also by the full period.
+        """
+        if self.period == "custom":
+            return self
+        period = self._between(orders, "order_ts")
+        return self if period.empty else replace(self, period="custom", start=period.first, end=period.last)
 
     def apply(
         self, facts: DataFrame, period: Period | None, restaurants: DataFrame | None = None, ts: str = "order_ts"

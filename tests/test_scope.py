@@ -39,7 +39,7 @@ def test_pinned_scope_keeps_its_dates(make_orders):
     orders = make_orders({"order_ts": datetime(2025, 1, 10)}, {"order_ts": datetime(2025, 1, 20)})
     pinned = Scope("last_30_days", traffic="Low").pinned(orders)
     assert pinned == Scope("custom", date(2025, 1, 10), date(2025, 1, 20), traffic="Low")
-    assert Scope().pinned(orders) == Scope()
+    assert Scope().pinned(orders) == Scope("custom", date(2025, 1, 10), date(2025, 1, 20))
     assert Scope("last_30_days").pinned(orders.limit(0)).bounds(orders.limit(0)).empty
 
 
