@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ SEED = 42
 def _fit(rows: DataFrame, booster) -> PipelineModel:
     # Boosting adds one step of lineage per round; checkpoints keep it short when executors are lost.
     use_checkpoints(rows.sparkSession)
+    # The search for splits samples rows by position: put them in the same place on every run.
+    rows = rows.repartition("order_id").sortWithinPartitions("order_id")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     return Pipeline(stages=[assembler, booster]).fit(rows)
 
