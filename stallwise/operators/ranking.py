@@ -94,8 +94,10 @@ def _bucket(span: _Span, buckets: int) -> str:
             share = f"double(v - {_text(lo)}) / {_text(float(width))}"
         else:
             share = f"(double(v) - {_text(float(lo))}) / {_text(float(span.hi) - float(lo))}"
-    elif math.isinf(width):
+    elif math.isinf(lo) or math.isinf(span.hi):
         raise ValueError("cannot rank infinite values")
+    elif math.isinf(width):
+        share = f"(v / 2 - {_text(lo / 2)}) / {_text(span.hi / 2 - lo / 2)}"
     else:
         share = f"(v - {_text(lo)}) / {_text(width)}"
     return f"least(floor({share} * {_text(float(buckets))}), {_text(buckets - 1)})"

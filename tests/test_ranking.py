@@ -44,6 +44,15 @@ def test_every_rank_of_doubles(spark, buckets):
     assert [found[r].value for r in every(rows)] == sorted(values)
 
 
+def test_doubles_at_the_ends_of_their_range(spark):
+    values = [-1.7e308, -0.5, -1e-320, 5e-324, 1e-320, 3.0, 1e300, 1.7e308]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    _, found = order_statistics(frame, [Target("v", every)], 4)[0]
+    assert [found[r].value for r in every(len(values))] == values
+    with pytest.raises(ValueError, match="infinite"):
+        order_statistics(frame.selectExpr("v * 10 AS v"), [Target("v", every)])
+
+
 def test_ranks_beyond_the_rows_are_left_out(spark):
     assert order_statistics(longs(spark, [3, 1]), [Target("v", lambda n: [0, 2, 3])])[0][1].keys() == {2}
     assert order_statistics(longs(spark, []), [Target("v", lambda n: [1])]) == [(0, {})]
