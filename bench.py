@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -28,7 +29,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = [n for n in QUERIES if os.environ.get("BENCH_MODELS") or n not in MODELS]
-    spark = local_session(cpus, shuffle_partitions=int(cpus), **{"spark.driver.memory": "8g"})
+    shared = tempfile.TemporaryDirectory(prefix="stallwise-bench-")
+    settings = {"spark.driver.memory": "8g", "spark.checkpoint.dir": shared.name}
+    spark = local_session(cpus, shuffle_partitions=int(cpus), **settings)
 
     def once(name: str) -> float:
         start = time.perf_counter()
@@ -51,6 +54,7 @@ def main() -> None:
     if os.environ.get("BENCH_SQL"):
         line["sql_queries"] = _sql_seconds(sf_dir, [n for n in names if n in ORACLE], runs)
     spark.stop()
+    shared.cleanup()
     print(json.dumps(line))
 
 

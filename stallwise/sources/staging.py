@@ -3,31 +3,28 @@
 Several passes over one expensive aggregate must see the same rows, also when
 executors are lost between passes. Such an aggregate is written once to the
 folder named by ``spark.checkpoint.dir`` and read back; columnar files let each
-pass read only the columns it needs.
+pass read only the columns it needs. Where that setting is unset the session's
+warehouse folder, which the cluster shares as well, takes its place. Folders are
+named by application, and ``clear`` (also called when Python ends) removes them.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local session may fall back to a temporary one."""
+    """The folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_folder(spark.sparkContext.applicationId)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
 
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"stallwise-{application}-")
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stallwise-{spark.sparkContext.applicationId}"
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -38,7 +35,8 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/stallwise/{label}-{uuid.uuid4().hex}"
+    _clear_at_exit(spark)
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(frame: DataFrame, label: str) -> DataFrame:
@@ -46,3 +44,24 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     path = fresh_path(frame.sparkSession, label)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every folder this application has staged. Frames that read them no longer work."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_at_exit: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    application = spark.sparkContext.applicationId
+    if application not in _at_exit:
+        _at_exit.add(application)
+        atexit.register(_quietly_clear, spark)
+
+
+def _quietly_clear(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may have been stopped
+        clear(spark)

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,24 +221,18 @@ def test_derived_order_columns(spark):
     assert [r.cancel_prob for r in delayed] == pytest.approx([0.5, 1 / (1 + 2.718281828459045**-1)])
 
 
-def test_staging_needs_a_shared_folder(spark):
+def test_staged_rows_lie_in_the_shared_folder_until_cleared(spark):
     frame = staging.stage(spark.range(3).withColumn("day", F.lit(date(2025, 1, 1))), "probe")
-    assert frame.count() == 3
-    plan = kpis.daily_series(
-        spark.createDataFrame([], "order_ts timestamp_ntz, revenue double, cancelled int, eta_minutes double")
-    )
-    assert plan.count() == 0
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert staging.shared_folder(spark) == (named or staging.shared_folder(spark))
+    assert sorted(r.id for r in frame.collect()) == [0, 1, 2]
+    assert {r.day for r in frame.collect()} == {date(2025, 1, 1)}
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in frame.inputFiles())
 
 
-def test_only_a_local_session_may_do_without_a_shared_folder():
+def test_shared_folder_comes_from_the_session():
     class Session:
-        def __init__(self, master, folder=None):
-            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-            self.sparkContext = SimpleNamespace(master=master, applicationId="app-1")
-
-    assert staging.shared_folder(Session("spark://host:7077", "/shared")) == "/shared"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging.shared_folder(Session("spark://host:7077"))
-    assert staging.shared_folder(Session("local[2]")) == staging.shared_folder(Session("local[2]"))
+        def __init__(self, **conf):
+            self.conf = conf
+
+    named = Session(**{"spark.checkpoint.dir": "/shared", "spark.sql.warehouse.dir": "/warehouse"})
+    assert staging.shared_folder(named) == "/shared"
+    assert staging.shared_folder(Session(**{"spark.sql.warehouse.dir": "/warehouse/"})) == "/warehouse/staging"
