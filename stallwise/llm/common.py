@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +45,15 @@ def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
 def crc32_fold(doc_id: Column, folds: int = 3) -> Column:
     """Fold of a document by the CRC-32 of its id as text; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0).cast("long"))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """At most ``rows`` rows in each Arrow batch while a stage of wide rows is written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

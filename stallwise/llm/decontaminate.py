@@ -7,9 +7,9 @@ multiple of L - L // 2, so a document only hashes its grams at those places, a
 fifth of all for ten words. A gram found there proposes window starts; the words
 at each are compared with the windows as text, so hash collisions can't count.
 
-The set is broadcast only after its rows were counted against ``BROADCAST_ROWS``;
-beyond that Spark joins by shuffle. Matches are few, staged with their document's
-key, and joined back by it. Nothing is capped.
+The set, and then the proposed places, are broadcast only after their rows were
+counted against ``BROADCAST_ROWS``; beyond that Spark joins by shuffle. Nothing is
+capped.
 
 Edge cases: a null text, of an item or a document, has no words. An item without
 words has no window; one of fewer than ten is one window. Repeated items count
@@ -114,13 +114,14 @@ def find(
             F.collect_set(F.struct("length", "start")).alias("places")
         )
         places = stage(places, "places").withColumnsRenamed({"doc_id": "p_id", "digest": "p_digest"})
-        on = texts["doc_id"].eqNullSafe(places["p_id"]) & (texts["digest"].eqNullSafe(places["p_digest"]))
-        proposed = let(F.col("w"), lambda w: _proposed(w, F.col("places")))
-        measured = texts.join(places, on, "left").select(
-            "doc_id", "digest", F.size("w").cast("long").alias("n_words"),
-            F.when(F.col("places").isNotNull(), proposed).alias("proposed"),
-        )
-        measured = stage(measured, "measured")
+        starts = places.agg(F.sum(F.size("places"))).first()[0] or 0
+        places = F.broadcast(places) if starts <= broadcast_rows else places
+        whole = documents.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+        on = whole["doc_id"].eqNullSafe(places["p_id"]) & whole["digest"].eqNullSafe(places["p_digest"])
+        measured = whole.join(places, on, "left").select(
+            "doc_id", "digest", let(item_words(F.col("text")), lambda w: _measured(w, F.col("places"))).alias("m")
+        )
+        measured = stage(measured.select("doc_id", "digest", "m.*"), "measured")
         candidates = measured.where("proposed IS NOT NULL").dropDuplicates(["doc_id", "digest"])
         candidates = candidates.select("doc_id", "digest", F.explode("proposed").alias("p"))
         hits = candidates.select("doc_id", "digest", "p.*").join(distinct, ["length", "window"])
@@ -154,6 +155,11 @@ def find(
     )
 
 
+def _measured(w: Column, places: Column) -> Column:
+    proposed = F.when(places.isNotNull(), _proposed(w, places))
+    return F.struct(F.size(w).cast("long").alias("n_words"), proposed.alias("proposed"))
+
+
 def _proposed(w: Column, places: Column) -> Column:
     """The words at each proposed window, where it fits into the document."""
     inside = F.filter(places, lambda p: p["start"] + p["length"] <= F.size(w))
@@ -186,7 +192,8 @@ def remove(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     hit = find(documents, benchmark, size).where("contaminated").select(
         F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")
     )
+    hit = _small(stage(hit, "contaminated"), BROADCAST_ROWS)
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
     rows = documents.select(row, F.col("doc_id").alias("key"), F.xxhash64("text").alias("digest"))
-    on = rows["key"].eqNullSafe(hit["hit_id"]) & (rows["digest"] == hit["hit_digest"])
+    on = rows["key"].eqNullSafe(hit["hit_id"]) & rows["digest"].eqNullSafe(hit["hit_digest"])
     return rows.join(hit, on, "left_anti").select("row.*")
