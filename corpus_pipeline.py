@@ -4,30 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import decontaminate, mixing, quality
+from stallwise.llm import decontaminate, jaccard, materialise, mixing, quality
 from stallwise.llm.common import table
 from stallwise.sources.staging import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host isn't rejected."""
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.representatives(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
     return mixing.training_order(docs)
 
 
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences written to fixed-stride shards: a row for each."""
+    return materialise.materialise(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources to target weights", mixing_to_weights),
+    ("token-ID / binary output", token_shards),
 ]
 
-#: The stages' rows depend on a Feistel order and a tokenizer, which SQL doesn't express.
+#: The last stage's rows depend on a tokenizer and a Feistel permutation, which SQL doesn't express.
 ORACLE_SQL = None
 
 

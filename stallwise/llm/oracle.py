@@ -136,8 +136,37 @@ SELECT doc_id, size, source_size, target,
 FROM c JOIN t4 ON c.source IS NOT DISTINCT FROM t4.source
 """
 
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 AND count(*) OVER (PARTITION BY body) > 1
+                                 THEN max(page_id) OVER (PARTITION BY body) END AS last FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN last IS NOT NULL AND (page_id IS NULL OR page_id < last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to
+FROM q
+"""
+
+JACCARD = f"""
+WITH RECURSIVE {DOCUMENTS},
+w AS (SELECT doc_id, list_filter(string_split_regex({LOWERED}, '{SPACE}+'), lambda x: x <> '') AS ws FROM d),
+s AS (SELECT DISTINCT doc_id, gram FROM (
+        SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+           GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.id
+                   WHERE reach.low < links.b),
+low AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN low ON low.id = doc_id
+"""
+
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
+    "op2_warc": WARC,
+    "op3_jaccard_join": JACCARD,
     "op4_quality_rules": quality(
         "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
     ),

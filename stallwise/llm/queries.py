@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import decontaminate, hosts, mixing, quality
-from stallwise.llm.common import table
+from stallwise.llm import (
+    decontaminate,
+    hosts,
+    jaccard,
+    languages,
+    materialise,
+    mixing,
+    pseudonyms,
+    quality,
+    toxicity,
+    warc,
+)
+from stallwise.llm.common import crc32_fold, table
 from stallwise.llm.oracle import ORACLE as ORACLE
 
 # Rules of the URL filter.
@@ -18,12 +29,23 @@ URL_RULES = (
     ("com", "/de/", "block"),
 )
 
+HELD_OUT = 1  # fold of the CRC-32 of the id that isn't learned from
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -31,6 +53,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL AND doc_id IS NOT NULL")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    learned = documents.select("doc_id", "text").where(crc32_fold(F.col("doc_id")) != HELD_OUT)
+    scored = toxicity.score(documents, toxicity.train(learned.join(labels, "doc_id")))
+    return scored.select(
+        "doc_id", (crc32_fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learned = documents.select("doc_id", "text", "lang").where(crc32_fold(F.col("doc_id")) != HELD_OUT)
+    found = languages.predict(documents, languages.train(learned))
+    return found.select(
+        "doc_id", (crc32_fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label that carries its id; other pages have none."""
     labels = table(spark, sf_dir, "labels")
@@ -42,14 +85,29 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents")).orderBy("position", "digest")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "text", "n_replaced", *(f"n_{kind}" for kind in pseudonyms.PATTERNS))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
+    "op8_materialise": op8_materialise,
     "op9_mix": op9_mix,
+    "op10_pseudonyms": op10_pseudonyms,
 }
