@@ -248,8 +248,8 @@ def read_shards(
 
     ``slot, shard, byte, n_tokens, tokens_sha256`` and, with ``body``, the ``tokens``.
     """
-    files = spark.read.format("binaryFile").schema("path string, content binary, shard bigint").load(path)
-    files = files.where(F.col("shard") >= start // per_shard).select("shard", "content")
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard") >= start // per_shard)
+    files = files.select(F.col("shard").cast("long").alias("shard"), "content")
     schema = "slot bigint, shard bigint, byte bigint, n_tokens bigint, tokens_sha256 string" + ", tokens binary" * body
     with arrow_rows(spark, 1):
         return stage(files.mapInArrow(_sequences(length, per_shard, start, body), schema), "sequences")
