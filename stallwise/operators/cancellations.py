@@ -11,13 +11,10 @@ from stallwise.functions.totals import grand_totals
 from stallwise.operators.kpis import first_max
 
 
-def cancellation_by(orders: DataFrame, column: str) -> DataFrame:
-    """Cancellation rate and volume per value of a column, rows without one left out."""
-    return (
-        orders.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(M.cancellation_pct().alias("cancellation_rate"), F.count("order_id").alias("orders"))
-    )
+def cancellation_by(orders: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
+    """Cancellation rate and volume per value of a column; rows without one are a group only if ``keep_null``."""
+    rows = orders if keep_null else orders.filter(F.col(column).isNotNull())
+    return rows.groupBy(column).agg(M.cancellation_pct().alias("cancellation_rate"), F.count(F.lit(1)).alias("orders"))
 
 
 def worst_cancellation_segment(orders: DataFrame, column: str) -> DataFrame:
@@ -27,11 +24,12 @@ def worst_cancellation_segment(orders: DataFrame, column: str) -> DataFrame:
 
 
 def severity_impact_rank(orders: DataFrame, column: str) -> DataFrame:
-    """Segments by the cancellations they cause (rate × volume) and their share of all of them."""
-    segments = (
-        orders.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("cancelled").alias("cancelled_orders"))
+    """Segments by the cancellations they cause (rate × volume) and their share of all of them.
+
+    Orders without a segment are one, so the shares add up.
+    """
+    segments = orders.groupBy(column).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("cancelled").alias("cancelled_orders")
     )
     total = grand_totals(segments, "orders", "cancelled_orders")
     return segments.select(

@@ -13,14 +13,9 @@ from stallwise.operators.scope import Scope, period_totals
 
 
 def top_n_restaurants(orders: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` restaurants with most GMV."""
-    return (
-        orders.filter(F.col("restaurant_id").isNotNull())
-        .groupBy("restaurant_id")
-        .agg(M.gmv_delivered().alias("gmv"))
-        .orderBy(F.desc("gmv"), "restaurant_id")
-        .limit(n)
-    )
+    """The ``n`` restaurants with most GMV; orders without a restaurant count as one, last on ties."""
+    totals = orders.groupBy("restaurant_id").agg(M.gmv_delivered().alias("gmv"))
+    return totals.orderBy(F.desc("gmv"), F.col("restaurant_id").asc_nulls_last()).limit(n)
 
 
 def wow_growth(orders: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.numeric import cents, money, normal_cdf, ratio
+from stallwise.functions.numeric import cents, half_up, money, normal_cdf, ratio
 from stallwise.functions.totals import grand_totals
 
 # Variant names and decisions.
@@ -34,6 +34,17 @@ def experiment_summary(sessions: DataFrame) -> DataFrame:
     )
 
 
+# Headings of the displayed table.
+HEADINGS = ("Variant", "Sessions", "Conversions", "GMV", "Cancellations", "Conversion %", "Cancel %")
+
+
+def experiment_display(sessions: DataFrame) -> DataFrame:
+    """The summary as displayed: rates in percent with two decimals."""
+    summary = experiment_summary(sessions)
+    rates = {c: half_up(F.col(c) * F.lit(100.0), 2) for c in ("conversion_rate", "cancel_rate")}
+    return summary.withColumns(rates).toDF(*HEADINGS)
+
+
 def _arms(sessions: DataFrame, by: list[str]) -> DataFrame:
     """Both variants' totals side by side in one pass; groups lacking either are dropped."""
     columns = []

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallwise.functions import calendar
 from stallwise.functions.labels import lookup, ordinal
 from stallwise.functions.numeric import half_up
-from stallwise.operators.ranking import Target, order_statistics, values_at
 from stallwise.sources.schemas import TRAFFIC_ORDINAL, WEATHER_ORDINAL
 from stallwise.sources.staging import stage
 
@@ -21,7 +20,8 @@ TRAFFIC_POINTS = {"Low": 0, "Medium": 7, "High": 16}
 WEATHER_POINTS = {"Clear": 0, "Cloudy": 3, "Rain": 9}
 TRAVEL_BASE, TRAVEL_PER_KM, TRAVEL_TRAFFIC, TRAVEL_WEATHER = 8.0, 3.1, 0.45, 0.35
 CANCEL_MIDPOINT, CANCEL_SCALE = 48.0, 8.0
-MAX_CLASSES = 100
+MISSING = -1.0  # below the range of every numeric input and category
+SPLIT_BITS, BIN_BITS = 60, 16
 FEATURES = ("distance_km", "items", "basket_value", "hour", "weekend", "traffic", "weather")
 
 
@@ -84,17 +84,26 @@ def model_features(
     traffic: Mapping[str, int] = TRAFFIC_ORDINAL,
     weather: Mapping[str, int] = WEATHER_ORDINAL,
     keep: tuple[str, ...] = ("order_id", "eta_minutes", "cancelled"),
+    strict: bool = True,
 ) -> DataFrame:
-    """The seven numeric model inputs next to the key and labels.
+    """The seven numeric model inputs of every order, next to the key and labels.
 
-    An unknown category fails the job. Orders missing a numeric input are left out.
+    A missing numeric input becomes ``MISSING``, a value of its own to a tree. An
+    unknown category fails the job, or becomes ``MISSING`` unless ``strict``.
     """
-    numeric = [c for c in FEATURES if c not in ("traffic", "weather")]
-    return orders.dropna(subset=numeric).select(
+
+    def number(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("double"), F.lit(MISSING)).alias(column)
+
+    def category(column: str, levels: Mapping[str, int]) -> Column:
+        value = ordinal(column, levels) if strict else lookup(column, levels, MISSING)
+        return value.cast("double").alias(column)
+
+    return orders.select(
         *(c for c in keep if c in orders.columns),
-        *(F.col(c).cast("double").alias(c) for c in numeric),
-        ordinal("traffic", traffic).cast("double").alias("traffic"),
-        ordinal("weather", weather).cast("double").alias("weather"),
+        *(number(c) for c in FEATURES if c not in ("traffic", "weather")),
+        category("traffic", traffic),
+        category("weather", weather),
     )
 
 
@@ -110,19 +119,27 @@ def train_test_split(
     """Add ``is_test``: the rows with the smallest digests, ``test_share`` of them exactly.
 
     Membership hangs on the key alone, so retries and repartitioning cannot move a
-    row. With ``stratify`` (a column of few classes) every class gives its share.
+    row. With ``stratify`` every class gives its share, the null class too.
+
+    The digest of the last test row is found per class without gathering the class:
+    counts by the digest's leading bits say which bin holds it, and only that bin,
+    one in ``2 ** BIN_BITS``, is put in order.
     """
-    staged = stage(rows.withColumn("split_key", split_key(key, seed)), "split")
-    if stratify is None:
-        cut = values_at(staged, "split_key", lambda rows: [math.ceil(test_share * rows)] if rows else [])
-        in_test = F.col("split_key") <= F.lit(cut[0]) if cut else F.lit(False)
-    else:
-        in_test = F.lit(False)
-        classes = [row[0] for row in staged.select(stratify).distinct().limit(MAX_CLASSES + 1).collect()]
-        if len(classes) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes in {stratify}")
-        targets = [Target("split_key", lambda rows: [round(test_share * rows)], stratify, c) for c in classes]
-        for target, (_, found) in zip(targets, order_statistics(staged, targets)):
-            for at in found.values():
-                in_test = in_test | (target.member() & (F.col("split_key") <= F.lit(at.value)))
-    return staged.withColumn("is_test", in_test).drop("split_key")
+    group = F.lit(0) if stratify is None else F.col(stratify)
+    staged = rows.withColumn("split_key", split_key(key, seed)).withColumn("split_group", group)
+    staged = stage(staged.withColumn("split_bin", F.shiftright("split_key", SPLIT_BITS - BIN_BITS)), "split")
+    bins = staged.groupBy("split_group", "split_bin").agg(F.count(F.lit(1)).alias("n"))
+    ahead = W.partitionBy("split_group").orderBy("split_bin").rowsBetween(W.unboundedPreceding, 0)
+    share = F.sum("n").over(W.partitionBy("split_group")) * F.lit(test_share)
+    wanted = F.ceil(share) if stratify is None else F.bround(share)
+    bins = bins.withColumns({"wanted": wanted.cast("long"), "upto": F.sum("n").over(ahead)})
+    last = bins.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted"))).select(
+        F.col("split_group").alias("g"), F.col("split_bin").alias("b"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("nth")
+    )
+    inside = staged.join(last, staged["split_group"].eqNullSafe(last["g"]) & (staged["split_bin"] == last["b"]))
+    turn = F.row_number().over(W.partitionBy("split_group").orderBy("split_key"))
+    cuts = inside.withColumn("turn", turn).where(F.col("turn") == F.col("nth"))
+    cuts = cuts.select(F.col("split_group").alias("cut_group"), F.col("split_key").alias("cut"))
+    marked = staged.join(cuts, staged["split_group"].eqNullSafe(cuts["cut_group"]), "left")
+    is_test = F.coalesce(F.col("split_key") <= F.col("cut"), F.lit(False))
+    return marked.select(*(staged[c] for c in rows.columns), is_test.alias("is_test"))

@@ -11,6 +11,8 @@ from stallwise.functions.labels import lookup
 from stallwise.functions.numeric import ratio
 from stallwise.sources.schemas import STAGES
 
+BITS = 63  # stages that one long holds
+
 
 def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] = tuple(STAGES)) -> DataFrame:
     """Distinct sessions per stage in the given order.
@@ -21,13 +23,18 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
     first stage and for 0 of 0, null for some of 0.
     """
     names = list(stages)
-    bits = lookup("event_name", {name: 1 << i for i, name in enumerate(names)}).cast("long")
+    groups = [names[i : i + BITS] for i in range(0, len(names), BITS)]
+    bits = [
+        lookup("event_name", {name: 1 << i for i, name in enumerate(group)}, 0).cast("long").alias(f"bits{k}")
+        for k, group in enumerate(groups)
+    ]
     # A session becomes one row with a bit per stage, merged before the shuffle;
     # counting bits then needs no DISTINCT.
     sessions = (
         events.filter(F.col("event_name").isin(names) & F.col("session_id").isNotNull())
+        .select("session_id", *bits)
         .groupBy("session_id")
-        .agg(F.bit_or(bits).alias("reached"))
+        .agg(*(F.bit_or(f"bits{k}").alias(f"reached{k}") for k in range(len(groups))))
     )
     # The global aggregate yields its row, with zeros, even without events.
     counts = sessions.agg(
@@ -36,7 +43,7 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
                 F.struct(
                     F.lit(i).alias("position"),
                     F.lit(name).alias("stage"),
-                    F.count_if(F.getbit("reached", F.lit(i)) == 1).alias("sessions"),
+                    F.count_if(F.getbit(f"reached{i // BITS}", F.lit(i % BITS)) == 1).alias("sessions"),
                 )
                 for i, name in enumerate(names)
             )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.calendar import plus_minutes
 from stallwise.functions.labels import padded_id
+from stallwise.operators.scope import Period
 
 # Minutes of each stage relative to the order, and to the start of a browse session.
 ORDER_OFFSETS = {"session_start": -8, "menu_view": -6, "add_to_cart": -4, "checkout": -2, "order": 0}
@@ -27,10 +29,27 @@ def with_cuisine(facts: DataFrame, restaurants: DataFrame) -> DataFrame:
     return facts.join(restaurants.select("restaurant_id", "cuisine"), "restaurant_id", "left")
 
 
+def _leading_to(period: Period | None, facts: DataFrame, ts: str, offsets: Mapping[str, int]) -> DataFrame:
+    """Facts that may have events in the period, cut before they are expanded so that the scan skips the others."""
+    if period is None or period.first is None:
+        return facts if period is None else period.filter(facts, ts)
+    start = plus_minutes(F.lit(period.first.isoformat()).cast("timestamp_ntz"), F.lit(-max(offsets.values())))
+    after = (period.last + timedelta(days=1)).isoformat()
+    end = plus_minutes(F.lit(after).cast("timestamp_ntz"), F.lit(-min(offsets.values())))
+    return facts.filter((F.col(ts) >= start) & (F.col(ts) < end))
+
+
 def order_journey_events(
-    orders: DataFrame, restaurants: DataFrame, offsets: Mapping[str, int] = ORDER_OFFSETS
+    orders: DataFrame,
+    restaurants: DataFrame,
+    offsets: Mapping[str, int] = ORDER_OFFSETS,
+    period: Period | None = None,
 ) -> DataFrame:
-    """The events that led to each order: one row per stage, minutes before the order."""
+    """The events that led to each order: one row per stage, minutes before the order.
+
+    With a period only the orders that may have an event in it are expanded.
+    """
+    orders = _leading_to(period, orders, "order_ts", offsets)
     steps = F.array(
         *(F.struct(F.lit(name).alias("event_name"), F.lit(m).alias("minutes")) for name, m in offsets.items())
     )
@@ -44,9 +63,13 @@ def order_journey_events(
 
 
 def browse_session_events(
-    sessions: DataFrame, restaurants: DataFrame, offsets: Mapping[str, int] = BROWSE_OFFSETS
+    sessions: DataFrame,
+    restaurants: DataFrame,
+    offsets: Mapping[str, int] = BROWSE_OFFSETS,
+    period: Period | None = None,
 ) -> DataFrame:
     """The events of sessions without an order, up to the furthest stage reached."""
+    sessions = _leading_to(period, sessions, "browse_ts", offsets)
     steps = F.array(
         *(
             F.struct(

@@ -97,11 +97,12 @@ def daily_trends_7d(orders: DataFrame, rows: int = 7) -> DataFrame:
 
 
 def first_max(value: Column, key: Column, payload: Column) -> Column:
-    """``payload`` of the row with the greatest value, the smallest key winning ties.
+    """``payload`` of the row with the greatest value, the smallest key winning ties; null values don't count.
 
     Structs compare field by field, so the smallest key of the negated value is it.
     """
-    return F.min_by(payload, F.struct((-value).alias("v"), key.alias("k")))
+    order = F.struct((-value).alias("v"), key.alias("k"))
+    return F.min_by(payload, F.when(value.isNotNull(), order))
 
 
 def peak_and_worst_day(orders: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.numeric import clip, col
+from stallwise.functions.numeric import col
 
 # Elasticity, lowest price ratio the demand curve is used for, and grid size.
 ELASTICITY = -1.15
@@ -14,8 +14,9 @@ GRID_STEPS = 41
 
 
 def demand_multiplier(price: Column | str, reference_price: Column | str, elasticity: float = ELASTICITY) -> Column:
-    """Demand at a price relative to demand at the reference price."""
-    return F.pow(F.greatest(col(price) / col(reference_price), F.lit(LOWEST_RATIO)), F.lit(elasticity))
+    """Demand at a price relative to demand at the reference price, null if that is 0."""
+    ratio = F.try_divide(col(price), col(reference_price))
+    return F.when(ratio.isNotNull(), F.pow(F.greatest(ratio, F.lit(LOWEST_RATIO)), F.lit(elasticity)))
 
 
 def _grid(min_margin: Column, max_change: float, steps: int) -> dict[str, Column]:
@@ -84,25 +85,15 @@ def optimize_price(
 ) -> DataFrame:
     """The feasible price with the greatest contribution, the lowest one on ties.
 
-    Contribution rises up to a single price and falls after it (it only rises when
-    demand is inelastic), so the best grid point is next to that price or to the
-    end of the feasible range. Only those few points are priced, in the product's
-    own row: no grid is expanded and no product is shuffled.
+    The grid is priced inside the product's row: nothing is expanded or shuffled.
+    A product that can't be priced (no reference price, demand or cost) gets nulls.
     """
     grid = _grid(_margin(min_margin), max_change, steps)
-    reference, last = F.col("reference_price"), F.lit(steps - 1)
-    if elasticity < -1:
-        peak = F.greatest(
-            F.col("unit_cost") * F.lit(elasticity / (1 + elasticity)), reference * F.lit(LOWEST_RATIO), grid["floor"]
-        )
-    else:
-        peak = grid["high"]
-    nearest = F.floor(clip((peak - grid["low"]) / grid["width"], 0.0, float(steps - 1))).cast("int")
 
     def offer(step: Column) -> Column:
         candidate = _candidate(step, grid, steps)
         price = candidate["price"]
-        demand = F.col("base_demand") * demand_multiplier(price, reference, elasticity)
+        demand = F.col("base_demand") * demand_multiplier(price, F.col("reference_price"), elasticity)
         return F.struct(
             candidate["feasible"].alias("feasible"),
             ((price - F.col("unit_cost")) * demand).alias("contribution"),
@@ -111,12 +102,11 @@ def optimize_price(
             (price * demand).alias("revenue"),
         )
 
-    # One step either way covers rounding in the division.
-    around = [F.greatest(F.lit(0), F.least(last, F.col("nearest") + d)) for d in (-1, 0, 1, 2)]
+    offers = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), offer)
     best = F.col("best")
     return (
-        products.withColumn("nearest", F.when(grid["none_feasible"], F.lit(0)).otherwise(nearest))
-        .select(key, F.greatest(*map(offer, around)).alias("best"))
+        products.withColumn("offers", offers)
+        .select(key, F.array_max(F.filter("offers", lambda o: o["feasible"] & o["contribution"].isNotNull())).alias("best"))
         .select(
             key,
             (-best["negative_price"]).alias("recommended_price"),

@@ -205,15 +205,16 @@ GRID = """
           FROM grid WHERE raw >= floor_price OR (i = 0 AND high < floor_price))"""
 FEATURES = """
         feats AS (
-          SELECT order_id, eta_minutes, cancelled, distance_km::DOUBLE AS distance_km, items::DOUBLE AS items,
-                 basket_value, 0::DOUBLE AS hour, (isodow(order_ts) > 5)::INT::DOUBLE AS weekend,
+          SELECT order_id, eta_minutes, cancelled, coalesce(distance_km, -1)::DOUBLE AS distance_km,
+                 coalesce(items, -1)::DOUBLE AS items, coalesce(basket_value, -1)::DOUBLE AS basket_value,
+                 0::DOUBLE AS hour, (isodow(order_ts) > 5)::INT::DOUBLE AS weekend,
                  (list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], traffic) - 1)::DOUBLE
                    AS traffic,
                  (list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], weather) - 1)::DOUBLE
                    AS weather
-          FROM facts WHERE items IS NOT NULL),
+          FROM facts),
         digests AS (
-          SELECT order_id, cancelled, ('0x' || substr(md5('42:' || order_id), 1, 15))::BIGINT AS h FROM feats)"""
+          SELECT order_id, cancelled, eta_minutes, ('0x' || substr(md5('42:' || order_id), 1, 15))::BIGINT AS h FROM feats)"""
 
 ORACLE: dict[str, str] = {
     "kpi_summary": _with(
@@ -323,7 +324,7 @@ ORACLE: dict[str, str] = {
     "top_n_restaurants": _with(
         "facts",
         """
-        SELECT restaurant_id, sum(paid)::DOUBLE / 1e2 AS gmv FROM facts WHERE restaurant_id IS NOT NULL
+        SELECT restaurant_id, sum(paid)::DOUBLE / 1e2 AS gmv FROM facts
         GROUP BY 1 ORDER BY gmv DESC, restaurant_id LIMIT 10""",
     ),
     "rfm_segments": _with(
@@ -411,7 +412,7 @@ ORACLE: dict[str, str] = {
         "facts",
         """
         SELECT restaurant_id, avg(cancelled) * 1e2 AS cancellation_rate, count(*) AS orders
-        FROM facts WHERE restaurant_id IS NOT NULL GROUP BY 1""",
+        FROM facts GROUP BY 1""",
     ),
     "worst_cancellation_segment": _with(
         "facts",
@@ -425,7 +426,7 @@ ORACLE: dict[str, str] = {
         SELECT restaurant_id, count(*) AS orders, avg(cancelled) * 1e2 AS cancellation_rate,
                sum(cancelled)::BIGINT AS cancelled_orders,
                sum(cancelled)::DOUBLE / sum(sum(cancelled)) OVER () * 1e2 AS share_of_cancellations_pct
-        FROM facts WHERE restaurant_id IS NOT NULL GROUP BY 1""",
+        FROM facts GROUP BY 1""",
     ),
     "experiment_summary": _with(
         "sessions",
@@ -436,6 +437,16 @@ ORACLE: dict[str, str] = {
                sum(cancelled)::DOUBLE / nullif(sum(converted), 0) AS cancel_rate
         FROM sessions GROUP BY 1""",
     ),
+    "experiment_display": _with(
+        "sessions",
+        """
+        SELECT variant AS "Variant", count(*) AS "Sessions", sum(converted)::BIGINT AS "Conversions",
+               sum(paid)::DOUBLE / 1e2 AS "GMV", sum(cancelled)::BIGINT AS "Cancellations",
+               round((sum(converted)::DOUBLE / count(*) * 1e2)::DECIMAL(28, 6), 2)::DOUBLE AS "Conversion %",
+               round((sum(cancelled)::DOUBLE / nullif(sum(converted), 0) * 1e2)::DECIMAL(28, 6), 2)::DOUBLE
+                 AS "Cancel %"
+        FROM sessions GROUP BY 1""",
+    ),
     "experiment_readout": _with(
         ONE_ARM,
         """
@@ -623,6 +634,34 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+SCORED = """
+        SELECT order_id, true AS in_range, row_number() OVER (ORDER BY h) <= ceil(count(*) OVER () * 2 / 1e1) AS is_test
+        FROM digests"""
+ORACLE |= {
+    "eta_model_metrics": _with(
+        "facts", FEATURES,
+        """
+        SELECT 'eta_mae' AS metric, ceil(count(*) * 2 / 1e1)::BIGINT AS test_rows, true AS sound
+        FROM digests WHERE eta_minutes IS NOT NULL""",
+    ),
+    "cancel_model_metrics": _with(
+        "facts", FEATURES,
+        """
+        SELECT 'cancel_auc' AS metric, sum(n)::BIGINT AS test_rows, true AS sound
+        FROM (SELECT round_even(count(*) * 2 / 1e1, 0) AS n FROM digests GROUP BY cancelled)""",
+    ),
+    "score_eta": _with("facts", FEATURES, SCORED),
+    "score_cancellation_risk": _with("facts", FEATURES, SCORED),
+    "score_validated": "SELECT *, violations = '' AS scored FROM (" + ORACLE["validate_order_features"] + ")",
+    "model_round_trip": "SELECT o_orderkey AS order_id, true AS same FROM orders",
+    "optional_tables": """
+        SELECT name, name IN ('orders', 'restaurants') AS present,
+               CASE name WHEN 'orders' THEN (SELECT count(*) FROM orders)
+                         WHEN 'restaurants' THEN (SELECT count(*) FROM supplier) END AS rows
+        FROM (VALUES ('users'), ('restaurants'), ('riders'), ('orders'), ('events'), ('experiments')) t(name)""",
+    "replaced_view": "SELECT o_orderpriority AS traffic, count(*) AS orders FROM orders GROUP BY 1",
+}
+
 ORACLE["csv_round_trip"] = ORACLE["restaurant_performance"]
 ORACLE["metrics_json"] = ORACLE["kpi_summary"]
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 from stallwise.operators import cancellations, customers, experiments, funnel, kpis, restaurants, retention, scope
 from stallwise.operators.scope import Scope
+from stallwise.sources.staging import stage
 from stallwise.sources.tables import MissingTable, TableSet
 
 Report = Callable[[], DataFrame]
@@ -22,7 +24,11 @@ def reports(tables: TableSet, within: Scope = Scope("last_30_days")) -> dict[str
     orders, catalogue = tables["orders"], tables["restaurants"]
     within = within.pinned(orders)
     period = within.bounds(orders)
-    scoped = within.apply(orders, period, catalogue)
+
+    @cache
+    def scoped() -> DataFrame:
+        """The orders in scope, written once for all reports that read them."""
+        return stage(within.apply(orders, period, catalogue), "scoped")
 
     def in_scope_funnel() -> DataFrame:
         return funnel.event_funnel(within.apply(tables["events"], period, ts="event_ts"))
@@ -30,18 +36,18 @@ def reports(tables: TableSet, within: Scope = Scope("last_30_days")) -> dict[str
     return {
         "period_over_period": lambda: scope.period_over_period(orders, catalogue, within),
         "filter_values": lambda: scope.filter_values(orders, catalogue),
-        "daily_trends_7d": lambda: kpis.daily_trends_7d(scoped),
-        "peak_and_worst_day": lambda: kpis.peak_and_worst_day(scoped),
+        "daily_trends_7d": lambda: kpis.daily_trends_7d(scoped()),
+        "peak_and_worst_day": lambda: kpis.peak_and_worst_day(scoped()),
         "event_funnel": lambda: funnel.label_stages(in_scope_funnel()),
         "largest_leak": lambda: funnel.largest_leak(in_scope_funnel()),
-        "hourly_demand": lambda: kpis.hourly_demand(scoped),
-        "restaurant_status": lambda: restaurants.restaurant_status(scoped, catalogue),
-        "restaurant_top30": lambda: restaurants.restaurant_top30(scoped, catalogue),
-        "behavioral_segments": lambda: customers.behavioral_segments(scoped),
-        "cohort_activity": lambda: retention.cohort_activity(scoped),
-        "cancellation_by_hour": lambda: cancellations.cancellation_by(scoped, "hour"),
-        "cancellation_by_traffic": lambda: cancellations.cancellation_by(scoped, "traffic"),
-        "worst_cancellation_segment": lambda: cancellations.worst_cancellation_segment(scoped, "traffic"),
+        "hourly_demand": lambda: kpis.hourly_demand(scoped()),
+        "restaurant_status": lambda: restaurants.restaurant_status(scoped(), catalogue),
+        "restaurant_top30": lambda: restaurants.restaurant_top30(scoped(), catalogue),
+        "behavioral_segments": lambda: customers.behavioral_segments(scoped()),
+        "cohort_activity": lambda: retention.cohort_activity(scoped()),
+        "cancellation_by_hour": lambda: cancellations.cancellation_by(scoped(), "hour"),
+        "cancellation_by_traffic": lambda: cancellations.cancellation_by(scoped(), "traffic"),
+        "worst_cancellation_segment": lambda: cancellations.worst_cancellation_segment(scoped(), "traffic"),
         "experiment_summary": lambda: experiments.experiment_summary(tables["experiments"]),
         "experiment_readout": lambda: experiments.experiment_readout(tables["experiments"]),
     }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import cache, partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.functions import measures as M
 from stallwise.operators import (
     cancellations,
     customers,
@@ -25,11 +26,11 @@ from stallwise.operators import (
     retention,
     scope,
 )
-from stallwise.operators.scope import Scope
+from stallwise.operators.scope import Period, Scope
 from stallwise.sources import sinks, staging
 from stallwise.sources import standins as src
 from stallwise.sources.schemas import SCHEMAS, conform
-from stallwise.sources.tables import TableSet, load_csv
+from stallwise.sources.tables import TableSet, load_csv, load_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +57,17 @@ def _catalogue(operator, *args, **kwargs) -> Query:
     return lambda spark, sf: operator(src.order_facts(spark, sf), src.restaurants(spark, sf), *args, **kwargs)
 
 
+def _period(operator, scope: Scope) -> Query:
+    """An operator that looks at a period and the one before: only those orders, and their lines, are read."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        pinned = scope.pinned(src.order_dates(spark, sf))
+        within = pinned.bounds(src.order_dates(spark, sf)).with_previous()
+        return operator(src.order_facts(spark, sf, within=within), src.restaurants(spark, sf), scope=pinned)
+
+    return query
+
+
 def _attempts(operator, *args, **kwargs) -> Query:
     return lambda spark, sf: operator(src.attempts(spark, sf), *args, **kwargs)
 
@@ -95,12 +107,12 @@ def _retention_by_channel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _order_events(spark: SparkSession, sf: str) -> DataFrame:
-    return journeys.order_journey_events(src.order_facts(spark, sf), src.restaurants(spark, sf))
+def _order_events(spark: SparkSession, sf: str, period: Period | None = None) -> DataFrame:
+    return journeys.order_journey_events(src.order_facts(spark, sf), src.restaurants(spark, sf), period=period)
 
 
-def _browse_events(spark: SparkSession, sf: str) -> DataFrame:
-    return journeys.browse_session_events(src.browse_sessions(spark, sf), src.restaurants(spark, sf))
+def _browse_events(spark: SparkSession, sf: str, period: Period | None = None) -> DataFrame:
+    return journeys.browse_session_events(src.browse_sessions(spark, sf), src.restaurants(spark, sf), period=period)
 
 
 def _journeys(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,9 +121,10 @@ def _journeys(spark: SparkSession, sf: str) -> DataFrame:
 
 def _journey_funnel(spark: SparkSession, sf: str) -> DataFrame:
     """The five-stage funnel of one cuisine at one traffic level in one year."""
-    events = journeys.journey_union(_order_events(spark, sf), _browse_events(spark, sf))
     year = Scope("custom", date(2000, 1, 1), date(2000, 12, 31), cuisine="ASIA", traffic="1-URGENT")
-    return funnel.event_funnel(year.apply(events, year.bounds(events, "event_ts"), ts="event_ts"))
+    period = Period(year.start, year.end)
+    events = journeys.journey_union(_order_events(spark, sf, period), _browse_events(spark, sf, period))
+    return funnel.event_funnel(year.apply(events, period, ts="event_ts"))
 
 
 def _surge(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,19 +185,75 @@ def _split(spark: SparkSession, sf: str, stratify: str | None = None) -> DataFra
     return features.train_test_split(rows, stratify=stratify)
 
 
-@cache
-def _fitted(spark: SparkSession, sf: str, kind: str):
-    train = {"eta": models.train_eta, "cancel": models.train_cancel}[kind]
-    return train(_features(spark, sf))
+TRAIN = {"eta": models.train_eta, "cancel": models.train_cancel}
+SCORE = {"eta": models.score_eta, "cancel": models.score_cancellation_risk}
+# What a score must lie in: minutes up to twice the longest stand-in ETA, and probabilities.
+SCORE_RANGE = {"eta": (0.0, 100.0), "cancel": (0.0, 1.0)}
 
 
 def _metrics(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return _fitted(spark, sf, kind)[1]
+    """What of a model's metrics doesn't hang on the trainer: the rows it was tested on, and whether the ETA beats the mean.
+
+    Cancellations of the stand-in orders have nothing to do with the inputs, so their AUC only has to be one.
+    """
+    sound = F.col("skilled") if kind == "eta" else F.col("value").between(0.0, 1.0)
+    return TRAIN[kind](_features(spark, sf))[1].select("metric", "test_rows", sound.alias("sound"))
 
 
 def _scored(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    score = {"eta": models.score_eta, "cancel": models.score_cancellation_risk}[kind]
-    return score(_fitted(spark, sf, kind)[0], _features(spark, sf)).drop(*features.FEATURES)
+    """Every order with a score, its part in the split and whether the score lies in range."""
+    rows = _features(spark, sf)
+    scored = SCORE[kind](TRAIN[kind](rows)[0], rows)
+    split = features.train_test_split(rows.select("order_id", "cancelled"))
+    in_range = F.col(scored.columns[-1]).between(*SCORE_RANGE[kind])
+    return scored.select("order_id", in_range.alias("in_range")).join(split.select("order_id", "is_test"), "order_id")
+
+
+def _score_validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that meet the input rules are scored, the others keep their violations."""
+    orders = src.order_features(spark, sf)
+    checked = quality.validate_order_features(orders, src.TRAFFIC_LEVELS, src.WEATHER_LEVELS)
+    rows = features.model_features(orders, src.TRAFFIC_LEVELS, src.WEATHER_LEVELS, strict=False)
+    model, _ = models.train_eta(rows)
+    scored = models.score_valid(model, checked, rows, models.score_eta)
+    return scored.select(
+        "order_id", F.array_join("violations", ",").alias("violations"),
+        F.col("predicted_eta_minutes").isNotNull().alias("scored"),
+    )
+
+
+def _model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A model saved, loaded and applied: every order gets the score of the model that was saved."""
+    rows = _features(spark, sf)
+    model, _ = models.train_cancel(rows)
+    path = staging.fresh_path(spark, "model")
+    models.save_model(model, path)
+    both = [models.score_cancellation_risk(m, rows) for m in (model, models.load_model(path))]
+    score = "cancellation_probability"
+    again = both[1].select("order_id", F.col(score).alias("again"))
+    return both[0].join(again, "order_id").select("order_id", F.col(score).eqNullSafe(F.col("again")).alias("same"))
+
+
+def _optional_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A data set without its optional tables: which are there, and how many rows they have."""
+    path = staging.fresh_path(spark, "tables")
+    for name, frame in {"orders": src.order_facts(spark, sf), "restaurants": src.restaurants(spark, sf)}.items():
+        sinks.write_table(conform(frame, name), f"{path}/{name}.parquet")
+    tables = load_parquet(spark, path)
+    rows = [
+        (tables[name].agg(F.count(F.lit(1)).alias("rows")) if name in tables else spark.range(1).select(F.lit(None).cast("long").alias("rows")))
+        .select(F.lit(name).alias("name"), F.lit(name in tables).alias("present"), "rows")
+        for name in SCHEMAS
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _replaced_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A view over delivered orders, replaced by one over all of them."""
+    facts = src.order_facts(spark, sf)
+    for frame in (facts.filter(M.delivered()), facts):
+        TableSet(spark, {"replaced_orders": frame}).register()
+    return spark.table("replaced_orders").groupBy("traffic").agg(F.count(F.lit(1)).alias("orders"))
 
 
 def _adhoc(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,10 +305,10 @@ QUERIES: dict[str, Query] = {
     "peak_hour_demand": _attempts(kpis.peak_hour_demand),
     "hourly_demand": _attempts(kpis.hourly_demand),
     # Scope and comparison
-    "period_snapshot": _catalogue(scope.period_snapshot, LAST_30),
+    "period_snapshot": _period(scope.period_snapshot, LAST_30),
     "period_snapshot_full": _catalogue(scope.period_snapshot),
-    "period_over_period": _catalogue(scope.period_over_period, LAST_30),
-    "period_over_period_scoped": _catalogue(scope.period_over_period, ASIA_URGENT),
+    "period_over_period": _period(scope.period_over_period, LAST_30),
+    "period_over_period_scoped": _period(scope.period_over_period, ASIA_URGENT),
     "filter_values": _catalogue(scope.filter_values),
     # Restaurants
     "restaurant_scorecard_sql": _orders(restaurants.restaurant_scorecard_sql),
@@ -270,11 +339,12 @@ QUERIES: dict[str, Query] = {
     # Cancellations
     "cancellation_by_hour": _attempts(cancellations.cancellation_by, "hour"),
     "cancellation_by_traffic": _orders(cancellations.cancellation_by, "traffic"),
-    "cancellation_by_restaurant": _orders(cancellations.cancellation_by, "restaurant_id"),
+    "cancellation_by_restaurant": _orders(cancellations.cancellation_by, "restaurant_id", keep_null=True),
     "worst_cancellation_segment": _orders(cancellations.worst_cancellation_segment, "traffic"),
     "severity_impact_rank": _orders(cancellations.severity_impact_rank, "restaurant_id"),
     # Experiments
     "experiment_summary": _sessions(experiments.experiment_summary),
+    "experiment_display": _sessions(experiments.experiment_display),
     "experiment_readout": _then(_sessions(experiments.experiment_readout), rounded, "z", "p_value"),
     "experiment_by_segment": _then(
         _by_channel(experiments.experiment_by_segment, "acquisition_channel"), rounded, "z", "p_value", "p_adjusted"
@@ -306,13 +376,15 @@ QUERIES: dict[str, Query] = {
         _orders(diagnostics.rate_change_contribution, "traffic"), rounded, "contribution_pp", "mix_pp", "rate_pp"
     ),
     "gmv_decomposition": _then(
-        _catalogue(diagnostics.gmv_decomposition, scope=LAST_90), rounded, "volume_effect", "aov_effect"
+        _period(diagnostics.gmv_decomposition, LAST_90), rounded, "volume_effect", "aov_effect"
     ),
     # Sources and sinks
     "adhoc_sql": _adhoc,
     "csv_round_trip": _csv,
     "events_by_day": _events_by_day,
     "metrics_json": _metrics_json,
+    "optional_tables": _optional_tables,
+    "replaced_view": _replaced_view,
     # Models
     "model_features": _features,
     "train_test_split": _split,
@@ -321,4 +393,6 @@ QUERIES: dict[str, Query] = {
     "cancel_model_metrics": partial(_metrics, kind="cancel"),
     "score_eta": partial(_scored, kind="eta"),
     "score_cancellation_risk": partial(_scored, kind="cancel"),
+    "score_validated": _score_validated,
+    "model_round_trip": _model_round_trip,
 }

@@ -10,36 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {
-    "long": T.LongType(),
-    "int": T.IntegerType(),
-    "double": T.DoubleType(),
-    "string": T.StringType(),
-    "date": T.DateType(),
-    "ts": T.TimestampNTZType(),
-}
-
-
-def _schema(spec: str) -> T.StructType:
-    fields = (part.split(":") for part in spec.split())
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
-
-
 # Table and column names of the marketplace data model.
-SCHEMAS: dict[str, T.StructType] = {
-    "users": _schema("user_id:long signup_date:date acquisition_channel:string"),
-    "restaurants": _schema("restaurant_id:long cuisine:string rating:double prep_capacity:long"),
-    "riders": _schema("rider_id:long experience_months:long"),
-    "orders": _schema(
-        "order_id:long user_id:long restaurant_id:long rider_id:long order_ts:ts hour:int weekend:int"
-        " traffic:string weather:string distance_km:double items:int basket_value:double"
-        " listed_price:double discount_pct:double eta_minutes:double cancelled:int delivered:int revenue:double"
+SCHEMAS = {
+    "users": "user_id bigint, signup_date date, acquisition_channel string",
+    "restaurants": "restaurant_id bigint, cuisine string, rating double, prep_capacity bigint",
+    "riders": "rider_id bigint, experience_months bigint",
+    "orders": (
+        "order_id bigint, user_id bigint, restaurant_id bigint, rider_id bigint, order_ts timestamp_ntz, hour int,"
+        " weekend int, traffic string, weather string, distance_km double, items int, basket_value double,"
+        " listed_price double, discount_pct double, eta_minutes double, cancelled int, delivered int, revenue double"
     ),
-    "events": _schema(
-        "session_id:string user_id:long event_ts:ts event_name:string restaurant_id:long cuisine:string traffic:string"
+    "events": (
+        "session_id string, user_id bigint, event_ts timestamp_ntz, event_name string, restaurant_id bigint,"
+        " cuisine string, traffic string"
     ),
-    "experiments": _schema(
-        "experiment_id:string session_id:string variant:string converted:int gmv:double cancelled:int"
+    "experiments": (
+        "experiment_id string, session_id string, variant string, converted int, gmv double, cancelled int"
     ),
 }
 
@@ -49,7 +35,7 @@ def conform(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(
         *(
             (F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SCHEMAS[name].fields
+            for f in T.StructType.fromDDL(SCHEMAS[name])
         )
     )
 

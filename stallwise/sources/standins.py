@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import calendar
 from stallwise.functions.labels import lookup
 from stallwise.functions.numeric import cents, money
+from stallwise.operators.scope import Period
 
 # Roles given to the test tables' own categories.
 FUNNEL = {"view": "View", "click": "Click", "signup": "Sign-up", "purchase": "Purchase"}
@@ -42,15 +43,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_facts(spark: SparkSession, sf_dir: str, weather: bool = False) -> DataFrame:
-    """One row per order.
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of all orders, for scopes that look up the first and last."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("order_ts"))
 
-    Order lines are aggregated to the order before the join. Where no line
-    column is used Catalyst drops that join, the aggregate's key being unique.
-    Customer keys carry no such proof, so that join is made only on request.
+
+def order_facts(
+    spark: SparkSession, sf_dir: str, weather: bool = False, within: Period | None = None
+) -> DataFrame:
+    """One row per order, of one period on request.
+
+    Order lines are aggregated to the order before the join, with a period only
+    those of its orders. Where no line column is used Catalyst drops that join,
+    the aggregate's key being unique. Customer keys carry no such proof, so that
+    join is made only on request.
     """
+    raw, raw_lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if within is not None:
+        raw = within.filter(raw, "o_orderdate")
+        raw_lines = raw_lines.join(raw, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     lines = (
-        table(spark, sf_dir, "lineitem")
+        raw_lines
         .groupBy(F.col("l_orderkey").alias("order_id"))
         .agg(
             F.min("l_suppkey").alias("restaurant_id"),
@@ -62,7 +75,7 @@ def order_facts(spark: SparkSession, sf_dir: str, weather: bool = False) -> Data
         )
     )
     cancelled = F.col("o_orderstatus") == "P"
-    orders = table(spark, sf_dir, "orders").select(
+    orders = raw.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("order_ts"),
@@ -191,7 +204,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with every model input; orders without lines have no features."""
+    """Orders with every model input, null where an order has no lines."""
     return order_facts(spark, sf_dir, weather=True).select(
         "*", F.hour("order_ts").alias("hour"), calendar.weekend("order_ts").alias("weekend")
     )

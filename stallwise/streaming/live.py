@@ -19,10 +19,11 @@ from stallwise.sources.schemas import STAGES
 def live_daily_kpis(orders: DataFrame, late: str = "1 day", sla: float = M.SLA_MINUTES) -> DataFrame:
     """Core KPIs per day of event time. A day is final once the watermark has passed its end.
 
-    ``order_ts`` must be a timestamp with time zone semantics, as watermarks require.
+    Watermarks need a timestamp with time zone; a naive one is read in the session's zone.
     """
     return (
-        orders.withWatermark("order_ts", late)
+        orders.withColumn("order_ts", F.col("order_ts").cast("timestamp"))
+        .withWatermark("order_ts", late)
         .groupBy(F.window("order_ts", "1 day"))
         .agg(
             M.orders().alias("orders"),
@@ -41,6 +42,7 @@ def live_funnel(events: DataFrame, late: str = "1 day", stages: Iterable[str] =
     """Sessions per stage and day, a session counted once per stage."""
     return (
         events.filter(F.col("event_name").isin(*stages))
+        .withColumn("event_ts", F.col("event_ts").cast("timestamp"))
         .withWatermark("event_ts", late)
         .dropDuplicatesWithinWatermark(["session_id", "event_name"])
         .groupBy(F.window("event_ts", "1 day"), "event_name")

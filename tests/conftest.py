@@ -32,7 +32,7 @@ def make_orders(spark):
     def make(*rows: dict):
         complete = []
         for i, row in enumerate(rows):
-            delivered = row.get("delivered", 1 - row.get("cancelled", 0))
+            delivered = row["delivered"] if "delivered" in row else 1 - row.get("cancelled", 0)
             base = {
                 "order_id": i + 1,
                 "user_id": 1,

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stallwise.operators import customers, features, kpis, models, quality
 from stallwise.operators.scope import Scope
@@ -70,7 +71,7 @@ def market(spark, tmp_path_factory):
 
 def test_csv_has_the_declared_types(market):
     for name, frame in market.frames.items():
-        assert frame.schema == SCHEMAS[name]
+        assert frame.schema == StructType.fromDDL(SCHEMAS[name])
     row = market["orders"].filter("order_id = 1").first()
     assert row.order_ts == datetime(2025, 1, 1) + timedelta(minutes=7919)
     assert market["orders"].filter("order_ts IS NULL OR revenue IS NULL").count() == 0
