@@ -13,16 +13,19 @@ Steps, each over whole texts and all rows:
 3. Groups. Classes with an identical prefix and size are collapsed into one
    group, which enters the join once.
 4. Group pairs. In the bucket of each shared token every group is paired with the
-   bucket's least (its hub), and within a group every member with its least, so
-   pairs grow linearly with a bucket. Pairs pass the length and position filters
-   and are verified on the shingles of the whole texts; links give components.
-5. The rest. Buckets whose members already lie in one component are done. The
-   others are expanded to members, and pairs of different components are
+   one of fewest rare tokens, the hub (of near copies, the least edited), and
+   within a group every member with the group's hub, so pairs grow linearly with a
+   bucket. Pairs pass the length and position filters and are verified on the
+   shingles of the whole texts; links give components.
+5. Strays. Buckets whose members lie in one component are done. The others are
+   expanded to members, and each one outside the bucket's largest component is
+   paired with a random member of that, in each bucket another one, ``ROUNDS`` times.
+6. The rest. All pairs of different components that are still in one bucket are
    verified, less those that the triangle inequality of the Jaccard distance
    excludes by both distances to the hub. New links are joined to the components.
 
 So no link between different texts is lost, while a clique of near copies costs
-one verification a member. Text is shuffled for candidate documents only.
+a few verifications a member. Text is shuffled for candidate documents only.
 
 Edge cases: null or empty texts, and those without words, have an empty set and
 their own id as component. Rows that share an id are one document with several
@@ -52,6 +55,7 @@ BLOCK = 2_000_000
 HEAVY = 500_000  # tokens known as frequent by every task: 4.5 MB
 LEAST_HEAVY = 16
 BROADCAST_IDS = 2_000_000  # 16 MB
+ROUNDS = 2
 VERIFY_ROWS = 256  # pairs of texts sent to Python at a time
 
 
@@ -94,23 +98,26 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _prefixes(heavy, percent: int):
-    """A row per non-empty text: id, set size, hash of the prefix, its tokens from rare to frequent."""
+    """A row per non-empty text: id, set size, number of rare tokens, prefix (rare first) and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, magnitude = heavy.value
         for batch in batches:
-            kept, n, digest, prefix = [], [], [], []
+            kept, n, rare, digest, prefix = [], [], [], [], []
             for row, tokens in enumerate(shingle_sets(batch.column("text"))):
                 if not len(tokens):
                     continue
+                n_rare = len(tokens)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     rank = np.where(known[at] == tokens, magnitude[at], 0)
-                    if rank.any():
+                    n_rare = int((rank == 0).sum())
+                    if n_rare < len(tokens):
                         tokens = tokens[np.lexsort((tokens, rank))]
                 first = tokens[: prefix_length(len(tokens), percent)]
                 kept.append(row)
                 n.append(len(tokens))
+                rare.append(n_rare)
                 digest.append(mix(first, 13).sum(dtype=np.uint64))
                 prefix.append(first)
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
@@ -118,10 +125,11 @@ def _prefixes(heavy, percent: int):
             columns = [
                 batch.column("doc_id").take(pa.array(kept, pa.int64())),
                 _long(np.array(n, np.int64)),
+                _long(np.array(rare, np.int64)),
                 _long(np.array(digest, np.uint64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "rare", "digest", "prefix"])
 
     return run
 
@@ -149,14 +157,15 @@ def _heavy(spark: SparkSession, rows: DataFrame):
     return spark.sparkContext.broadcast((tokens[order], magnitude[order]))
 
 
-def _similar_length(n: Column, m: Column, percent: int) -> Column:
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+def _possible(percent: int, x: str = "", y: str = "") -> Column:
+    """Whether a bucket can be that of the first token two similar sets have in common.
 
-
-def _overlap_possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Whether tokens before and after a shared one at places i and j can reach the overlap asked for."""
-    most = F.least(i, j) + F.least(n - i, m - j)
-    return F.lit(100 + percent) * most >= F.lit(percent) * (n + m)
+    Then all they have in common begins at its places, and either rest must be
+    as long as the overlap asked for. Similar sets meet in that bucket at least.
+    """
+    n, at, m, place = (F.col(c) for c in (f"{x}n", f"{x}at", f"{y}n", f"{y}at"))
+    close = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    return close & (F.lit(100 + percent) * F.least(n - at, m - place) >= F.lit(percent) * (n + m))
 
 
 def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -189,39 +198,39 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stage(classes, "classes")
     first = classes.select(F.col("first").alias("id")).distinct()
     prefixes = texts.where("doc_id IS NOT NULL").mapInArrow(
-        _prefixes(heavy, percent), "id bigint, n bigint, digest bigint, prefix array<bigint>"
+        _prefixes(heavy, percent), "id bigint, n bigint, rare bigint, digest bigint, prefix array<bigint>"
     )
     prefixes = stage(prefixes.join(first, "id", "left_semi").dropDuplicates(["id", "n", "digest"]), "prefixes")
 
-    groups = prefixes.groupBy("n", "digest").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("members"))
-    members = stage(
-        prefixes.select("id", "n", "digest").join(groups.where("members > 1"), ["n", "digest"]).select("g", "id", "n"),
-        "members",
-    )
+    groups = prefixes.groupBy("n", "digest").agg(F.min(F.struct("rare", "id")).alias("lead"), F.count(F.lit(1)).alias("members"))
+    groups = groups.select("n", "digest", F.col("lead.id").alias("g"), "members")
+    members = prefixes.select("id", "n", "rare", "digest").join(groups.where("members > 1"), ["n", "digest"])
+    members = stage(members.select("g", "id", "n", "rare"), "members")
     leaders = prefixes.join(groups.select("n", "digest", F.col("g").alias("id")), ["n", "digest", "id"], "left_semi")
-    tokens = leaders.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    tokens = leaders.select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     bucket = W.partitionBy("token")
-    hub = F.min(F.struct("id", "n", "at")).over(bucket)
+    hub = F.min(F.struct("rare", "id", "n", "at")).over(bucket)
     shared = tokens.withColumns({"size": F.count(F.lit(1)).over(bucket), "hub": hub}).where("size > 1")
     shared = stage(shared.select("token", "id", "n", "at", "hub"), "shared")
 
-    near = shared.where(
-        (F.col("id") != F.col("hub.id"))
-        & _similar_length(F.col("n"), F.col("hub.n"), percent)
-        & _overlap_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent)
-    )
+    near = shared.where((F.col("id") != F.col("hub.id")) & _possible(percent, y="hub."))
     pairs = near.select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     pairs = pairs.unionByName(members.where("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b")))
-    verified = _verified(texts, stage(pairs.distinct(), "pairs"))
+    verified = _verified(texts, stage(_in_order(F.col("a"), F.col("b"), pairs), "pairs"))
     same_id = named.join(classes, ["n", "s1", "s2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     repeated = same_id.distinct().groupBy("b").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    edges = _links(verified, percent).unionByName(same_id.distinct().join(repeated, "b", "left_semi"))
-    found = components(edges)
-
-    rest = _rest(shared, members, found, verified, percent)
-    if not rest.isEmpty():
-        edges = edges.unionByName(_links(_verified(texts, rest), percent))
-        found = components(edges)
+    found = components(_links(verified, percent).unionByName(same_id.distinct().join(repeated, "b", "left_semi")))
+
+    entries = _entries(shared, members)
+    for turn in range(ROUNDS + 1):
+        entries = _open(entries, found)
+        more = _strays(entries, percent, turn) if turn < ROUNDS else _rest(entries, verified, percent)
+        more = stage(more.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            checked = _verified(texts, more)
+            verified = verified.unionByName(checked)
+            stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found = components(stars.unionByName(_links(checked, percent)))
 
     labels = classes.join(found, classes["first"] == found["id"], "left")
     labels = labels.select("n", "s1", "s2", F.coalesce("component", "first").alias("component_id"))
@@ -232,50 +241,69 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _rest(shared: DataFrame, members: DataFrame, found: DataFrame, verified: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components and may still be similar, staged."""
-    found = found.withColumnRenamed("id", "node")
+def _entries(shared: DataFrame, members: DataFrame) -> DataFrame:
+    """``bucket, id, n, at, hub`` of every member: of the buckets of its group, and of its group as a bucket of its own."""
 
-    def labelled(frame: DataFrame) -> DataFrame:
-        joined = frame.join(found, frame["id"] == found["node"], "left")
-        return joined.withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+    def bucket(kind: int, key: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key")).alias("bucket")
 
-    # A group's members share its prefix; a group with several members is a bucket of its own, too.
     others = members.where("id <> g").withColumnRenamed("id", "member").select("g", "member")
     grown = shared.join(others, shared["id"] == others["g"]).drop("id", "g").withColumnRenamed("member", "id")
-    entries = shared.unionByName(grown.select(shared.columns)).select(
-        F.struct(F.lit(0).alias("kind"), F.col("token").alias("key")).alias("bucket"),
-        "id", "n", "at", F.col("hub.id").alias("hub"),
-    )
-    own = members.select(
-        F.struct(F.lit(1).alias("kind"), F.col("g").alias("key")).alias("bucket"),
-        "id", "n", F.lit(0).alias("at"), F.col("g").alias("hub"),
-    )
-    entries = stage(labelled(entries.unionByName(own)), "entries")
+    entries = shared.unionByName(grown.select(shared.columns))
+    entries = entries.select(bucket(0, "token"), "id", "n", "at", F.col("hub.id").alias("hub"))
+    # Members of one group share tokens that no other group has.
+    own = members.select(bucket(1, "g"), "id", "n", F.lit(0).alias("at"), F.col("g").alias("hub"))
+    return entries.unionByName(own)
+
+
+def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of buckets that hold several components, with their ``label``, staged."""
+    found = found.select(F.col("id").alias("node"), "component")
+    entries = entries.drop("label").join(found, entries["id"] == found["node"], "left")
+    entries = entries.withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+    entries = stage(entries, "entries")
     mixed = entries.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_entries = entries.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi")
+    return stage(entries.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi"), "open")
+
 
+def _strays(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Entries outside their bucket's largest component, each with a random member of that."""
+    drawn = F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("draw"), "id", "n", "at")
+    largest = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min(drawn).alias("one"))
+    largest = largest.groupBy("bucket").agg(F.max_by(F.struct("label", "one"), F.struct("size", "label")).alias("main"))
+    strays = (F.col("label") != F.col("main.label")) & _possible(percent, y="main.one.")
+    pairs = entries.join(largest, "bucket").where(strays)
+    return _in_order(F.col("id"), F.col("main.one.id"), pairs)
+
+
+def _in_order(x: Column, y: Column, pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _rest(entries: DataFrame, verified: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket that lie in different components and may still be similar."""
     # Distance to the hub, where it was measured.
     apart = F.lit(1.0) - F.col("common") / F.col("total")
-    measured = verified.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(F.min(apart).alias("far"))
-    open_entries = stage(open_entries.join(measured, ["hub", "id"], "left"), "open")
-
-    x = open_entries.select(*(F.col(c).alias(f"x_{c}") for c in open_entries.columns))
-    y = open_entries.select(*(F.col(c).alias(f"y_{c}") for c in open_entries.columns))
+    measured = verified.select("a", "b", apart.alias("far"))
+    measured = measured.select(F.col("a").alias("hub"), F.col("b").alias("id"), "far").unionByName(
+        measured.select(F.col("b").alias("hub"), F.col("a").alias("id"), "far")
+    )
+    measured = measured.groupBy("hub", "id").agg(F.min("far").alias("far"))
+    entries = stage(entries.join(measured, ["hub", "id"], "left"), "measured")
+    x = entries.select(*(F.col(c).alias(f"x_{c}") for c in entries.columns))
+    y = entries.select(*(F.col(c).alias(f"y_{c}") for c in entries.columns))
     col = F.col
     limit = F.lit(1.0 - percent / 100 + 1e-9)
     apart = F.coalesce(F.abs(col("x_far") - col("y_far")), F.lit(0.0))
-    rest = x.join(
+    pairs = x.join(
         y,
         (col("x_bucket") == col("y_bucket"))
         & (col("x_id") < col("y_id"))
         & (col("x_label") != col("y_label"))
-        & _similar_length(col("x_n"), col("y_n"), percent)
-        & _overlap_possible(col("x_n"), col("x_at"), col("y_n"), col("y_at"), percent)
+        & _possible(percent, "x_", "y_")
         & (apart <= limit),
     )
-    rest = rest.select(col("x_id").alias("a"), col("y_id").alias("b")).distinct()
-    return stage(rest.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    return _in_order(col("x_id"), col("y_id"), pairs)
 
 
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
