@@ -15,8 +15,8 @@ Edge cases: a null url, or one without ``://``, has an empty host and path; it
 meets no rule, and all such pages share the empty host's reputation. Pages
 without a label add no outcome. Repeated label rows of a page count as one (bad
 if any is); rows whose label is null are ignored. Repeated page rows are kept,
-each with its outcome. An empty outcome table leaves every host at the neutral
-rate, which allows. Extra columns are ignored.
+each with its outcome. An empty outcome table leaves every host at the rate
+taken for granted, one in ten, which allows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ Rule = tuple[str, str, str]  # host, start of the path, verdict
 
 MAX_BAD_RATE = 0.5
 Z = 1.645  # one-sided 95 %
-LEAST_SPREAD, MOST_SPREAD = 1e-4, 0.5  # of the intra-class correlation; strength = 1 / correlation - 1
+# Of the intra-class correlation, and what it is taken for without repeated outcomes; strength = 1 / correlation - 1.
+LEAST_SPREAD, MOST_SPREAD, USUAL_SPREAD = 1e-4, 0.5, 0.1
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def _strength(groups: DataFrame, parent_rate: str) -> Column:
     n, k, rate = F.col("n"), F.col("bad"), F.col(parent_rate)
     excess = (k - n * rate) ** 2 / (n * rate * (F.lit(1.0) - rate)) - F.lit(1.0)
     spread = F.try_divide(F.sum(excess), F.sum(n - F.lit(1.0)))
-    spread = F.least(F.greatest(F.coalesce(spread, F.lit(MOST_SPREAD)), F.lit(LEAST_SPREAD)), F.lit(MOST_SPREAD))
+    spread = F.least(F.greatest(F.coalesce(spread, F.lit(USUAL_SPREAD)), F.lit(LEAST_SPREAD)), F.lit(MOST_SPREAD))
     return groups.where(n > 0).agg((F.lit(1.0) / spread - F.lit(1.0)).alias("strength")).scalar()
 
 
@@ -88,7 +89,8 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     bad = F.coalesce(F.sum("bad"), F.lit(0)).cast("double")
     hosts = stage(outcomes.groupBy("host").agg(labelled.alias("n"), bad.alias("bad")), "hosts")
     hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
-    neutral = (F.coalesce(F.sum("bad"), F.lit(0.0)) + F.lit(0.5)) / (F.coalesce(F.sum("n"), F.lit(0.0)) + F.lit(1.0))
+    # As if one in ten pages had been bad before any outcome was seen.
+    neutral = (F.coalesce(F.sum("bad"), F.lit(0.0)) + F.lit(1.0)) / (F.coalesce(F.sum("n"), F.lit(0.0)) + F.lit(10.0))
     suffixes = _sums(hosts, "suffix").withColumn("overall", hosts.agg(neutral.alias("overall")).scalar())
     suffixes = _shrunk(suffixes, "overall", "suffix_rate").select("suffix", "suffix_rate")
     domains = _sums(hosts, "domain", "suffix").join(suffixes, "suffix")

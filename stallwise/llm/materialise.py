@@ -54,6 +54,8 @@ SLOTS = 4096  # sequences in a shard: 16 MB
 KEY = 20_240_607
 ROUNDS = 8
 TEXT_ROWS = 256
+COMPRESSION = 4  # of the pieces that are shuffled
+STAGED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 def slots(ids: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
@@ -133,7 +135,7 @@ def _pieces(length: int, per_shard: int, count: int, key: int):
                     stop = min(last, (here // length + 1) * length)
                     sequence.append(here // length)
                     at.append(here % length)
-                    data.append(zlib.compress(held[2 * (here - begin) : 2 * (stop - begin)], 1))
+                    data.append(zlib.compress(held[2 * (here - begin) : 2 * (stop - begin)], COMPRESSION))
                     here = stop
             slot = slots(np.array(sequence, np.int64), count, key)
             columns = [pa.array(slot // per_shard), pa.array(slot), pa.array(at, pa.int64()), pa.array(data, pa.binary())]
@@ -185,7 +187,8 @@ def tokenise(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = fresh_path(spark, "tokens")
     with arrow_rows(spark, TEXT_ROWS):
-        texts.mapInArrow(_tokenised(table), schema).write.option("compression", "zstd").parquet(path)
+        rows = texts.mapInArrow(_tokenised(table), schema)
+        rows.write.options(**STAGED).parquet(path)
     stream = spark.read.schema(schema).parquet(path)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = stream.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that read documents

@@ -76,7 +76,7 @@ def _level(name: str, source: str, keys: str, parent: str) -> str:
     """Rates of one level shrunk towards the parent's rate ``r`` that ``source`` carries."""
     return f"""
 {name}_k AS (SELECT least(greatest(coalesce(sum((bad - n * r) ** 2 / (n * r * (1.0 - r)) - 1.0) / nullif(sum(n - 1.0), 0.0),
-                                            0.5), 1e-4), 0.5) AS spread FROM {source} WHERE n > 0),
+                                            0.1), 1e-4), 0.5) AS spread FROM {source} WHERE n > 0),
 {name} AS (SELECT {keys}, n, (bad + (1.0 / spread - 1.0) * r) / (n + (1.0 / spread - 1.0)) AS {parent},
                   1.0 / spread - 1.0 AS k FROM {source}, {name}_k)"""
 
@@ -89,7 +89,7 @@ o AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INTEGER)) AS bad FROM la
 h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad,
              array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
       FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM h) AS r
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1.0) / (sum(n) + 10.0) FROM h) AS r
        FROM h GROUP BY suffix),
 {_level("s1", "s0", "suffix", "suffix_rate")},
 d0 AS (SELECT domain, suffix, sum(h.n) AS n, sum(bad) AS bad, any_value(suffix_rate) AS r

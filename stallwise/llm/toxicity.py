@@ -115,6 +115,8 @@ class Landmarks:
         """Normalised kernel of each word with each landmark, 0 below ``LEAST``."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         parts, owner = [], []
+        if not self.words:
+            return out
         for k, word in enumerate(words):
             word = word.strip(_EDGE)
             if not word.isalnum():  # set apart by hyphens, dots and the like

@@ -64,9 +64,10 @@ def test_decontaminate(documents, nothing, benchmark):
     found = decontaminate.find(documents, benchmark)
     assert found.count() == len(ROWS)
     rows = by_id(found, "doc_id", "n_words", "n_hit", "n_items")
-    assert rows == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 1, 1), *[(5, 30_000, 12, 1)] * 2, (6, 30_000, 12, 1)]
+    assert rows == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 1, 1), *[(5, 30_000, 24, 1)] * 2, (6, 30_000, 24, 1)]
+    assert {r.items_sha256 for r in found.where("n_items = 0").collect()} == {hashlib.sha256(b"").hexdigest()}
     unnamed = found.where("doc_id IS NULL AND n_words > 0").first()
-    assert (unnamed.n_hit, unnamed.n_items, unnamed.items_sha256) == (0, 0, hashlib.sha256(b"").hexdigest())
+    assert (unnamed.n_hit, unnamed.n_items, unnamed.items_sha256) == (3, 1, hashlib.sha256(b"").hexdigest())
     assert decontaminate.find(nothing, benchmark).count() == 0
     clean = decontaminate.find(documents, benchmark.limit(0))
     assert clean.count() == len(ROWS) and clean.where("contaminated").count() == 0
@@ -177,7 +178,7 @@ def test_materialise(spark, documents, nothing):
     made = materialise.materialise(documents, length=64, per_shard=100)
     slots = sorted(r.slot for r in made.collect())
     assert slots == list(range(len(slots)))
-    assert {i for r in made.collect() for i in r.doc_ids} == {4, 5, 6, None}
+    assert {i for r in made.collect() for i in r.doc_ids} == {3, 4, 5, 6, None}
     assert materialise.materialise(nothing).count() == 0
     assert materialise.materialise(documents.where("text IS NULL")).count() == 0
 
