@@ -55,10 +55,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learned = documents.select("doc_id", "text").where(crc32_fold(F.col("doc_id")) != HELD_OUT)
-    scored = toxicity.score(documents, toxicity.train(learned.join(labels, "doc_id")))
+    learned = documents.where(crc32_fold(F.col("doc_id")) != HELD_OUT)
+    scored = toxicity.score(documents, toxicity.train(learned, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id", (crc32_fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),

@@ -267,12 +267,14 @@ def fit(landmarks: list[str], texts: list[tuple[int, np.ndarray]], rounds: int =
     return Model(landmarks, weights, bias, slope, offset)
 
 
-def _drawn(labelled: DataFrame, texts: int) -> DataFrame:
-    """Staged ``doc_id, toxic, text``: the sample that is learned from."""
-    ids = labelled.select("doc_id", "toxic").distinct()
+def _drawn(documents: DataFrame, labels: DataFrame, texts: int) -> DataFrame:
+    """Staged ``doc_id, toxic, text``: the sample that is learned from. Only ids meet the labels; texts aren't shuffled."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+    known = known.agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = documents.select("doc_id").distinct().join(known, "doc_id")
     parts = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts) for k in (0, 1)]
-    ids = stage(parts[0].unionByName(parts[1]), "drawn")
-    return stage(labelled.join(F.broadcast(ids), ["doc_id", "toxic"], "left_semi"), "sample")
+    ids = stage(parts[0].unionByName(parts[1]), "drawn")  # 2 * texts rows at most
+    return stage(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +320,11 @@ def _vectors(shared):
     return run
 
 
-def train(labelled: DataFrame, texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS) -> Model:
-    """Fit on ``doc_id, text, toxic`` (1 or 0): at most ``texts`` of each class."""
-    spark = labelled.sparkSession
+def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS) -> Model:
+    """Fit on ``doc_id, text`` and ``doc_id, toxic`` (1 or 0): at most ``texts`` of each class."""
+    spark = documents.sparkSession
     with arrow_rows(spark, TEXT_ROWS):
-        sample = _drawn(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), texts)
+        sample = _drawn(documents, labels, texts)
         marks = choose_landmarks(sample, landmarks)
         if not marks:
             sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -129,11 +129,11 @@ def test_a_bad_host_takes_its_good_documents_along(spark):
 
 
 def test_toxicity_without_labels(spark, documents, nothing):
-    model = toxicity.train(documents.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")))
+    model = toxicity.train(documents, documents.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     scored = toxicity.score(documents, model)
     assert scored.count() == len(ROWS) and scored.where("score <> 0").count() == 0
     assert toxicity.score(nothing, model).count() == 0
-    one = toxicity.train(documents.select("doc_id", "text", F.lit(1).alias("toxic")))
+    one = toxicity.train(documents, documents.select("doc_id", F.lit(1).alias("toxic")))
     assert toxicity.score(documents, one).where("score = 1").count() == len(ROWS)
 
 
