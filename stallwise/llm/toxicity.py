@@ -243,9 +243,6 @@ def _sigmoid(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(landmarks: list[str], texts: list[tuple[int, np.ndarray]], rounds: int = 4) -> Model:
     """The model of labelled texts, given as (label, rows of sentence similarities)."""
     labels = np.array([label for label, _ in texts])
-    share = float(labels.mean()) if len(labels) else 0.0
-    if not landmarks or share in (0.0, 1.0):
-        return Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, 0.0, constant=share)
     marks = Landmarks(landmarks)
     gram = marks.similarities(landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -328,7 +325,8 @@ def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, lan
         marks = choose_landmarks(sample, landmarks)
         if not marks:
             sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-            return fit([], [(1, np.zeros((1, 0)))] * min(1, sizes.get(1, 0)) + [(0, np.zeros((1, 0)))] * min(1, sizes.get(0, 0)))
+            share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
+            return Model([], np.zeros(0), 0.0, 1.0, 0.0, constant=share)
         shared = spark.sparkContext.broadcast(marks)
         rows = stage(sample.select("toxic", "text").mapInArrow(_vectors(shared), "toxic int, rows binary"), "vectors")
         found = sorted((r.toxic, bytes(r.rows)) for r in rows.collect())
