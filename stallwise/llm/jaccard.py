@@ -229,8 +229,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             checked = _verified(texts, more)
             verified = verified.unionByName(checked)
-            stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            found = components(stars.unionByName(_links(checked, percent)))
+            links = _links(checked, percent)
+            if not links.isEmpty():
+                stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                found = components(stars.unionByName(links))
 
     labels = classes.join(found, classes["first"] == found["id"], "left")
     labels = labels.select("n", "s1", "s2", F.coalesce("component", "first").alias("component_id"))
