@@ -46,7 +46,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A text without any of these can't match.
-HINT = r"@|\d[\d() .+/-]{7}"
+HINT = r"@|\d[\d() .+/-]{7}|\d\.\d{1,3}\.\d{1,3}\.\d"
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)  # 73,050 days: the last is 2100-01-01
 
 

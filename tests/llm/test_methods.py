@@ -237,6 +237,14 @@ def test_no_personal_value_of_the_corpus_remains(spark):
     assert found > 0
 
 
+def test_an_address_of_single_digits_is_replaced_wherever_it_stands(spark):
+    ends = ["", ",", "\nnext", "a", " then", ";"]
+    frame = spark.createDataFrame([(i, f"resolver 8.8.8.8{end}") for i, end in enumerate(ends)], "doc_id bigint, text string")
+    rows = pseudonyms.pseudonymise(frame).collect()
+    assert all(r.n_ip == 1 and "8.8.8.8" not in r.text for r in rows)
+    assert len({r.text[: -len(ends[r.doc_id]) or None] for r in rows}) == 1
+
+
 def brute_kernel(s, t):
     """Every pair of equal subsequences, weighted by what both span."""
     from itertools import combinations
