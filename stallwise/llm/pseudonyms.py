@@ -47,6 +47,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A text without any of these can't match.
 HINT = r"@|\d[\d() .+/-]{7}|\d\.\d{1,3}\.\d{1,3}\.\d"
+# Country codes (ITU-T E.164): those of one and of two digits; all others have three.
+COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)  # 73,050 days: the last is 2100-01-01
 
 
@@ -151,10 +153,10 @@ def _ip(found: Column, key: str) -> Column:
 
 
 def _phone(found: Column, key: str) -> Column:
-    """The country code stays; the rest of the digits is permuted."""
-    code = F.when(F.startswith(found, F.lit("+")), F.length(F.regexp_extract(found, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(F.lit(0))
+    """The country code stays; the rest of the digits is permuted. Digits alone tell them apart, not how they are spaced."""
 
     def made(d: Column) -> Column:
+        code = F.when(F.startswith(found, F.lit("+")), F.length(F.regexp_extract(d, COUNTRY_CODE, 0))).otherwise(F.lit(0))
         rest = F.substring(d, code + F.lit(1), F.length(d) - code)
         return _refilled(found, F.concat(F.substring(d, F.lit(1), code), permuted_digits(rest, key, "phone")))
 

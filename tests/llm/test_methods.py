@@ -245,6 +245,26 @@ def test_an_address_of_single_digits_is_replaced_wherever_it_stands(spark):
     assert len({r.text[: -len(ends[r.doc_id]) or None] for r in rows}) == 1
 
 
+@pytest.mark.parametrize(
+    "code, spellings",
+    [
+        ("1", ["+1 212 555 0142", "+12125550142", "+1 (212) 555-0142", "+1.212.555.0142", "+1-2125550142", "+121 255 50142"]),
+        ("44", ["+44 20 7946 0958", "+442079460958", "+44-20-79460958", "+442 0794 60958"]),
+        ("7", ["+7 495 123 45 67", "+74951234567"]),
+        ("420", ["+420 601 123 456", "+420601123456", "+42 0601 123456"]),
+    ],
+)
+def test_a_phone_number_has_one_pseudonym_in_every_spelling(spark, code, spellings):
+    frame = spark.createDataFrame([(i, f"call {s}, now") for i, s in enumerate(spellings)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(frame).collect()}
+    before = re.sub(r"\D", "", spellings[0])
+    made = {re.sub(r"\D", "", r.text) for r in rows.values()}
+    assert len(made) == 1 and made != {before} and made.pop().startswith(code)
+    for i, spelling in enumerate(spellings):
+        assert rows[i].n_phone == 1
+        assert re.sub(r"\d", "0", rows[i].text) == re.sub(r"\d", "0", f"call {spelling}, now")
+
+
 def brute_kernel(s, t):
     """Every pair of equal subsequences, weighted by what both span."""
     from itertools import combinations
