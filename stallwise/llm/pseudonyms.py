@@ -9,11 +9,14 @@ Feistel network over exactly the values of that format, so
 * a pseudonym is again valid (a card passes its check digit, a date exists), and
 * who holds the key can invert the permutation.
 
-Formats: payment cards (13 to 19 digits, Luhn), IPv4 addresses, phone numbers with
-a country code or an area code in brackets, US social security numbers, and dates
-(``yyyy-mm-dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy``, else ``mm/dd/yyyy``) between 1900
-and 2099. E-mail addresses keep their shape and domain; the local part gets letters
-and digits from a keyed digest. Values that don't validate stay as they are.
+Formats: payment cards (13 to 19 digits, Luhn, in one run or in the groups listed at
+their pattern), IPv4 addresses, phone numbers with a country code or an area code in
+brackets, US social security numbers, and dates (``yyyy-mm-dd``, ``dd.mm.yyyy``,
+``dd/mm/yyyy``, else ``mm/dd/yyyy``) between 1900 and 2099. E-mail addresses keep
+their shape and domain; the local part gets letters and digits from a keyed digest.
+Values that don't validate stay as they are. Where sixteen digits in groups and up to
+three more after a separator pass the check as one number, they are one card, else the
+sixteen are.
 
 All of it are column expressions on the row: no shuffle, no Python in tasks. Texts
 that match no pattern are passed through.
@@ -42,8 +45,18 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "phone": r"(?<!\d)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
 }
+# Cards: 4-4-4-4 and up to three more, 4-4-4 and the rest, 4-6-5, 4-6-4, 4-5-6, 4-7-4, 4-3-3-3 and 6-13, or no groups at all.
+# What follows a card isn't its last group where another value begins there.
+_OTHER = "|".join(f"(?:{PATTERNS[kind]})" for kind in ("email", "ip", "date", "ssn"))
+_LAST = rf"[ -](?!{_OTHER})"
+PATTERNS["card"] = (
+    rf"(?<!\d)(?:\d{{4}}(?:[ -]?\d{{4}}){{3}}{_LAST}\d{{1,3}}|\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}"
+    rf"|\d{{4}}[ -](?:\d{{6}}{_LAST}\d{{4,5}}|\d{{5}}{_LAST}\d{{6}}|\d{{7}}{_LAST}\d{{4}}|\d{{3}}[ -]\d{{3}}{_LAST}\d{{3}})"
+    rf"|\d{{6}}{_LAST}\d{{13}})(?!\d)"
+)
+# Sixteen digits in groups, and what may be a number of its own after them.
+LONG_CARD = r"^(\d{4}(?:[ -]?\d{4}){3})([ -]\d{1,3})$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A text without any of these can't match.
 HINT = r"@|\d[\d() .+/-]{7}|\d\.\d{1,3}\.\d{1,3}\.\d"
@@ -129,15 +142,20 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(found: Column, key: str) -> Column:
-    def made(digits: Column) -> Column:
+    def made(part: Column, digits: Column) -> Column:
         body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - F.lit(1)), key, "card")
         check = let(F.concat(body, F.lit("0")), lambda b: F.concat(
             F.substring(b, F.lit(1), F.length(b) - F.lit(1)), ((F.lit(10) - _luhn(b)) % F.lit(10)).cast("string")
         ))
-        return _refilled(found, check)
+        return _refilled(part, check)
 
-    valid = F.length(_digits(found)).between(13, 19)
-    return F.when(valid, let(_digits(found), lambda d: F.when(_luhn(d) == 0, made(d))))
+    def card(part: Column) -> Column:
+        valid = F.length(_digits(part)).between(13, 19)
+        return F.when(valid, let(_digits(part), lambda d: F.when(_luhn(d) == 0, made(part, d))))
+
+    # A number of sixteen digits if all of it is none.
+    first = let(F.regexp_extract(found, LONG_CARD, 1), card)
+    return F.coalesce(card(found), F.when(found.rlike(LONG_CARD), F.concat(first, F.regexp_extract(found, LONG_CARD, 2))))
 
 
 def _ip(found: Column, key: str) -> Column:

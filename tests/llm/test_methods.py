@@ -265,6 +265,47 @@ def test_a_phone_number_has_one_pseudonym_in_every_spelling(spark, code, spellin
         assert re.sub(r"\d", "0", rows[i].text) == re.sub(r"\d", "0", f"call {spelling}, now")
 
 
+def card_of(digits):
+    return next(digits + str(k) for k in range(10) if luhn(digits + str(k)) == 0)
+
+
+@pytest.mark.parametrize("sep", [" ", "-"])
+@pytest.mark.parametrize(
+    "groups",
+    [(4, 6, 5), (4, 6, 4), (4, 5, 6), (4, 7, 4), (4, 3, 3, 3), (6, 13), (4, 4, 5), (4, 4, 4, 4)]
+    + [(4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)],
+)
+def test_cards_in_their_usual_groups(spark, groups, sep):
+    draw = random.Random(str(groups))
+    card = card_of("3" + "".join(draw.choices("0123456789", k=sum(groups) - 2)))
+    ends = np.cumsum((0, *groups))
+    form = sep.join(card[a:b] for a, b in zip(ends, ends[1:]))
+    frame = spark.createDataFrame([(1, f"pay {form}, now"), (2, f"pay {card}, now")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(frame).collect()}
+    found = rows[1].text[4:-5]
+    assert [len(g) for g in found.split(sep)] == list(groups) and luhn(re.sub(r"\D", "", found)) == 0
+    assert rows[2].text[4:-5] == re.sub(r"\D", "", found) != card
+    assert rows[1].n_card == rows[2].n_card == 1
+
+
+def test_what_follows_a_card_is_not_taken_for_a_part_of_it(spark):
+    card, amex = "4539 5787 6362 1486", "3782 822463 10005"
+    frame = spark.createDataFrame(
+        [(0, card)]
+        + [(1, f"{card} 124"), (2, f"{card} 123-45-6789"), (3, f"{card} 12/05/2001"), (4, f"{card} 10.0.0.1")]
+        + [(5, f"{card} 123@example.com"), (6, f"{card} 7 times"), (7, f"{amex} 4539 5787 6362 1486"), (8, f"{card} 123")],
+        "doc_id bigint, text string",
+    )
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(frame).collect()}
+    alone = rows[0].text
+    assert alone != card and all(rows[i].text.startswith(alone) for i in range(1, 7))
+    assert rows[1].text == f"{alone} 124" and rows[6].text == f"{alone} 7 times"
+    assert (rows[2].n_ssn, rows[3].n_date, rows[4].n_ip, rows[5].n_email) == (1, 1, 1, 1)
+    assert rows[7].text.endswith(alone) and rows[7].n_card == 2
+    # Sixteen digits and nineteen pass here: all of it is one card.
+    assert rows[8].n_card == 1 and luhn(rows[8].text.replace(" ", "")) == 0 and not rows[8].text.endswith(" 123")
+
+
 def brute_kernel(s, t):
     """Every pair of equal subsequences, weighted by what both span."""
     from itertools import combinations
