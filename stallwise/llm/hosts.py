@@ -12,7 +12,9 @@ and the level strengths are scalar subqueries. Counts and reputations, a row per
 host, are staged, so Spark knows their size when it picks the last join.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path; it
-meets no rule, and all such pages share the empty host's reputation. Pages
+meets no rule, and all such pages share the empty host's reputation. The registered
+domain is taken as the last two labels: no list of public suffixes is read, so all
+registrants under one of several labels (co.uk, github.io) share a level. Pages
 without a label add no outcome. Repeated label rows of a page count as one (bad
 if any is); rows whose label is null are ignored. Repeated page rows are kept,
 each with its outcome. An empty outcome table leaves every host at the rate
@@ -55,7 +57,7 @@ def matching_rule(rules: Sequence[Rule]) -> Column:
 
 
 def registered_domain(host: Column) -> Column:
-    """The last two labels of a host."""
+    """The last two labels of a host; under suffixes of several labels (co.uk) these are the suffix."""
     return F.substring_index(host, ".", -2)
 
 
