@@ -12,7 +12,9 @@ per document; the counts combine map-side, and the join's other side has one row
 per host, which Spark broadcasts if small and else splits where a host is hot.
 
 Edge cases: a null or empty text has no words and fails the base rules. Documents
-with a null host form one group of their own, judged like a host. Repeated rows
+with a null host form one group of their own, judged like a host. The documents have
+no url, so by default their ``source`` stands in for the host: one bad source takes
+all its clean documents along. Repeated rows
 are judged and returned each. An empty table gives no rows. Extra columns are
 ignored by the statistics and returned unchanged by ``keep``.
 """
