@@ -7,11 +7,15 @@ Words set letter by letter ("i d i o t") are read as one.
 
 A sentence's similarity to a landmark is that of its most similar word. Landmarks are
 words, and word beginnings, that tell toxic from clean training texts apart. The
-Nystrom map turns the similarities into coordinates
-whose inner products approximate the kernel, where a linear machine with squared
-hinge loss is trained on labelled sentences: all of clean texts, and of each toxic
-text those that the last round's machine found bad, the worst one in any case. A
-text's score is the probability (a fitted sigmoid) of its worst sentence.
+Nystrom map turns the similarities into coordinates whose inner products approximate
+the kernel, where linear machines with squared hinge loss are trained on labelled
+sentences: all of clean texts, and of each toxic text those that the last round's
+machine found bad, the worst one in any case. One machine sees similarities of at
+least ``LARGE`` only. The other sees all of them and learns the toxic sentences once
+more with ``INSERTED`` letters inserted in the words like a landmark, so that small
+similarities get their weight. A text's score is the mean of both machines'
+probabilities (fitted sigmoids) of its worst sentence. Words of fewer than ``P``
+letters are like nothing.
 
 The model learns from at most ``TRAIN_TEXTS`` labelled texts of each class, those with
 the least hash of their id, with at most ``SENTENCES`` sentences of each; word counts
@@ -28,9 +32,11 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +48,9 @@ from stallwise.sources.staging import stage
 
 P = 4
 DECAY = 0.85
-LEAST = 0.4  # similarities below count as none
+LEAST = 0.12  # similarities below count as none; an insult with two letters inserted has 0.2 or more
+LARGE = 0.4  # similarities from here on have a coordinate of their own beside that of all
+ALIKE, INSERTED = 0.75, 2  # training words so like a landmark are learned from with so many letters inserted, too
 LONGEST = 24  # letters of a word that are compared at once; longer words are cut into overlapping parts
 START = 5  # letters of a word's beginning
 LANDMARKS = 40
@@ -192,20 +200,63 @@ def _sentence_rows(texts: list[str | None], similar: Similar) -> Iterator[np.nda
         yield similar.sentences(text, words)
 
 
+def inserted(word: str) -> str:
+    """A word in lower case with ``INSERTED`` letters inside, always the same ones; shorter than ``P`` as it is."""
+    core = word.strip(_EDGE)
+    if len(core) < P:
+        return word
+    draw, letters = random.Random(core), list(core)
+    for place in sorted(draw.sample(range(1, len(core)), INSERTED), reverse=True):
+        letters.insert(place, draw.choice(ascii_lowercase))
+    return "".join(letters)
+
+
+def _inserted_rows(text: str | None, similar: Similar) -> np.ndarray:
+    """A row for each sentence with words like a landmark, as if these had letters inserted. All words are known already."""
+    rows = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        near = {w: similar.known[w] for w in units(sentence) if similar.known.get(w) is not None}
+        alike = [w for w, row in near.items() if row.max() >= ALIKE]
+        if alike:
+            others = [row for w, row in near.items() if w not in alike]
+            rows.append(np.max([*similar.landmarks.similarities([inserted(w) for w in alike]), *others], axis=0))
+    return np.array(rows, np.float32).reshape(-1, len(similar.landmarks.words))
+
+
+def large(rows: np.ndarray) -> np.ndarray:
+    """The similarities of at least ``LARGE``, in the rows that have one; a row of zeros if none has."""
+    kept = rows[(rows >= LARGE).any(axis=1)]
+    return np.where(kept >= LARGE, kept, 0) if len(kept) else np.zeros((1, rows.shape[1]))
+
+
+def coordinates(rows: np.ndarray) -> np.ndarray:
+    """All similarities and, after them, those of at least ``LARGE``, so small ones are weighed apart from large ones."""
+    return np.hstack([rows, np.where(rows >= LARGE, rows, 0)])
+
+
 @dataclass
-class Model:
-    landmarks: list[str]
-    weights: np.ndarray  # on similarities: the Nystrom map and the machine in one
+class Machine:
+    weights: np.ndarray  # the Nystrom map and the machine in one
     bias: float
     slope: float
     offset: float
+
+    def score(self, rows: np.ndarray) -> float:
+        worst = float((rows @ self.weights + self.bias).max())
+        return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30))))
+
+
+@dataclass
+class Model:
+    landmarks: list[str]
+    plain: Machine | None = None  # on large similarities
+    gapped: Machine | None = None  # on coordinates of all
     constant: float | None = None
 
     def score(self, rows: np.ndarray) -> float:
         if self.constant is not None:
             return self.constant
-        worst = float((rows @ self.weights + self.bias).max())
-        return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30))))
+        return (self.plain.score(large(rows)) + self.gapped.score(coordinates(rows))) / 2
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -240,28 +291,46 @@ def _sigmoid(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(landmarks: list[str], texts: list[tuple[int, np.ndarray]], rounds: int = 4) -> Model:
-    """The model of labelled texts, given as (label, rows of sentence similarities)."""
-    labels = np.array([label for label, _ in texts])
-    marks = Landmarks(landmarks)
-    gram = marks.similarities(landmarks).astype(float)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    whitened = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T  # K_mm ** -1/2
+def _fit(grams: list[np.ndarray], texts: list[tuple[int, np.ndarray]], first: list[np.ndarray], rounds: int) -> Machine:
+    """A machine on coordinates with these kernels of the landmarks. ``first``: the toxic texts' sentences taken for bad."""
+    whitened = np.zeros((sum(map(len, grams)),) * 2)
+    at = 0
+    for gram in grams:
+        value, vector = np.linalg.eigh((gram + gram.T) / 2)
+        block = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T  # K_mm ** -1/2
+        whitened[at : at + len(gram), at : at + len(gram)] = block
+        at += len(gram)
     clean = np.vstack([rows for label, rows in texts if label == 0]) @ whitened
+    gapped = np.vstack([np.zeros((0, len(whitened))), *(rows for label, rows in texts if label == 2)]) @ whitened
     toxic = [rows @ whitened for label, rows in texts if label == 1]
-    w = None
-    bad = [rows.any(axis=1) for rows in toxic]  # at first every sentence with a word like a landmark
+    w, bad = None, first
     for _ in range(rounds):
         for rows, chosen in zip(toxic, bad):
             chosen[(rows @ w[:-1]).argmax() if w is not None else np.linalg.norm(rows, axis=1).argmax()] = True
-        worst = np.vstack([rows[chosen] for rows, chosen in zip(toxic, bad)])
+        worst = np.vstack([gapped, *(rows[chosen] for rows, chosen in zip(toxic, bad))])
         x, y = np.vstack([worst, clean]), np.array([1.0] * len(worst) + [-1.0] * len(clean))
         w = _machine(x, y, np.where(y > 0, 10.0, 10.0 * len(worst) / max(len(clean), 1)))
         bad = [rows @ w[:-1] + w[-1] > 0 for rows in toxic]
     weights, bias = whitened @ w[:-1], float(w[-1])
-    values = np.array([(rows @ weights + bias).max() for _, rows in texts])
-    slope, offset = _sigmoid(values, labels * 2 - 1)
-    return Model(landmarks, weights, bias, slope, offset)
+    whole = [(label, rows) for label, rows in texts if label < 2]
+    values = np.array([(rows @ weights + bias).max() for _, rows in whole])
+    slope, offset = _sigmoid(values, np.array([label for label, _ in whole]) * 2 - 1)
+    return Machine(weights, bias, slope, offset)
+
+
+def fit(landmarks: list[str], texts: list[tuple[int, np.ndarray]], rounds: int = 4) -> Model:
+    """The model of labelled texts, given as (label, rows of sentence similarities).
+
+    Rows of label 2 are toxic sentences with letters inserted; no probability is fitted on them.
+    """
+    gram = Landmarks(landmarks).similarities(landmarks).astype(float)
+    strong = np.where(gram >= LARGE, gram, 0)
+    # At first every sentence with a word like a landmark is taken for bad.
+    like = [(rows >= LARGE).any(axis=1) for label, rows in texts if label == 1]
+    plain = [(label, large(rows)) for label, rows in texts if label < 2]
+    first = [rows.any(axis=1) for label, rows in plain if label == 1]
+    every = [(label, coordinates(rows)) for label, rows in texts]
+    return Model(landmarks, _fit([strong], plain, first, rounds), _fit([gram, strong], every, like, rounds))
 
 
 def _drawn(documents: DataFrame, labels: DataFrame, texts: int) -> DataFrame:
@@ -308,11 +377,15 @@ def _vectors(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         similar = Similar(Landmarks(shared.value))
         for batch in batches:
-            out = []
-            for rows in _sentence_rows(batch.column("text").to_pylist(), similar):
-                largest = np.argsort(-np.linalg.norm(rows, axis=1), kind="stable")[:SENTENCES]
-                out.append(rows[largest].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], ["toxic", "rows"])
+            kinds, out = [], []
+            texts, labels = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
+            for text, toxic, rows in zip(texts, labels, _sentence_rows(texts, similar)):
+                for kind, found in ((toxic, rows), (2, _inserted_rows(text, similar) if toxic else rows[:0])):
+                    if len(found):
+                        largest = np.argsort(-np.linalg.norm(found, axis=1), kind="stable")[:SENTENCES]
+                        kinds.append(kind)
+                        out.append(found[largest].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], ["toxic", "rows"])
 
     return run
 
@@ -326,7 +399,7 @@ def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, lan
         if not marks:
             sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
             share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-            return Model([], np.zeros(0), 0.0, 1.0, 0.0, constant=share)
+            return Model([], constant=share)
         shared = spark.sparkContext.broadcast(marks)
         rows = stage(sample.select("toxic", "text").mapInArrow(_vectors(shared), "toxic int, rows binary"), "vectors")
         found = sorted((r.toxic, bytes(r.rows)) for r in rows.collect())

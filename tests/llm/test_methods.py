@@ -349,6 +349,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(clean)
 
 
+def test_two_inserted_letters_leave_a_similarity():
+    words = ["sxcxum", "idxixot", "trxaxsh", "mxoroxn", "clxowxn", "loxsexr", "looooser", "stxupxid"]
+    marks = toxicity.Landmarks(["scum", "idiot", "trash", "moron", "clown", "loser", "loser", "stupid"])
+    assert (marks.similarities(words).diagonal() > 0.2).all()
+
+
+def test_insults_with_two_inserted_letters_in_held_out_texts(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    fold = queries.crc32_fold(F.col("doc_id"))
+    model = toxicity.train(documents.where(fold != queries.HELD_OUT), labels)
+    clean = documents.where(fold == queries.HELD_OUT).join(labels.where("toxic = 0"), "doc_id").select("doc_id", "text")
+    insults = F.array(*(F.lit(w) for w in ["sxcxum", "idxixot", "trxaxsh", "mxoroxn", "clxowxn", "loxsexr", "stxupxid"]))
+    insult = F.get(insults, (F.col("doc_id") % 7).cast("int"))
+    with_insult = clean.select("doc_id", F.concat("text", F.lit(" you "), insult, F.lit(" there")).alias("text"))
+    before = {r.doc_id: r.score for r in toxicity.score(clean, model).collect()}
+    after = {r.doc_id: r.score for r in toxicity.score(with_insult, model).collect()}
+    assert sum(after[i] > before[i] for i in before) > 0.7 * len(before)
+    assert sum(a > b for a in after.values() for b in before.values()) > 0.75 * len(before) ** 2
+
+
 def test_languages_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     found = queries.op6_language(spark, sf_dir).where("held_out")
