@@ -163,6 +163,97 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN low ON low.id = doc_id
 """
 
+def _step(best: str, cost: int, letter: str) -> str:
+    """A path (nine digits of cost, then its edits; '~' for none) with one more edit."""
+    longer = f"lpad(CAST(CAST(substr({best}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({best}, 10) || '{letter}'"
+    return f"CASE WHEN {best} = '~' THEN '~' ELSE {longer} END"
+
+
+def _row(best: str, role: str, cost: str, letter: str = "K") -> str:
+    """A path that goes on with a row that stays."""
+    longer = (
+        f"lpad(CAST(CAST(substr({best}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({best}, 10) || '{letter}'"
+    )
+    return f"CASE WHEN {best} = '~' OR fault IN ('blank', 'duplicate') OR NOT ({role}) THEN '~' ELSE {longer} END"
+
+
+_CUT = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_U, _S, _A = (f"initial = '{x}'" for x in "usa")
+_BITS = (
+    "flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8),"
+    " lambda j: CAST((ascii(substr(k, CAST(i AS INT), 1)) >> CAST(j AS INT)) & 1 AS BIGINT))))"
+)
+_CRC32 = (
+    f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BITS}),"
+    " lambda c, b: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, b) & 1))), CAST(4294967295 AS BIGINT))"
+)
+
+# The cheapest edits row by row: the best path to each state (nothing, after s, after u, after a).
+CONVERSATIONS = f"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations),
+kinds AS (SELECT *, {_CRC32} % 20 AS kind FROM keyed),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM kinds),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+           substr(role, 1, 1) AS initial
+    FROM damaged),
+judged AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE 'none' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM ordered),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv_id),
+paths AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS x0, '~' AS x1, '000000005I' AS x2, '000000010II' AS x3
+    FROM conversations
+    UNION ALL
+    SELECT conv_id, i, y0, y1, z2, least(y3, {_step("z2", 5, "I")})
+    FROM (SELECT conv_id, i, y0, y1, y3,
+                 least(y2, {_step("y0", 5, "I")}, {_step("y1", 5, "I")}, {_step("y3", 5, "I")}) AS z2
+          FROM (SELECT p.conv_id, j.i, {_step("x0", 2, "D")} AS y0,
+                       least({_step("x1", 2, "D")}, {_row("x0", _S, _CUT)}) AS y1,
+                       least({_step("x2", 2, "D")}, {_row("x0", _U, _CUT)}, {_row("x1", _U, _CUT)}, {_row("x3", _U, _CUT)},
+                             {_row("x0", "true", f"1 + {_CUT}", "R")}, {_row("x1", "true", f"1 + {_CUT}", "R")},
+                             {_row("x3", "true", f"1 + {_CUT}", "R")}) AS y2,
+                       least({_step("x3", 2, "D")}, {_row("x2", _A, _CUT)}, {_row("x2", "true", f"1 + {_CUT}", "R")}) AS y3
+                FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1))),
+best AS (
+    SELECT p.conv_id, CAST(substr(least(x0, x3), 1, 9) AS BIGINT) AS cost, substr(least(x0, x3), 10) AS audit
+    FROM paths p LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(c.n, 0)),
+letters AS (SELECT conv_id, p, substr(audit, CAST(p AS INT), 1) AS letter
+            FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)),
+placed AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS place
+           FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+spoken AS (
+    SELECT l.conv_id, l.p, l.letter, l.place, CASE WHEN l.letter = 'I' THEN '' ELSE j.text END AS text, j.role,
+           max(CASE WHEN l.letter = 'K' AND l.place = 1 AND j.initial = 's' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY l.conv_id) AS led
+    FROM placed l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i AND l.letter <> 'I'
+    WHERE l.letter <> 'D'),
+said AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user'
+                                           ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS digest
+    FROM spoken GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+       coalesce(digest, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+     LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_warc": WARC,
@@ -172,4 +263,5 @@ ORACLE = {
     ),
     "op7_url_filter": URLS,
     "op9_mix": MIX,
+    "op11_conversations": CONVERSATIONS,
 }

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.llm import (
+    alignment,
+    conversations,
     decontaminate,
     hosts,
     jaccard,
     languages,
     materialise,
     mixing,
+    neighbours,
     pseudonyms,
     quality,
     toxicity,
@@ -30,6 +33,7 @@ URL_RULES = (
 )
 
 HELD_OUT = 1  # fold of the CRC-32 of the id that isn't learned from
+QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +101,26 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", "n_replaced", *(f"n_{kind}" for kind in pseudonyms.PATTERNS))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.summary(conversations.repair(damaged))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = crc32_fold(F.col("doc_id"), QUALITY_FOLDS)
+    learned = documents.select("doc_id", "text").where(fold != QUALITY_HELD_OUT)
+    scored = neighbours.score(documents, neighbours.train(learned, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (fold == QUALITY_HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= neighbours.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents")).drop("groups")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -108,4 +132,7 @@ QUERIES = {
     "op8_materialise": op8_materialise,
     "op9_mix": op9_mix,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_conversations": op11_conversations,
+    "op12_neighbours": op12_neighbours,
+    "op13_alignment": op13_alignment,
 }
