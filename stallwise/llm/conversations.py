@@ -439,18 +439,17 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*found, edits], [*columns, "cost", "edits"])
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, copies: str | None = None) -> DataFrame:
     """The edits that repair conversations: per conversation and section ``edits``, ``cost``, and counts of faults.
 
     ``edits`` lists ``edit, times, role, text`` in order: the repaired conversation is those that aren't D, in
-    the order of their sections (null first). ``rows`` has ``conv_id, turn, role, text`` and, for rows that stand
-    for several or none, ``copies``. ``alone`` marks the only section of a conversation.
+    the order of their sections (null first). ``rows`` has ``conv_id, turn, role, text``; ``copies`` names a
+    column that says how many rows one stands for. ``alone`` marks the only section of a conversation.
     """
-    if "copies" not in rows.columns:
-        rows = rows.withColumn("copies", F.lit(1))
+    number = F.lit(1) if copies is None else F.col(copies)
     space = [F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")]
     conv_id, turn = (F.col(c).cast("long").alias(c) for c in ("conv_id", "turn"))
-    staged = sections(rows.select(conv_id, turn, *space, F.col("copies").cast("long").alias("copies")))
+    staged = sections(rows.select(conv_id, turn, *space, number.cast("long").alias("copies")))
     chained = _chain(staged)
     links = chained.select(*(F.col(c).alias(f"in_{c}") for c in chained.columns))
     here = staged["conv_id"].eqNullSafe(links["in_conv_id"]) & staged["section"].eqNullSafe(links["in_section"])

@@ -103,7 +103,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damage(table(spark, sf_dir, "conversations"))
-    return conversations.summary(conversations.repair(damaged))
+    return conversations.summary(conversations.repair(damaged, copies="copies"))
 
 
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
