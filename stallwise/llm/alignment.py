@@ -20,7 +20,7 @@ must spell the same bytes; then:
   nothing is shuffled but counts and, with several slices, sums.
 
 Memory: a batch has ``TEXT_ROWS`` texts, whatever their length; known windows are
-forgotten beyond ``WINDOWS`` of them, and only short windows are kept at all.
+forgotten beyond ``WINDOWS`` of them, or eight times as many links.
 
 Edge cases: null and empty texts, and those whose tokens of either side don't spell
 space and text (a U+2581 in the text becomes a space, for one), have no tokens: zeros
@@ -32,9 +32,10 @@ pair are all best. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from functools import cache, reduce
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -47,10 +48,11 @@ from stallwise.sources.staging import stage
 
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE_MARK = "▁"  # fixed value: a space in the piece vocabulary
+# A space in the piece vocabulary, and the word pattern of byte-level vocabularies.
+SPACE_MARK = "▁"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE = 4_000_000  # pairs broadcast at a time: 12 bytes each
-WINDOWS = 100_000  # known windows of a task
-LONGEST = 48  # tokens of a window that is kept
+WINDOWS = 200_000  # known windows of a task: about 60 MB
 TEXT_ROWS = 128
 PIECE_BITS = 15  # of a pair's number hold the B id; the A id is above
 
@@ -59,14 +61,12 @@ class Tokens(NamedTuple):
     """What is known of a vocabulary's ids."""
 
     spelled: list[bytes]
-    sizes: list[int]
     length: np.ndarray
     spaced: np.ndarray  # begins with a space
 
     @classmethod
     def of(cls, spelled: list[bytes]) -> Tokens:
-        sizes = [len(s) for s in spelled]
-        return cls(spelled, sizes, np.array(sizes), np.array([s.startswith(b" ") for s in spelled]))
+        return cls(spelled, np.array([len(s) for s in spelled]), np.array([s.startswith(b" ") for s in spelled]))
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,31 +80,29 @@ class Pair:
     """Both tokenizers, read from their files' contents."""
 
     def __init__(self, byte_file: bytes, piece_file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_buffer(byte_file)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_file)
-        letters = byte_letters()
-        spelled = [bytes(letters.get(c, 0x3F) for c in self.a.id_to_token(k)) for k in range(self.a.get_vocab_size())]
-        self.bytes_a = Tokens.of(spelled)
+        ranks = _ranks(json.loads(byte_file))
+        # Ids that follow the merges are ranks, which this encoder works by; special tokens aren't among them.
+        self.a = tiktoken.Encoding("bytes", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_a = Tokens.of(sorted(ranks, key=ranks.__getitem__))
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        spelled = [
-            bytes([int(piece[3:-1], 16)]) if self.b.is_byte(k) else piece.replace(SPACE_MARK, " ").encode()
-            for k, piece in enumerate(pieces)
-        ]
-        self.bytes_b = Tokens.of(spelled)
+        self.bytes_b = Tokens.of(
+            [
+                bytes([int(piece[3:-1], 16)]) if self.b.is_byte(k) else piece.replace(SPACE_MARK, " ").encode()
+                for k, piece in enumerate(pieces)
+            ]
+        )
         if len(self.bytes_b.spelled) > 1 << PIECE_BITS or len(self.bytes_a.spelled) > 1 << 31 - PIECE_BITS:
             raise ValueError("a pair of ids must fit 31 bits")
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each text; empty where they don't spell a space and the text."""
-        found_a = self.a.encode_batch_fast([" " + text for text in texts], add_special_tokens=False)
-        found_b = self.b.encode(texts, num_threads=1)
-        for text, encoding, ids_b in zip(texts, found_a, found_b):
-            whole, ids_a = (" " + text).encode(), encoding.ids
+        for text, ids_b in zip(texts, self.b.encode(texts, num_threads=1)):
+            ids_a = self.a.encode_ordinary(" " + text)
+            whole = (" " + text).encode()
             same = b"".join(map(self.bytes_a.spelled.__getitem__, ids_a)) == whole
             if text and same and b"".join(map(self.bytes_b.spelled.__getitem__, ids_b)) == whole:
                 yield ids_a, ids_b
@@ -112,81 +110,143 @@ class Pair:
                 yield [], []
 
 
+def _ranks(file: dict) -> dict[bytes, int]:
+    """Tokens of a byte-level BPE file as bytes, with their ids, which must be places in the order of merges."""
+    letters, model = byte_letters(), file["model"]
+    special = {token["content"] for token in file["added_tokens"]}
+    ranks = {
+        bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if token not in special
+    }
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    order = [ranks[bytes(letters[c] for c in token)] for token in merged]
+    if sorted(ranks.values()) != list(range(len(ranks))) or order != list(range(256, len(ranks))):
+        raise ValueError("the ids of a byte vocabulary must be its bytes and then its merges in their order")
+    if file["normalizer"] or file["pre_tokenizer"].get("add_prefix_space") or not file["pre_tokenizer"]["use_regex"]:
+        raise ValueError("a byte vocabulary must split plain text by the usual word pattern")
+    return ranks
+
+
 @cache
 def _pair(byte_file: bytes, piece_file: bytes) -> Pair:
     return Pair(byte_file, piece_file)
 
 
-class Window(NamedTuple):
-    groups: str  # ids of A and B of each group
-    n_groups: int
-    links: np.ndarray  # A id and B id in one number, for each overlap
+class Documents(NamedTuple):
+    """Alignments of a batch: numbers by document, and every document's windows and links."""
 
-
-def align(ids_a: tuple[int, ...], ids_b: tuple[int, ...], sizes_a: list[int], sizes_b: list[int]) -> Window:
-    """Groups and links of a window: a walk over both sides' ends."""
-    groups, links = [], []
-    i = j = from_a = from_b = 0
-    end_a, end_b = sizes_a[ids_a[0]], sizes_b[ids_b[0]]
-    while i < len(ids_a):
-        links.append(ids_a[i] << PIECE_BITS | ids_b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(
-                ",".join(map(str, ids_a[from_a : i + 1])) + "|" + ",".join(map(str, ids_b[from_b : j + 1]))
-            )
-            from_a, from_b = i + 1, j + 1
-        if step_a:
-            i += 1
-            if i < len(ids_a):
-                end_a += sizes_a[ids_a[i]]
-        if step_b:
-            j += 1
-            if j < len(ids_b):
-                end_b += sizes_b[ids_b[j]]
-    return Window(";".join(groups), len(groups), np.array(links, np.int64))
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]  # ids of A and B of each group, of the whole document
+    pairs: list[np.ndarray]  # distinct links: A id above B id
+    times: list[np.ndarray]  # how often each occurs
 
 
 class Aligner:
-    """Alignments of documents, with the windows met so far."""
-
-    def __init__(self, pair: Pair):
-        self.a, self.b = pair.bytes_a, pair.bytes_b
-        self.known: dict[tuple, Window] = {}
-
-    def _window(self, ids_a: tuple[int, ...], ids_b: tuple[int, ...]) -> Window:
-        key = (ids_a, ids_b)
-        found = self.known.get(key)
-        if found is None:
-            found = align(ids_a, ids_b, self.a.sizes, self.b.sizes)
-            if len(ids_a) + len(ids_b) <= LONGEST:
-                if len(self.known) >= WINDOWS:
-                    self.known.clear()
-                self.known[key] = found
-        return found
-
-    def windows(self, ids_a: list[int], ids_b: list[int]) -> list[Window]:
-        """The windows between anchors, in order."""
-        if not ids_a:
-            return []
-        at_a, at_b = np.array(ids_a), np.array(ids_b)
-        ends_a, ends_b = np.cumsum(self.a.length[at_a]), np.cumsum(self.b.length[at_b])
-        # Where a token starts with a space, the one before it ends: starts shared by both sides are shared ends.
-        starts_a, starts_b = ends_a - self.a.length[at_a], ends_b - self.b.length[at_b]
-        marked_a = np.flatnonzero(self.a.spaced[at_a])
-        marked_b = np.flatnonzero(self.b.spaced[at_b])
-        _, in_a, in_b = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = marked_a[in_a].tolist(), marked_b[in_b].tolist()
-        if not cuts_a or cuts_a[0] or cuts_b[0]:  # the text's start is a shared place in any case
-            cuts_a.insert(0, 0)
-            cuts_b.insert(0, 0)
-        cuts_a.append(len(ids_a))
-        cuts_b.append(len(ids_b))
-        ids_a, ids_b = tuple(ids_a), tuple(ids_b)
-        window = self._window
-        return [
-            window(ids_a[i:k], ids_b[j:m]) for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
-        ]
+    """Alignments of documents, with the windows met so far, by their tuples of ids."""
+
+    def __init__(self, pair: Pair, windows: int = WINDOWS):
+        self.a, self.b, self.limit = pair.bytes_a, pair.bytes_b, windows
+        # An id as text behind what may come before it: nothing, a new group, its group's other ids; A's ids, other ids.
+        self.text_a = np.array([[f"{mark}{k}" for k in range(len(self.a.spelled))] for mark in ("", ";", ",")], object)
+        self.text_b = np.array([[f"{mark}{k}" for k in range(len(self.b.spelled))] for mark in ("|", ",")], object)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # packed ids of a window -> its number
+        self.groups: list[str] = []  # by number
+        self.links = np.empty(0, np.int64)  # of all windows; by number:
+        self.first, self.n_links, self.n_groups = (np.empty(0, np.int64) for _ in range(3))
+
+    def align(self, documents: list[tuple[list[int], list[int]]]) -> Documents:
+        """Align documents whose two sides spell the same bytes."""
+        if len(self.known) > self.limit or len(self.links) > 8 * self.limit:
+            self._forget()
+        ids_a, ids_b = (np.concatenate([np.array(d[k], np.int64) for d in documents]) for k in (0, 1))
+        sizes = np.array([[len(a), len(b)] for a, b in documents], np.int64).reshape(-1, 2)
+        cuts_a, cuts_b = self._anchors(ids_a, ids_b, sizes)
+        number = self._numbers(ids_a, ids_b, cuts_a, cuts_b)
+        # Windows don't reach over documents: each begins with one.
+        first = np.searchsorted(cuts_a[:-1], np.concatenate(([0], np.cumsum(sizes[:, 0]))))
+        owner = np.repeat(np.arange(len(documents)), np.diff(first))
+        counts = self.n_links[number]
+        place = np.repeat(self.first[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        links, times = np.unique(np.repeat(owner, counts) << 31 | self.links[place], return_counts=True)
+        ends = np.searchsorted(links, np.arange(len(documents) + 1) << 31)
+        links &= (1 << 31) - 1
+        spelled = list(map(self.groups.__getitem__, number.tolist()))
+        return Documents(
+            np.bincount(owner, self.n_groups[number], len(documents)).astype(np.int64),
+            np.bincount(owner, counts, len(documents)).astype(np.int64),
+            [";".join(spelled[i:k]) for i, k in zip(first.tolist(), first[1:].tolist())],
+            [links[i:k] for i, k in zip(ends, ends[1:])],
+            [times[i:k] for i, k in zip(ends, ends[1:])],
+        )
+
+    def _anchors(self, ids_a: np.ndarray, ids_b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First token of A and of B of each window, and behind the last: shared ends that both go on from with a space."""
+        length_a, length_b = self.a.length[ids_a], self.b.length[ids_b]
+        starts_a, starts_b = np.cumsum(length_a) - length_a, np.cumsum(length_b) - length_b
+        marked = np.zeros(int(length_a.sum()) + 1, bool)
+        marked[starts_a[self.a.spaced[ids_a]]] = True
+        begins = np.cumsum(sizes[:, 1]) - sizes[:, 1]  # documents' first tokens, shared starts in any case
+        begins = begins[sizes[:, 1] > 0]
+        shared = self.b.spaced[ids_b] & marked[starts_b]
+        shared[begins] = True
+        cuts_b = np.flatnonzero(shared)
+        cuts_a = np.searchsorted(starts_a, starts_b[cuts_b])
+        return np.append(cuts_a, len(ids_a)), np.append(cuts_b, len(ids_b))
+
+    def _numbers(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> np.ndarray:
+        """The number of each window among those known; new ones are aligned."""
+        windows = len(cuts_a) - 1
+        packed = np.empty(len(ids_a) + len(ids_b), np.int32)  # A's ids, marked, then B's, window by window
+        before_b, before_a = np.repeat(cuts_b[:-1], np.diff(cuts_a)), np.repeat(cuts_a[1:], np.diff(cuts_b))
+        packed[np.arange(len(ids_a)) + before_b] = ids_a | 1 << 30
+        packed[np.arange(len(ids_b)) + before_a] = ids_b
+        data, ends = packed.tobytes(), ((cuts_a + cuts_b) * 4).tolist()
+        keys = [data[i:k] for i, k in zip(ends, ends[1:])]
+        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, windows)
+        fresh = []
+        for w in np.flatnonzero(number < 0).tolist():
+            found = self.known.setdefault(keys[w], len(self.known))
+            if found == len(self.groups) + len(fresh):
+                fresh.append(w)
+            number[w] = found
+        if fresh:
+            self._learn(ids_a, ids_b, cuts_a, cuts_b, np.array(fresh))
+        return number
+
+    def _learn(self, ids_a, ids_b, cuts_a, cuts_b, fresh: np.ndarray) -> None:
+        """Align new windows, one behind the other: every stretch between ends of either side is a link."""
+
+        def joined(ids: np.ndarray, cuts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+            n = cuts[fresh + 1] - cuts[fresh]
+            at = np.repeat(cuts[fresh] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            return ids[at], np.cumsum(length[ids[at]]), np.repeat(np.arange(len(fresh)), n)
+
+        a, ends_a, window = joined(ids_a, cuts_a, self.a.length)
+        b, ends_b, _ = joined(ids_b, cuts_b, self.b.length)
+        starts = np.concatenate(([0], np.union1d(ends_a, ends_b)[:-1]))
+        in_a, in_b = np.searchsorted(ends_a, starts, "right"), np.searchsorted(ends_b, starts, "right")
+        counts = np.bincount(window[in_a], minlength=len(fresh))
+        shared, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        n_groups = np.bincount(window[last_a], minlength=len(fresh))
+
+        # Tokens in the order of the text: A's of a group, then B's, each behind its separator.
+        group_a, group_b = np.searchsorted(ends_a[last_a], ends_a), np.searchsorted(ends_a[last_a], ends_b)
+        text = np.empty(len(a) + len(b), object)
+        begins_a, begins_b = np.append(True, group_a[1:] != group_a[:-1]), np.append(True, group_b[1:] != group_b[:-1])
+        opens = np.append(True, window[1:] != window[:-1])
+        mark_a = np.where(opens, 0, np.where(begins_a, 1, 2))
+        text[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = self.text_a[mark_a, a]
+        text[np.arange(len(b)) + (last_a + 1)[group_b]] = self.text_b[np.where(begins_b, 0, 1), b]
+        starts_of = np.flatnonzero(opens)
+        ends = [*(starts_of + np.append(0, last_b + 1)[group_a[starts_of]]).tolist(), len(text)]
+        text = text.tolist()
+        self.groups += ["".join(text[i:k]) for i, k in zip(ends, ends[1:])]
+        self.first = np.concatenate([self.first, len(self.links) + np.cumsum(counts) - counts])
+        self.links = np.concatenate([self.links, a[in_a] << PIECE_BITS | b[in_b]])
+        self.n_links, self.n_groups = np.append(self.n_links, counts), np.append(self.n_groups, n_groups)
 
 
 _ALIGNED = pa.schema(
@@ -211,21 +271,21 @@ def _aligned(files, spelled: bool):
         pair = _pair(*files.value)
         aligner = Aligner(pair)
         for batch in batches:
-            rows, pairs, times = [], [], []
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            for doc_id, (ids_a, ids_b) in zip(batch.column("doc_id").to_pylist(), pair.encode(texts)):
-                windows = aligner.windows(ids_a, ids_b)
-                links = np.concatenate([w.links for w in windows]) if windows else np.empty(0, np.int64)
-                groups = ";".join([w.groups for w in windows])
-                digest = hashlib.sha256(groups.encode()).hexdigest() if windows else ""
-                n_groups = sum([w.n_groups for w in windows])
-                rows.append((doc_id, len(ids_a), len(ids_b), n_groups, len(links), digest, groups if spelled else None))
-                distinct, number = np.unique(links.astype(np.int32), return_counts=True)
-                pairs.append(distinct)
-                times.append(number.astype(np.int32))
-            ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ALIGNED)]
-            columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in (pairs, times)]
+            tokens = list(pair.encode([text or "" for text in batch.column("text").to_pylist()]))
+            found = aligner.align(tokens)
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.groups]
+            ends = pa.array(np.cumsum([0, *map(len, found.pairs)]), pa.int32())
+            pairs, times = (pa.array(np.concatenate(x), pa.int32()) for x in (found.pairs, found.times))
+            columns = [
+                batch.column("doc_id"),
+                *(pa.array([len(ids[k]) for ids in tokens], pa.int64()) for k in (0, 1)),
+                pa.array(found.n_groups),
+                pa.array(found.n_links),
+                pa.array(digests, pa.string()),
+                pa.array(found.groups if spelled else [None] * len(digests), pa.string()),
+                pa.ListArray.from_arrays(ends, pairs),
+                pa.ListArray.from_arrays(ends, times),
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
 
     return run
