@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def crc32_fold(doc_id: Column, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0).cast("long"))
 
 
+def returning_memory(run: Callable) -> Callable:
+    """A function over Arrow batches that gives back what its task held when it ends.
+
+    Workers serve task after task; freed buffers would otherwise stay with the process.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow's pool and, where the C library can, of its heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """At most ``rows`` rows in each Arrow batch while a stage of wide rows is written."""

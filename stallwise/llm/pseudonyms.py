@@ -6,14 +6,16 @@ Feistel network over exactly the values of that format, so
 
 * equal values get equal pseudonyms in every document, however they are spaced,
 * different values of a format never share one,
-* a pseudonym is again valid (a card passes its check digit, a date exists), and
+* a pseudonym is again valid (a card passes its check digit, a date exists, an SSN's parts are in range), and
 * who holds the key can invert the permutation.
 
+``KEY`` is a public default: set another wherever texts leave the house.
+
 Formats: payment cards (13 to 19 digits, Luhn, in one run or in the groups listed at
 their pattern), IPv4 addresses, phone numbers with a country code or an area code in
 brackets, US social security numbers, and dates (``yyyy-mm-dd``, ``dd.mm.yyyy``,
 ``dd/mm/yyyy``, else ``mm/dd/yyyy``) between 1900 and 2099. E-mail addresses keep
-their shape and domain; the local part gets letters and digits from a keyed digest.
+their domain and the kind of each character; letter case has no part in them.
 Values that don't validate stay as they are. Where sixteen digits in groups and up to
 three more after a separator pass the check as one number, they are one card, else the
 sixteen are.
@@ -39,8 +41,10 @@ KEY = "set a secret of your own"
 ROUNDS = 10  # even, so that both halves end where they began
 
 # The formats, in order of precedence.
+ADDRESS = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # Only where a run of letters begins, or right behind another value: long runs are read once.
+    "email": rf"(?:(?<![A-Za-z0-9._%+-])|\G){ADDRESS}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
@@ -48,7 +52,7 @@ PATTERNS = {
 }
 # Cards: 4-4-4-4 and up to three more, 4-4-4 and the rest, 4-6-5, 4-6-4, 4-5-6, 4-7-4, 4-3-3-3 and 6-13, or no groups at all.
 # What follows a card isn't its last group where another value begins there.
-_OTHER = "|".join(f"(?:{PATTERNS[kind]})" for kind in ("email", "ip", "date", "ssn"))
+_OTHER = "|".join(f"(?:{p})" for p in (ADDRESS, *(PATTERNS[kind] for kind in ("ip", "date", "ssn"))))
 _LAST = rf"[ -](?!{_OTHER})"
 PATTERNS["card"] = (
     rf"(?<!\d)(?:\d{{4}}(?:[ -]?\d{{4}}){{3}}{_LAST}\d{{1,3}}|\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}"
@@ -62,6 +66,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"@|\d[\d() .+/-]{7}|\d\.\d{1,3}\.\d{1,3}\.\d"
 # Country codes (ITU-T E.164): those of one and of two digits; all others have three.
 COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+AREAS, GROUPS, SERIALS = 898, 99, 9999  # of valid SSNs: 001 to 899 without 666, 01 to 99, 0001 to 9999
+MARK = "\U0010ffff"  # stands for no character; set around what is found
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)  # 73,050 days: the last is 2100-01-01
 
 
@@ -182,8 +188,28 @@ def _phone(found: Column, key: str) -> Column:
 
 
 def _ssn(found: Column, key: str) -> Column:
-    valid = ~found.rlike(r"^(?:000|666|9\d\d)") & ~found.rlike(r"^...-00") & ~found.rlike("0000$")
-    return F.when(valid, _refilled(found, permuted_digits(_digits(found), key, "ssn")))
+    """Area, group and serial permuted over those that are valid."""
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(found, start, length).cast("long")
+
+    def padded(number: Column, width: int) -> Column:
+        return F.lpad(number.cast("string"), width, F.lit("0"))
+
+    def written(m: Column) -> Column:
+        area = F.floor(m["x"] / F.lit(GROUPS))
+        area = area + F.when(area < 665, F.lit(1)).otherwise(F.lit(2))
+        return F.concat_ws(
+            "-", padded(area, 3), padded(m["x"] % F.lit(GROUPS) + F.lit(1), 2), padded(m["y"] + F.lit(1), 4)
+        )
+
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area < 666, F.lit(1)).otherwise(F.lit(2))
+    pair = feistel(
+        place * F.lit(GROUPS) + group - F.lit(1), serial - F.lit(1), F.lit(AREAS * GROUPS), F.lit(SERIALS), key, "ssn"
+    )
+    return F.when(valid, let(pair, written))
 
 
 def _date(found: Column, key: str) -> Column:
@@ -205,21 +231,39 @@ def _date(found: Column, key: str) -> Column:
 
 
 def _email(found: Column, key: str) -> Column:
-    def made(local: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(found)), 512)
+    """The local part's letters and digits are permuted, each among its kind, by a Feistel network whose halves are strings."""
+    domain = F.lower(F.substring_index(found, "@", -1))
 
-        def at(i: Column) -> Column:
-            char = F.substring(local, i, F.lit(1))
+    def shifted(half: Column, other: Column, turn: Column) -> Column:
+        noise = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), turn.cast("string"), domain, other), 512)
+
+        def at(i: Column, digest: Column) -> Column:
+            char = F.substring(half, i, F.lit(1))
             value = F.conv(F.substring(digest, (i * F.lit(2)) % F.lit(126) + F.lit(1), F.lit(2)), 16, 10).cast("int")
-            return (
-                F.when(char.rlike("[0-9]"), (value % F.lit(10)).cast("string"))
-                .when(char.rlike("[A-Za-z]"), F.char(F.lit(97) + value % F.lit(26)))
-                .otherwise(char)
-            )
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), at), "")
+            def moved(first: int, size: int) -> Column:
+                return F.char(F.lit(first) + (F.ascii(char) - F.lit(first) + value) % F.lit(size))
+
+            return F.when(char.rlike("[0-9]"), moved(48, 10)).when(char.rlike("[a-z]"), moved(97, 26)).otherwise(char)
 
-    return F.concat(let(F.substring_index(found, "@", 1), made), F.lit("@"), F.substring_index(found, "@", -1))
+        places = F.sequence(F.lit(1), F.length(half))
+        joined = let(noise, lambda digest: F.array_join(F.transform(places, lambda i: at(i, digest)), ""))
+        return F.when(F.length(half) == 0, half).otherwise(joined)
+
+    def turn(state: Column, number: Column) -> Column:
+        return F.struct(state["y"].alias("x"), shifted(state["x"], state["y"], number).alias("y"))
+
+    def made(local: Column) -> Column:
+        middle = F.floor(F.length(local) / F.lit(2)).cast("int")
+        halves = F.struct(
+            F.substring(local, F.lit(1), middle).alias("x"), F.substring(local, middle + F.lit(1), F.length(local)).alias("y")
+        )
+        rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+        return let(F.aggregate(rounds, halves, turn), lambda m: F.concat(m["x"], m["y"]))
+
+    return F.concat(
+        let(F.lower(F.substring_index(found, "@", 1)), made), F.lit("@"), F.substring_index(found, "@", -1)
+    )
 
 
 MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -243,19 +287,23 @@ def _kind(kind: str, found: Column, key: str) -> Column:
 def replaced(text: Column, key: str = KEY) -> Column:
     """``struct(text, kinds)``: the text with pseudonyms, and the kind of each value replaced."""
 
-    def joined(found: Column, made: Column) -> Column:
-        between = F.split(text, ANY, -1)
-        values = F.zip_with(found, made, lambda f, m: F.coalesce(m["value"], f))
-        body = F.array_join(F.zip_with(between, values, lambda b, v: F.concat(b, F.coalesce(v, F.lit("")))), "")
+    def changed(parts: Column) -> Column:
+        made = F.transform(parts, lambda p, i: F.when(i % F.lit(2) == 1, _pseudonym(p, key)))
+        return let(made, lambda m: joined(parts, m))
+
+    def joined(parts: Column, made: Column) -> Column:
+        body = F.array_join(F.zip_with(parts, made, lambda p, m: F.coalesce(m["value"], p)), "")
         kinds = F.transform(F.array_compact(made), lambda m: m["kind"])
         return F.struct(body.alias("text"), kinds.alias("kinds"))
 
-    def changed(found: Column) -> Column:
-        made = F.transform(found, lambda f: _pseudonym(f, key))
-        return let(made, lambda m: joined(found, m))
-
+    # What lies between the values and the values, in turn. One search finds both, but in texts that hold the mark.
+    parts = F.split(F.regexp_replace(text, F.lit(f"(?:{ANY})"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    searched = F.zip_with(
+        F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), 0), lambda b, f: F.array(b, F.coalesce(f, F.lit("")))
+    )
+    parts = F.when(F.contains(text, F.lit(MARK)), F.flatten(searched)).otherwise(parts)
     same = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return F.when(text.rlike(HINT), let(F.regexp_extract_all(text, F.lit(ANY), 0), changed)).otherwise(same)
+    return F.when(text.rlike(HINT), let(parts, changed)).otherwise(same)
 
 
 def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:

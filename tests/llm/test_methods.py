@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm import jaccard, languages, materialise, mixing, pseudonyms, queries, shingles, toxicity, warc
 from stallwise.llm.components import components
+from stallwise.sources.staging import stage
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
@@ -144,6 +146,63 @@ def test_shards_hold_the_corpus_in_keyed_order(spark, tmp_path):
         assert ids[-1] == materialise.END and encoder.decode(ids[:-1]) == texts[row.doc_id]
 
 
+@pytest.mark.parametrize("count, band", [(1000, 64), (1000, 999), (130, 64), (5, 64)])
+def test_bands_are_permuted_in_themselves(count, band):
+    ids = np.random.default_rng(1).permutation(count)
+    made = materialise.slots(ids, count, band=band)
+    assert sorted(made.tolist()) == list(range(count)) and (made // band == ids // band).all()
+    if count > band:
+        first, second = (np.sort(ids)[k * band : (k + 1) * band] for k in (0, 1))
+        if len(second) == band:
+            assert (materialise.slots(first, count, band=band) != materialise.slots(second, count, band=band) - band).any()
+
+
+def test_slots_do_not_hang_on_splits(spark, tmp_path):
+    frame = spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(3, "doc_id")
+    frame.write.option("parquet.block.size", 40_000).parquet(str(tmp_path / "documents"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before, found, tasks = spark.conf.get(key), [], set()
+    try:
+        for size in ("20000b", "150000b", "128m"):
+            spark.conf.set(key, size)
+            documents = spark.read.parquet(str(tmp_path / "documents"))
+            tasks.add(documents.rdd.getNumPartitions())
+            found.append(sorted(map(str, materialise.materialise(documents, length=128).collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert len(tasks) >= 2 and found[0] == found[1] == found[2]
+
+
+def test_order_of_documents_that_are_not_a_plain_scan(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for frame in (documents.where("doc_id % 3 = 0"), documents.unionByName(documents), documents.withColumn("_metadata", F.lit(1))):
+        stream = materialise.tokenise(frame).orderBy("at").collect()
+        assert [r.at for r in stream] == np.cumsum([0, *(r.n for r in stream)])[:-1].tolist()
+        assert sorted(r.doc_id for r in stream) == sorted(r.doc_id for r in frame.where("text <> ''").collect())
+
+
+def test_shards_follow_the_curriculum(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    staged = mixing.training_order(documents)
+    order = {}
+    for place, r in enumerate(staged.collect()):
+        order.setdefault(r.doc_id, place)
+    last = max(order.values())
+    def times_of_shards(rows):
+        """How the mean time of a shard's documents goes with its number."""
+        shards = {}
+        for r in rows:
+            shards.setdefault(r.shard, []).extend(order[d] / last for d in r.doc_ids)
+        return np.corrcoef(sorted(shards), [np.mean(shards[k]) for k in sorted(shards)])[0, 1], len(shards)
+
+    rows = materialise.materialise(stage(staged, "mixed"), length=256, per_shard=40, band=40).collect()
+    follows, number = times_of_shards(rows)
+    assert number > 10 and follows > 0.8
+    plain = materialise.materialise(stage(staged, "mixed"), length=256, per_shard=40).collect()
+    assert abs(times_of_shards(plain)[0]) < 0.7
+    assert sorted(r.tokens_sha256 for r in plain) == sorted(r.tokens_sha256 for r in rows)
+
+
 def test_materialise_agrees_with_itself(spark):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     first, second = (
@@ -211,6 +270,55 @@ def test_pseudonyms_against_a_plain_version(spark):
     assert (rows[1].n_card, rows[2].n_ip, rows[3].n_phone, rows[4].n_date, rows[6].n_email, rows[6].n_ssn) == (2, 2, 2, 4, 2, 1)
 
 
+def test_social_security_numbers_stay_valid_and_distinct(spark):
+    draw = random.Random(4)
+    numbers = {f"{draw.choice([*range(1, 666), *range(667, 900)]):03d}-{draw.randrange(1, 100):02d}-{draw.randrange(1, 10_000):04d}" for _ in range(10_000)}
+    numbers |= {"001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"}
+    invalid = ["000-12-3456", "666-12-3456", "900-12-3456", "999-12-3456", "123-00-4567", "123-45-0000"]
+    rows = [(i, f"id {n}.") for i, n in enumerate([*sorted(numbers), *invalid])]
+    found = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    made = [found[i].text[3:-1] for i in range(len(numbers))]
+    assert len(set(made)) == len(numbers) and sum(a == b for a, b in zip(made, sorted(numbers))) < 5
+    for number in made:
+        area, group, serial = map(int, number.split("-"))
+        assert 1 <= area <= 899 and area != 666 and 1 <= group and 1 <= serial and len(number) == 11
+    assert all(found[i].text == text and not found[i].n_replaced for i, text in rows[len(numbers) :])
+
+
+def test_addresses_are_permuted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    locals_ = [a + b for a in letters for b in "abcdefghij"] + [f"{a}{d}" for a in "xyz" for d in range(10)] + list(letters)
+    long = "averylongname." * 12 + "x9"
+    rows = [(i, f"write to {name}@Site.example.org now") for i, name in enumerate([*locals_, long, long.upper(), "..", "-"])]
+    found = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    made = [re.fullmatch(r"write to (\S+)@Site\.example\.org now", found[i].text).group(1) for i in range(len(rows))]
+    assert len(set(made[: len(locals_)])) == len(locals_)
+    kinds = str.maketrans(letters + "0123456789", "a" * 26 + "0" * 10)
+    assert [m.translate(kinds) for m in made[: len(locals_) + 1]] == [n.translate(kinds) for n in [*locals_, long]]
+    assert made[len(locals_)] == made[len(locals_) + 1] != long and made[-2:] == ["..", "-"]
+
+
+def test_long_unbroken_runs_take_linear_time(spark):
+    runs = ["a" * 1_000_000, "a." * 500_000, "1" * 1_000_000, "1.1." * 250_000, "a@" * 500_000, "x@" + "b" * 1_000_000, "+1 " * 300_000]
+    rows = [(i, f"{run} 123-45-6789 {run[:9]}") for i, run in enumerate(runs)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    start = time.monotonic()
+    found = {r.doc_id: r for r in pseudonyms.pseudonymise(frame).collect()}
+    assert time.monotonic() - start < 30
+    assert all(r.n_ssn == 1 and "123-45-6789" not in r.text for r in found.values())
+    assert all(len(found[i].text) == len(text) for i, text in rows)
+
+
+def test_values_that_touch_and_texts_with_the_mark(spark):
+    mark = pseudonyms.MARK
+    texts = ["+1 (389) 555-5010abc@x.org", "8.8.8.8 a@b.org,c@d.org 8.8.4.4", f"8.8.8.8{mark}a@b.org,c@d.org {mark}{mark}8.8.4.4", f"{mark}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(frame).collect()}
+    assert (rows[0].n_phone, rows[0].n_email) == (1, 1) and "abc@" not in rows[0].text
+    assert [(rows[i].n_ip, rows[i].n_email) for i in (1, 2, 3)] == [(2, 2), (2, 2), (0, 0)]
+    assert rows[2].text.replace(mark, " ").split() == rows[1].text.split() and rows[2].text.count(mark) == 3 and rows[3].text == mark
+
+
 def test_feistel_is_a_permutation(spark):
     digits = F.lpad(F.col("id").cast("string"), 3, F.lit("0"))
     made = spark.range(1000).select(pseudonyms.permuted_digits(digits, "k", "t").alias("d")).collect()
