@@ -1,10 +1,12 @@
 """Training-order materialisation: token sequences in keyed random order, in fixed-stride shards.
 
-Documents are tokenised once and staged with their place in their task's token
-stream; summing the tasks' totals gives every token a global place, so sequences
-of equal length fill up without gaps or padding (but for the last one). A keyed
+Documents are tokenised once and staged with their place in a run of rows that follow
+each other in a file; summing the runs' totals gives every token a global place, so
+sequences of equal length fill up without gaps or padding (but for the last one). A keyed
 Feistel permutation with cycle-walking gives sequence ``i`` of ``n`` the global slot
-``p(i)`` in [0, n): every slot is used once, and a slot is known without a table.
+``p(i)`` in [0, n): every slot is used once, and a slot is known without a table. With
+``band`` each stretch of so many sequences is permuted in itself, so that a corpus that
+comes in training order keeps it from stretch to stretch.
 
 Slots are cut into ranges, a shard each. One shuffle brings the pieces of a range
 together; its sequences are written in slot order as records of one stride:
@@ -15,8 +17,9 @@ so slot ``s`` lies in shard ``s // slots`` at byte ``(s % slots) * stride``, and
 reader resumes anywhere by seeking. The shards go through Spark's text writer with
 CR LF as line separator: lost tasks are repeated and files appear on commit only.
 
-Order within the corpus is that of the input's files and rows; it and the key
-decide the slots, so runs over the same files agree.
+Order within the corpus is that of the input's files by name and of the rows in them,
+however they are split between tasks; it and the key decide the slots, so runs over the
+same files agree on any cluster. What isn't read from files as it is gets staged first.
 
 Edge cases: null and empty texts have no tokens and appear in no sequence. Every
 other document ends with the end token. Repeated rows are repeated in the stream.
@@ -29,7 +32,6 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwise.llm.common import arrow_rows
+from stallwise.llm.common import arrow_rows, returning_memory
 from stallwise.llm.shingles import mix
 from stallwise.sources.staging import fresh_path, stage
 
@@ -58,8 +60,20 @@ COMPRESSION = 4  # of the pieces that are shuffled
 STAGED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
-def slots(ids: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
-    """The keyed permutation of [0, count) at ``ids``."""
+def slots(ids: np.ndarray, count: int, key: int = KEY, band: int | None = None) -> np.ndarray:
+    """The keyed permutation of [0, count) at ``ids``, or with ``band`` of each stretch of so many."""
+    if band is None or band >= count:
+        return _permuted(ids, count, key)
+    ids = np.asarray(ids, np.int64)
+    out = np.empty(len(ids), np.int64)
+    for k in np.unique(ids // band).tolist():
+        here, start = ids // band == k, k * band
+        own_key = (key + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+        out[here] = start + _permuted(ids[here] - start, min(band, count - start), own_key)
+    return out
+
+
+def _permuted(ids: np.ndarray, count: int, key: int) -> np.ndarray:
     bits = max(1, (int(count - 1).bit_length() + 1) // 2)  # of each half
     mask, shift = np.uint64(2**bits - 1), np.uint64(bits)
     seeds = mix(np.arange(ROUNDS, dtype=np.uint64) + np.uint64(key), 21)
@@ -74,8 +88,8 @@ def slots(ids: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@cache
 def _encoder(vocabulary: bytes, digest: str):
+    """Made anew in each task: kept, it would hold memory in workers that go on to other stages."""
     import tiktoken
 
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
@@ -83,22 +97,36 @@ def _encoder(vocabulary: bytes, digest: str):
 
 
 _STREAM = pa.schema(
-    [("part", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
+    [
+        ("file", pa.string()),
+        ("first", pa.int64()),
+        ("task", pa.int64()),
+        ("start", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("n", pa.int64()),
+        ("tokens", pa.binary()),
+    ]
 )
 
 
 def _tokenised(vocabulary):
-    """A row per document with tokens: where they start in the task's stream, and the tokens."""
+    """A row per document with tokens: the run of rows it lies in, where it starts in the run, and the tokens.
+
+    A run is known by its file and first row; the task only tells apart what should not occur twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary.value, hashlib.sha1(vocabulary.value).hexdigest())
-        part, at = TaskContext.get().partitionId(), 0
+        task, file, first, last, at = TaskContext.get().partitionId(), None, 0, 0, 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for source, row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "doc_id", "text"))):
+                if source != file or row != last + 1:
+                    file, first, at = source, row, 0
+                last = row
                 if text:
                     ids = np.array([*encoder.encode_ordinary(text), END], "<u2")
-                    rows.append((part, at, doc_id, len(ids), ids.tobytes()))
+                    rows.append((file, first, task, at, doc_id, len(ids), ids.tobytes()))
                     at += len(ids)
             columns = list(zip(*rows)) or [()] * len(_STREAM)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STREAM)], schema=_STREAM)
@@ -106,10 +134,21 @@ def _tokenised(vocabulary):
     return run
 
 
+def _with_places(documents: DataFrame) -> DataFrame:
+    """``file, row, doc_id, text``: documents with their place in the files they are read from."""
+    node = documents._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        node = node.children().apply(0)
+    if not node.nodeName().startswith("LogicalRelation") or "_metadata" in documents.columns:
+        documents = stage(documents.select("doc_id", "text"), "documents")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return documents.select(*place, F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 _PIECE = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int64()), ("tokens", pa.binary())])
 
 
-def _pieces(length: int, per_shard: int, count: int, key: int):
+def _pieces(length: int, per_shard: int, count: int, key: int, band: int | None):
     """Cut the stream at sequence bounds; documents of one batch that meet in a sequence are one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +176,7 @@ def _pieces(length: int, per_shard: int, count: int, key: int):
                     at.append(here % length)
                     data.append(zlib.compress(held[2 * (here - begin) : 2 * (stop - begin)], COMPRESSION))
                     here = stop
-            slot = slots(np.array(sequence, np.int64), count, key)
+            slot = slots(np.array(sequence, np.int64), count, key, band)
             columns = [pa.array(slot // per_shard), pa.array(slot), pa.array(at, pa.int64()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_PIECE)
 
@@ -183,22 +222,22 @@ def tokenise(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Staged ``doc_id, at, n, tokens``: the tokens of each document and their place in the corpus."""
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a fixed file of about 1 MB
-    schema = "part bigint, start bigint, doc_id bigint, n bigint, tokens binary"
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "file string, first bigint, task bigint, start bigint, doc_id bigint, n bigint, tokens binary"
     path = fresh_path(spark, "tokens")
     with arrow_rows(spark, TEXT_ROWS):
-        rows = texts.mapInArrow(_tokenised(table), schema)
+        rows = _with_places(documents).mapInArrow(returning_memory(_tokenised(table)), schema)
         rows.write.options(**STAGED).parquet(path)
     stream = spark.read.schema(schema).parquet(path)
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = stream.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that read documents
-    bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = stage(bases, "bases")
-    return stream.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "tokens")
+    run = ("file", "first", "task")
+    # A row for each stretch of a file that one task read. Parts of one table are named by number, so longer names are later.
+    runs = stream.groupBy(*run).agg(F.sum("n").alias("n"))
+    before = W.orderBy(F.length("file"), *run).rowsBetween(W.unboundedPreceding, -1)
+    bases = stage(runs.select(*run, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    return stream.join(bases, list(run)).select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "tokens")
 
 
 def write_shards(
-    stream: DataFrame, path: str, length: int = LENGTH, per_shard: int = SLOTS, key: int = KEY
+    stream: DataFrame, path: str, length: int = LENGTH, per_shard: int = SLOTS, key: int = KEY, band: int | None = None
 ) -> int:
     """Write the sequences of a token stream; returns their number."""
     spark = stream.sparkSession
@@ -206,10 +245,14 @@ def write_shards(
     count = -(-total // length)
     with arrow_rows(spark, 1024):
         pieces = stream.select("at", "tokens").mapInArrow(
-            _pieces(length, per_shard, count, key), "shard bigint, slot bigint, at bigint, tokens binary"
+            returning_memory(_pieces(length, per_shard, count, key, band)), "shard bigint, slot bigint, at bigint, tokens binary"
         )
-        ranges = pieces.repartition("shard").sortWithinPartitions("shard", "slot", "at")
-        records = ranges.mapInArrow(_records(length), "shard bigint, record binary")
+        # Slots are spread evenly, so equal ranges of shards are equal partitions.
+        shards = max(1, -(-count // per_shard))
+        ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        place = F.floor(F.col("shard") * F.lit(ranges) / F.lit(shards)).cast("int")
+        ranges = pieces.repartitionById(ranges, place).sortWithinPartitions("shard", "slot", "at")
+        records = ranges.mapInArrow(returning_memory(_records(length)), "shard bigint, record binary")
         records = records.select("shard", F.col("record").cast("string").alias("record"))
         records.write.option("lineSep", TERMINATOR).partitionBy("shard").text(path)
     return count
@@ -258,12 +301,14 @@ def read_shards(
         return stage(files.mapInArrow(_sequences(length, per_shard, start, body), schema), "sequences")
 
 
-def sequence_documents(stream: DataFrame, count: int, length: int = LENGTH, key: int = KEY) -> DataFrame:
+def sequence_documents(
+    stream: DataFrame, count: int, length: int = LENGTH, key: int = KEY, band: int | None = None
+) -> DataFrame:
     """``slot, doc_ids``: the documents with tokens in each sequence, at most ``length`` of them, by place."""
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = slots(batch.column("sequence").to_numpy(), count, key)
+            slot = slots(batch.column("sequence").to_numpy(), count, key, band)
             yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("doc_ids")], ["slot", "doc_ids"])
 
     last = F.floor((F.col("at") + F.col("n") - F.lit(1)) / F.lit(length))
@@ -281,14 +326,15 @@ def materialise(
     length: int = LENGTH,
     per_shard: int = SLOTS,
     key: int = KEY,
+    band: int | None = None,
 ) -> DataFrame:
     """Write the shards under ``path`` and read them back: a row per sequence, with its documents."""
     spark = documents.sparkSession
     path = path or fresh_path(spark, "shards")
     stream = tokenise(documents, vocabulary)
-    count = write_shards(stream, path, length, per_shard, key)
+    count = write_shards(stream, path, length, per_shard, key, band)
     schema = "slot bigint, shard bigint, byte bigint, n_tokens bigint, tokens_sha256 string, doc_ids array<bigint>"
     if not count:
         return spark.createDataFrame([], schema)
     sequences = read_shards(spark, path, length, per_shard)
-    return sequences.join(sequence_documents(stream, count, length, key), "slot")
+    return sequences.join(sequence_documents(stream, count, length, key, band), "slot")
