@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.calendar import plus_minutes
 from stallwise.functions.labels import padded_id
+from stallwise.operators import timeline
 from stallwise.operators.scope import Period
+from stallwise.operators.spread import spread_join
 
 # Minutes of each stage relative to the order, and to the start of a browse session.
 ORDER_OFFSETS = {"session_start": -8, "menu_view": -6, "add_to_cart": -4, "checkout": -2, "order": 0}
@@ -20,13 +23,17 @@ BROWSE_FLAGS = {"menu_view": "menu_ok", "add_to_cart": "cart_ok", "checkout": "c
 EVENT_COLUMNS = ("session_id", "user_id", "event_ts", "event_name", "restaurant_id", "cuisine", "traffic")
 
 
-def with_cuisine(facts: DataFrame, restaurants: DataFrame) -> DataFrame:
+def with_cuisine(facts: DataFrame, restaurants: DataFrame, spread: bool = False) -> DataFrame:
     """Facts with their restaurant's cuisine, null where it has none.
 
-    The join runs before rows multiply. Spark broadcasts the restaurants when
-    their size allows it; otherwise AQE splits the partition of a hot restaurant.
+    The join runs before rows multiply. Spark broadcasts the restaurants when their size allows it;
+    otherwise AQE splits the partition of a hot restaurant, or with ``spread`` the plan does,
+    after a look at which are hot.
     """
-    return facts.join(restaurants.select("restaurant_id", "cuisine"), "restaurant_id", "left")
+    places = restaurants.select("restaurant_id", "cuisine")
+    if spread:
+        return spread_join(facts, places, "restaurant_id")
+    return facts.join(places, "restaurant_id", "left")
 
 
 def _leading_to(period: Period | None, facts: DataFrame, ts: str, offsets: Mapping[str, int]) -> DataFrame:
@@ -89,6 +96,32 @@ def browse_session_events(
     )
 
 
+def journey_timeline(
+    orders: DataFrame | None,
+    browsing: DataFrame | None,
+    restaurants: DataFrame,
+    in_order: bool = True,
+    ranges: int | None = None,
+) -> DataFrame:
+    """The events of orders and browse sessions in (event_ts, session_id) order, shuffled before they multiply.
+
+    With ``in_order`` off, partitions follow that order but are not sorted inside. One of the tables may be None.
+    """
+    kinds = (ORDER_OFFSETS, BROWSE_OFFSETS)
+    reached = [F.col(BROWSE_FLAGS[name]) if name in BROWSE_FLAGS else None for name in BROWSE_OFFSETS]
+    keep = ("user_id", "restaurant_id", "cuisine", "traffic")
+    rows, times = [], []
+    for into, columns, prepare in ((rows, keep, lambda f: with_cuisine(f, restaurants)), (times, (), lambda f: f)):
+        if orders is not None:
+            name = padded_id("S", "order_id")
+            into.append(timeline.sessions(prepare(orders), name, "order_ts", 0, [None] * len(ORDER_OFFSETS), columns))
+        if browsing is not None:
+            into.append(timeline.sessions(prepare(browsing), F.col("session_id"), "browse_ts", 1, reached, columns))
+    arranged = timeline.ordered_events if in_order else timeline.placed_events
+    both = reduce(DataFrame.unionByName, rows)
+    return arranged(both, kinds, times=reduce(DataFrame.unionByName, times), ranges=ranges).select(*EVENT_COLUMNS)
+
+
 def journey_union(order_events: DataFrame, browse_events: DataFrame) -> DataFrame:
     """Both kinds of sessions as one event table."""
     return order_events.unionByName(browse_events)
