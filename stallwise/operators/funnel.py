@@ -49,7 +49,11 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
             )
         ).alias("stages")
     )
-    aligned = counts.select(F.inline("stages"))
+    return conversions(counts.select(F.inline("stages")))
+
+
+def conversions(counted: DataFrame) -> DataFrame:
+    """``position, stage, sessions`` with the conversions from the stage before and from the first one."""
     # One row per stage.
     order = Window.orderBy("position")
     n, before = F.col("sessions"), F.lag("sessions").over(order)
@@ -57,7 +61,7 @@ def event_funnel(events: DataFrame, stages: Mapping[str, str] | Sequence[str] =
         F.when(before.isNull() | ((n == 0) & (before == 0)), F.lit(100.0)).otherwise(ratio(n, before) * F.lit(100.0))
     )
     return (
-        aligned.withColumn("conversion", conversion)
+        counted.withColumn("conversion", conversion)
         .withColumn("drop_off", F.lit(100.0) - F.col("conversion"))
         .withColumn(
             "overall_conversion",

@@ -62,6 +62,15 @@ def order_facts(
     if within is not None:
         raw = within.filter(raw, "o_orderdate")
         raw_lines = raw_lines.join(raw, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    facts = facts_of(raw, raw_lines)
+    if weather:
+        segments = users(spark, sf_dir).withColumnRenamed("acquisition_channel", "weather")
+        facts = facts.join(segments, "user_id", "left")
+    return facts
+
+
+def facts_of(raw: DataFrame, raw_lines: DataFrame) -> DataFrame:
+    """One row per order, from the orders and their lines."""
     lines = (
         raw_lines
         .groupBy(F.col("l_orderkey").alias("order_id"))
@@ -84,11 +93,7 @@ def order_facts(
         (~cancelled).cast("int").alias("delivered"),
         F.when(cancelled, F.lit(0.0)).otherwise(F.col("o_totalprice")).alias("revenue"),
     )
-    facts = orders.join(lines, "order_id", "left")
-    if weather:
-        segments = users(spark, sf_dir).withColumnRenamed("acquisition_channel", "weather")
-        facts = facts.join(segments, "user_id", "left")
-    return facts
+    return orders.join(lines, "order_id", "left")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
