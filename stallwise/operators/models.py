@@ -8,10 +8,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwise.functions.numeric import half_up
+from stallwise.functions.numeric import half_up, ratio
 from stallwise.operators.features import FEATURES, split_key, train_test_split
 from stallwise.sources.staging import use_checkpoints
 
@@ -24,6 +25,11 @@ LEARNING_RATE = 0.08
 MAX_DEPTH = 5
 SEED = 42
 
+PARAMETERS = {
+    "eta_rounds": ETA_ROUNDS, "cancel_rounds": CANCEL_ROUNDS, "validation": (VALIDATION_SHARE, VALIDATION_SEED),
+    "rate": LEARNING_RATE, "depth": MAX_DEPTH, "seed": SEED,
+}
+
 
 def _fit(rows: DataFrame, booster) -> PipelineModel:
     # Boosting adds one step of lineage per round; checkpoints keep it short when executors are lost.
@@ -69,6 +75,23 @@ def train_cancel(features: DataFrame, rounds: int = CANCEL_ROUNDS) -> tuple[Pipe
     return model, _metric(features, "cancel_auc", auc, scored.count(), auc > 0.5)
 
 
+def rank_auc(scored: DataFrame, score: str, label: str) -> Column:
+    """ROC-AUC by the sum of ranks, ties at their mean rank, as a scalar; null without rows of both labels.
+
+    Scores are grouped first, so ranks are taken over distinct scores: round them to few places, four leave 10,001.
+    """
+    groups = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score"))
+    groups = groups.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("ones"))
+    upto = F.sum("n").over(W.orderBy("score"))
+    # Twice the mean rank of a group is a whole number.
+    twice = F.lit(2) * (upto - F.col("n")) + F.col("n") + F.lit(1)
+    sums = groups.select("n", "ones", (F.col("ones") * twice).alias("ranks")).agg(
+        F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("ranks").alias("ranks")
+    )
+    above = F.col("ranks") - F.col("ones") * (F.col("ones") + F.lit(1))
+    return sums.select(ratio(above, F.lit(2) * F.col("ones") * (F.col("n") - F.col("ones")))).scalar()
+
+
 def _metric(frame: DataFrame, name: str, value: float, test_rows: int, skilled: bool) -> DataFrame:
     """The metric, the rows it is taken over, and whether it beats the mean (ETA) or a coin (cancellation)."""
     return frame.sparkSession.range(1).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.numeric import col
+from stallwise.functions.numeric import col, let
 
 # Elasticity, lowest price ratio the demand curve is used for, and grid size.
 ELASTICITY = -1.15
@@ -90,28 +90,28 @@ def optimize_price(
     """
     grid = _grid(_margin(min_margin), max_change, steps)
 
-    def offer(step: Column) -> Column:
-        candidate = _candidate(step, grid, steps)
-        price = candidate["price"]
-        demand = F.col("base_demand") * demand_multiplier(price, F.col("reference_price"), elasticity)
-        return F.struct(
-            candidate["feasible"].alias("feasible"),
-            ((price - F.col("unit_cost")) * demand).alias("contribution"),
-            (-price).alias("negative_price"),
-            demand.alias("demand"),
-            (price * demand).alias("revenue"),
-        )
-
-    offers = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), offer)
-    best = F.col("best")
-    return (
-        products.withColumn("offers", offers)
-        .select(key, F.array_max(F.filter("offers", lambda o: o["feasible"] & o["contribution"].isNotNull())).alias("best"))
-        .select(
-            key,
-            (-best["negative_price"]).alias("recommended_price"),
-            best["demand"].alias("expected_demand"),
-            best["revenue"].alias("expected_revenue"),
-            best["contribution"].alias("expected_contribution"),
-        )
+    def price_at(step: Column, ends: Column) -> Column:
+        candidate = _candidate(step, {name: ends[name] for name in grid}, steps)
+        return F.when(candidate["feasible"], candidate["price"])
+
+    def demand_at(price: Column) -> Column:
+        return F.col("base_demand") * demand_multiplier(price, F.col("reference_price"), elasticity)
+
+    def best_of(prices: Column) -> Column:
+        worth = F.transform(prices, lambda price: (price - F.col("unit_cost")) * demand_at(price))
+        # Prices ascend, so the first of equal contributions is that of the lowest price.
+        return let(worth, lambda w: F.get(prices, F.array_position(w, F.array_max(w)).cast("int") - F.lit(1)))
+
+    # The ends of the grid are bound to a name: a lambda works out what it mentions at every mention.
+    ends = F.struct(*(value.alias(name) for name, value in grid.items()))
+    all_steps = F.sequence(F.lit(0), F.lit(steps - 1))
+    prices = let(ends, lambda found: F.transform(all_steps, lambda step: price_at(step, found)))
+    best = products.select(key, "unit_cost", "reference_price", "base_demand", let(prices, best_of).alias("best"))
+    demand = best.select(key, "unit_cost", "best", F.when(F.col("best").isNotNull(), demand_at(F.col("best"))).alias("demand"))
+    return demand.select(
+        key,
+        F.col("best").alias("recommended_price"),
+        F.col("demand").alias("expected_demand"),
+        (F.col("best") * F.col("demand")).alias("expected_revenue"),
+        ((F.col("best") - F.col("unit_cost")) * F.col("demand")).alias("expected_contribution"),
     )
