@@ -4,8 +4,9 @@ Several passes over one expensive aggregate must see the same rows, also when
 executors are lost between passes. Such an aggregate is written once to the
 folder named by ``spark.checkpoint.dir`` and read back; columnar files let each
 pass read only the columns it needs. Where that setting is unset the session's
-warehouse folder, which the cluster shares as well, takes its place. Folders are
-named by application, and ``clear`` (also called when Python ends) removes them.
+warehouse folder takes its place, unless that is a folder of one machine in a session of
+several. Folders are named by application, and ``clear`` (also called when Python ends)
+removes them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        system = warehouse if ":" in warehouse else spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+        if system.startswith("file:"):
+            raise ValueError(
+                f"executors may not see {warehouse}: name a folder that they share with the driver in spark.checkpoint.dir"
+            )
+    return f"{warehouse}/staging"
 
 
 def application_folder(spark: SparkSession) -> str:
