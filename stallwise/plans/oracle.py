@@ -634,8 +634,22 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+# Labels that hang on traffic and weather, the test rows of a stratified split, and the AUC of the risk as a sum of ranks.
+RISK = """
+        risky AS (
+          SELECT order_id, ('0x' || substr(md5('42:' || order_id), 1, 15))::BIGINT AS h,
+                 0.05::DOUBLE + 0.036::DOUBLE * (CASE traffic WHEN '2-HIGH' THEN 7 WHEN '1-URGENT' THEN 16 ELSE 0 END
+                   + CASE weather WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 9 ELSE 0 END) AS risk,
+                 (('0x' || substr(md5('7:' || order_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976::DOUBLE < risk)::INT
+                   AS cancelled
+          FROM facts),
+        tested AS (
+          SELECT * FROM risky QUALIFY row_number() OVER (PARTITION BY cancelled ORDER BY h)
+                                      <= round_even(count(*) OVER (PARTITION BY cancelled) * 2 / 1e1, 0)),
+        ranked AS (
+          SELECT cancelled, 2 * (rank() OVER (ORDER BY risk) - 1) + count(*) OVER (PARTITION BY risk) + 1 AS twice FROM tested)"""
 SCORED = """
-        SELECT order_id, true AS in_range, row_number() OVER (ORDER BY h) <= ceil(count(*) OVER () * 2 / 1e1) AS is_test
+        SELECT order_id, true AS in_range, true AS near, row_number() OVER (ORDER BY h) <= ceil(count(*) OVER () * 2 / 1e1) AS is_test
         FROM digests"""
 ORACLE |= {
     "eta_model_metrics": _with(
@@ -645,23 +659,51 @@ ORACLE |= {
         FROM digests WHERE eta_minutes IS NOT NULL""",
     ),
     "cancel_model_metrics": _with(
-        "facts", FEATURES,
+        "facts", RISK,
         """
-        SELECT 'cancel_auc' AS metric, sum(n)::BIGINT AS test_rows, true AS sound
-        FROM (SELECT round_even(count(*) * 2 / 1e1, 0) AS n FROM digests GROUP BY cancelled)""",
+        SELECT 'cancel_auc' AS metric, count(*) AS test_rows, true AS sound,
+               (sum(twice) FILTER (cancelled = 1) - sum(cancelled) * (sum(cancelled) + 1))::DOUBLE
+                 / (2 * sum(cancelled) * (count(*) - sum(cancelled)))::DOUBLE AS known_auc
+        FROM ranked""",
     ),
     "score_eta": _with("facts", FEATURES, SCORED),
     "score_cancellation_risk": _with("facts", FEATURES, SCORED),
     "score_validated": "SELECT *, violations = '' AS scored FROM (" + ORACLE["validate_order_features"] + ")",
     "model_round_trip": "SELECT o_orderkey AS order_id, true AS same FROM orders",
+    "model_registry": _with(
+        "facts",
+        """
+        SELECT name AS "table", ceil((n - fewer * last) * 2 / 1e1)::BIGINT AS test_rows, fitted
+        FROM (SELECT count(eta_minutes) AS n FROM facts),
+             (SELECT (eta_minutes IS NOT NULL)::INT AS last FROM facts ORDER BY order_id DESC LIMIT 1),
+             (VALUES ('first', true, 0), ('same rows in another order', false, 0), ('one row less', true, 1),
+                     ('one value changed', true, 0), ('first again', false, 0)) t(name, fitted, fewer)""",
+    ),
+    "csv_quarantine": """
+        SELECT o_orderkey AS order_id, NOT (o_orderkey % 50 = 1 OR o_orderkey % 70 = 2 OR o_orderkey % 90 = 3) AS loaded
+        FROM orders""",
+    "orders_by_channel": _with(
+        "facts",
+        """
+        SELECT weather AS acquisition_channel, count(*) AS orders, sum(paid)::DOUBLE / 1e2 AS gmv FROM facts GROUP BY 1""",
+    ),
+    "active_users_7d": """
+        SELECT day, count(DISTINCT user_id) AS active_users
+        FROM (SELECT DISTINCT ts::DATE AS day FROM events) d JOIN events ON ts::DATE BETWEEN day - 6 AND day GROUP BY 1""",
     "optional_tables": """
         SELECT name, name IN ('orders', 'restaurants') AS present,
                CASE name WHEN 'orders' THEN (SELECT count(*) FROM orders)
                          WHEN 'restaurants' THEN (SELECT count(*) FROM supplier) END AS rows
         FROM (VALUES ('users'), ('restaurants'), ('riders'), ('orders'), ('events'), ('experiments')) t(name)""",
+    "replaced_table": """
+        SELECT o_orderpriority AS traffic, count(*) AS orders,
+               nullif(count(*) FILTER (o_orderstatus <> 'P'), 0) AS first_reader FROM orders GROUP BY 1""",
     "replaced_view": "SELECT o_orderpriority AS traffic, count(*) AS orders FROM orders GROUP BY 1",
 }
 
+ORACLE["funnel_from_bitmaps"] = ORACLE["event_funnel_scoped"]
+ORACLE["daily_kpis_rolled_up"] = ORACLE["daily_kpis_bucketed"] = ORACLE["daily_kpis"]
+ORACLE["kpi_summary_rolled_up"] = ORACLE["kpi_summary"]
 ORACLE["csv_round_trip"] = ORACLE["restaurant_performance"]
 ORACLE["metrics_json"] = ORACLE["kpi_summary"]
 
