@@ -30,8 +30,8 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences written to fixed-stride shards: a row for each."""
-    return materialise.materialise(docs)
+    """Token sequences written to fixed-stride shards, permuted inside each shard so that the mix's order stays: a row for each."""
+    return materialise.materialise(docs, band=materialise.SLOTS)
 
 
 STAGES = [
