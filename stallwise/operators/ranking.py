@@ -1,25 +1,35 @@
 """Exact global ranks without a global sort.
 
 A window without PARTITION BY moves every row to one task. Quantiles and tile
-numbers need far less than a full ranking: only the values at a few ranks. Those
-are found here by repeatedly counting rows per value range and descending into
-the range that holds the wanted rank. Every pass is one scan with map-side
-counting; no task ever sees more than ``BUCKETS`` groups per span, and equal
-values always share a group, so hot values cost nothing.
+numbers need far less than a full ranking: only the values at a few ranks.
+
+The first pass sketches every wanted column (KLL, mergeable, a few KB) next to its extent.
+The sketches say within a percent or so where the wanted ranks lie; the second pass counts
+rows per value range there, and just counts what lies between. Where a range still holds
+several values the next pass descends into it, and where a sketch was wrong, which it
+may be, the rank is found in between: the counts are exact, the sketch only saves passes.
+
+Every pass is one scan with map-side counting for all columns at once; no task ever sees
+more than ``BUCKETS`` groups per range, and equal values always share a group, so hot
+values cost nothing.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
+SKETCH = 1000  # items a level of a sketch keeps: its ranks are within about 0.5 %
+GRID = 256  # quantiles read off a sketch
+SLACK = 3  # steps of that grid to look on either side of a rank
 _EXACT_DOUBLE = 1 << 53
 
 Ranks = Callable[[int], Sequence[int]]
@@ -32,13 +42,15 @@ class Target:
 
     ``ranks`` gets the number of ranked rows and names the wanted ones. With
     ``by``, only rows where that column has ``value`` are ranked. Nulls and NaN
-    have no rank.
+    have no rank. Of a ``tie`` column, a long, the least and greatest value are
+    found as well among the rows that equal the one at a rank.
     """
 
     column: str
     ranks: Ranks
     by: str | None = None
     value: Any = None
+    tie: str | None = None
 
     def member(self) -> Column:
         return F.lit(True) if self.by is None else F.col(self.by).eqNullSafe(F.lit(self.value))
@@ -51,6 +63,18 @@ class Found:
     value: Number
     below: int
     equal: int
+    ties: tuple[int, int] | None = None
+
+
+@dataclass(frozen=True)
+class Extent:
+    """How many values there are, the least and the greatest, quantiles in between, and those of the tie column."""
+
+    rows: int
+    lo: Number | None
+    hi: Number | None
+    grid: tuple[Number, ...] = ()
+    ties: tuple[int, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -103,103 +127,207 @@ def _bucket(span: _Span, buckets: int) -> str:
     return f"least(floor({share} * {_text(float(buckets))}), {_text(buckets - 1)})"
 
 
-def _histogram(frame: DataFrame, targets: Sequence[Target], spans: list[_Span], buckets: int) -> DataFrame:
-    """The buckets that hold the wanted ranks, with the rows before each one in its span.
+@dataclass(frozen=True)
+class _Part:
+    """Ranges of which a row falls into at most one: of one target, or of targets that exclude each other.
 
-    The spans are of one column and do not overlap, so a row is in at most one.
+    ``slot`` is SQL for the range of a value ``v`` of group ``g``, ``places`` SQL for the bucket in each range. A chain
+    is a run of ranges that are counted through: (target, rows below it, wanted ranks); ``chains`` has that of each range.
     """
-    members = sorted({s.target for s in spans})
-    group = reduce(
-        lambda whens, t: whens.when(targets[t].member(), t),
-        members[1:],
-        F.when(targets[members[0]].member(), members[0]),
+
+    members: tuple[int, ...]
+    slot: str
+    places: tuple[str, ...]
+    chains: tuple[int, ...]
+
+
+@dataclass(frozen=True)
+class _Chain:
+    target: int
+    below: int
+    ranks: tuple[int, ...]
+
+
+def _windows(extent: Extent, ranks: Sequence[int]) -> list[tuple[Number, Number]]:
+    """Ranges of values that should hold the ranks, by the sketch: ascending and apart."""
+    found: list[tuple[Number, Number]] = []
+    for r in ranks:
+        low = math.floor((r - 1) / extent.rows * GRID) - SLACK
+        high = math.ceil(r / extent.rows * GRID) + SLACK
+        lo = extent.grid[low] if low > 0 else extent.lo
+        hi = extent.grid[high] if high < GRID else extent.hi
+        if found and lo <= found[-1][1]:
+            lo, hi = found[-1][0], max(hi, found[-1][1])
+            found.pop()
+        found.append((lo, hi))
+    return found
+
+
+def _ladder(target: int, chain: int, windows: list[tuple[Number, Number]], buckets: int) -> _Part:
+    """A part over all values of a target: its windows in buckets, and what lies before, between and behind as one each."""
+    whens, places = [], []
+    for i, (lo, hi) in enumerate(windows):
+        whens += [f"WHEN v < {_text(lo)} THEN {2 * i}", f"WHEN v <= {_text(hi)} THEN {2 * i + 1}"]
+        places += ["0", "0" if lo == hi else _bucket(_Span(target, lo, hi, 0, ()), buckets)]
+    slot = f"CASE WHEN v IS NULL OR g IS NULL THEN NULL {' '.join(whens)} ELSE {2 * len(windows)} END"
+    places.append("0")
+    return _Part((target,), slot, tuple(places), (chain,) * len(places))
+
+
+def _parts(targets: Sequence[Target], spans: Sequence[_Span], buckets: int) -> tuple[list[_Part], list[_Chain]]:
+    """The search inside ranges that are known to hold ranks."""
+    groups: dict[tuple, list[_Span]] = {}
+    for span in spans:
+        # Without ``by`` each target has the column to itself; with it, groups exclude each other.
+        t = targets[span.target]
+        groups.setdefault((t.column, t.by) if t.by else (span.target,), []).append(span)
+    parts, chains = [], []
+    for members in groups.values():
+        slot = " ".join(
+            f"WHEN g = {s.target} AND v BETWEEN {_text(s.lo)} AND {_text(s.hi)} THEN {i}" for i, s in enumerate(members)
+        )
+        numbers = tuple(range(len(chains), len(chains) + len(members)))
+        places = tuple(_bucket(s, buckets) for s in members)
+        parts.append(_Part(tuple(sorted({s.target for s in members})), f"CASE {slot} END", places, numbers))
+        chains += [_Chain(s.target, s.below, s.ranks) for s in members]
+    return parts, chains
+
+
+def _counted(
+    frame: DataFrame, targets: Sequence[Target], parts: Sequence[_Part], chains: Sequence[_Chain]
+) -> DataFrame:
+    """The buckets that hold the wanted ranks: chain, rows before it in the chain, rows, extents of value and ties."""
+    ties = sorted({targets[t].tie for part in parts for t in part.members} - {None})
+    rows = []
+    for number, part in enumerate(parts):
+        first = targets[part.members[0]]
+        group = reduce(
+            lambda whens, t: whens.when(targets[t].member(), t),
+            part.members[1:],
+            F.when(first.member(), part.members[0]),
+        )
+        value = _ranked(frame, first.column)
+        long = _kind(frame, first.column) == "bigint"
+        rows.append(
+            F.struct(
+                F.lit(number).alias("part"),
+                group.alias("g"),
+                (value if long else F.lit(None).cast("bigint")).alias("whole"),
+                (F.lit(None).cast("double") if long else value).alias("broken"),
+            )
+        )
+    # A row of the scan gives one row for each part, before the partial count.
+    each = frame.select(*ties, F.explode(F.array(*rows)).alias("row")).select(*ties, "row.*")
+    typed = {True: "whole", False: "broken"}
+
+    def of_part(text: str, number: int, part: _Part) -> str:
+        long = _kind(frame, targets[part.members[0]].column) == "bigint"
+        return f"WHEN {number} THEN " + re.sub(r"\bv\b", typed[long], text)
+
+    slots = " ".join(of_part(part.slot, n, part) for n, part in enumerate(parts))
+    places = " ".join(
+        of_part(f"CASE slot {' '.join(f'WHEN {i} THEN {p}' for i, p in enumerate(part.places))} END", n, part)
+        for n, part in enumerate(parts)
     )
-    slot = " ".join(
-        f"WHEN g = {s.target} AND v BETWEEN {_text(s.lo)} AND {_text(s.hi)} THEN {i}" for i, s in enumerate(spans)
+    chain = " ".join(
+        f"WHEN {n} THEN CASE slot {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(part.chains))} END"
+        for n, part in enumerate(parts)
     )
-    place = " ".join(f"WHEN {i} THEN {_bucket(s, buckets)}" for i, s in enumerate(spans))
     holds = " OR ".join(
-        f"slot = {i} AND before < {r - s.below} AND before + n >= {r - s.below}"
-        for i, s in enumerate(spans)
-        for r in s.ranks
+        f"chain = {i} AND before < {r - c.below} AND before + n >= {r - c.below}"
+        for i, c in enumerate(chains)
+        for r in c.ranks
     )
-    counted = (
-        frame.select(_ranked(frame, targets[members[0]].column).alias("v"), group.alias("g"))
-        .select("v", F.expr(f"CASE {slot} END").alias("slot"))
-        .filter("slot IS NOT NULL")
-        .groupBy("slot", F.expr(f"CASE slot {place} END").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    # At most BUCKETS rows per slot reach this window.
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("bucket"))
-    return (
-        counted.withColumn("before", upto - F.col("n"))
-        .filter(holds)
-        .selectExpr("slot", "before", "n", "string(lo) AS lo", "string(hi) AS hi")
+    slotted = each.withColumn("slot", F.expr(f"CASE part {slots} END")).where("slot IS NOT NULL")
+    bucketed = slotted.withColumn("bucket", F.expr(f"CAST(CASE part {places} END AS BIGINT)"))
+    counted = bucketed.groupBy("part", "slot", "bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(f(c).alias(f"{name}_{c}") for c in ("whole", "broken", *ties) for name, f in (("lo", F.min), ("hi", F.max))),
     )
+    # At most BUCKETS rows a range, and one for what lies between ranges, reach this window.
+    upto = F.sum("n").over(Window.partitionBy("chain").orderBy("slot", "bucket"))
+    numbered = counted.withColumn("chain", F.expr(f"CASE part {chain} END")).withColumn("before", upto - F.col("n"))
+    return numbered.where(holds)
+
+
+def _read(frame: DataFrame, target: Target, row: Row) -> Extent:
+    """The extent of a bucket."""
+    kind = "whole" if _kind(frame, target.column) == "bigint" else "broken"
+    ties = (row[f"lo_{target.tie}"], row[f"hi_{target.tie}"]) if target.tie else None
+    return Extent(row.n, row[f"lo_{kind}"], row[f"hi_{kind}"], ties=ties)
 
 
-def _extents(frame: DataFrame, targets: Sequence[Target]) -> list[tuple[int, str | None, str | None]]:
-    """Ranked rows, least and greatest value of every target, in one scan."""
+def _extents(frame: DataFrame, targets: Sequence[Target]) -> list[Extent]:
+    """Ranked rows, extent and sketched quantiles of every target, in one scan."""
     sums = []
-    for t in targets:
+    shares = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+    for i, t in enumerate(targets):
         v = F.when(t.member(), _ranked(frame, t.column)) if t.by else _ranked(frame, t.column)
-        sums.append(
-            F.struct(F.count(v).alias("n"), F.min(v).cast("string").alias("lo"), F.max(v).cast("string").alias("hi"))
+        kind = _kind(frame, t.column)
+        sketch, quantile = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
+        sums += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        sums.append(F.when(F.count(v) > 0, quantile(sketch(v, SKETCH), shares)).alias(f"grid{i}"))
+        if t.tie:
+            tie = F.when(v.isNotNull(), F.col(t.tie))
+            sums += [F.min(tie).alias(f"tie_lo{i}"), F.max(tie).alias(f"tie_hi{i}")]
+    row = frame.agg(*sums).first()
+    return [
+        Extent(
+            row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], tuple(row[f"grid{i}"] or ()),
+            (row[f"tie_lo{i}"], row[f"tie_hi{i}"]) if t.tie else None,
         )
-    return [tuple(e) for e in frame.agg(F.array(*sums).alias("extents")).first().extents]
+        for i, t in enumerate(targets)
+    ]
 
 
 def order_statistics(
-    frame: DataFrame, targets: Sequence[Target], buckets: int = BUCKETS
+    frame: DataFrame, targets: Sequence[Target], buckets: int = BUCKETS, known: Sequence[Extent] | None = None
 ) -> list[tuple[int, dict[int, Found]]]:
     """Ranked rows of each target and the exact values at its wanted ranks.
 
     Ranks beyond the rows are left out. ``frame`` is read once per pass and must
     not change between passes: stage it first. Only one row per wanted rank comes
-    back to the driver.
+    back to the driver. Targets whose extents are ``known`` need no first pass.
     """
     if not targets:
         return []
     found: list[dict[int, Found]] = [{} for _ in targets]
     spans: list[_Span] = []
 
-    def settle(target: int, extent: tuple[int, str, str], below: int, ranks: Sequence[int]) -> None:
+    def settle(target: int, extent: Extent, below: int, ranks: Sequence[int]) -> bool:
         """Record a range holding a single value; keep any other for the next pass."""
-        parse = int if _kind(frame, targets[target].column) == "bigint" else float
-        rows, lo, hi = extent[0], parse(extent[1]), parse(extent[2])
-        if lo == hi:
-            found[target].update({r: Found(lo, below, rows) for r in ranks})
-        else:
-            spans.append(_Span(target, lo, hi, below, tuple(ranks)))
-
-    extents = _extents(frame, targets)
+        if extent.lo == extent.hi:
+            found[target].update({r: Found(extent.lo, below, extent.rows, extent.ties) for r in ranks})
+            return True
+        if extent.rows == 2:  # the least and the greatest
+            ends = {1: Found(extent.lo, below, 1), 2: Found(extent.hi, below + 1, 1)}
+            found[target].update({r: ends[r - below] for r in ranks})
+            return True
+        if any(isinstance(end, float) and math.isinf(end) for end in (extent.lo, extent.hi)):
+            raise ValueError("cannot rank infinite values")
+        spans.append(_Span(target, extent.lo, extent.hi, below, tuple(ranks)))
+        return False
+
+    extents = list(known) if known is not None else _extents(frame, targets)
+    parts, chains = [], []
     for i, (target, extent) in enumerate(zip(targets, extents)):
-        ranks = sorted({r for r in target.ranks(extent[0]) if 1 <= r <= extent[0]})
-        if ranks:
-            settle(i, extent, 0, ranks)
-    while spans:
-        open_spans, spans = spans, []
-        parts: dict[tuple, list[_Span]] = {}
-        for span in open_spans:
-            # Without ``by`` each target has the column to itself; with it, groups exclude each other.
-            t = targets[span.target]
-            parts.setdefault((t.column, t.by) if t.by else (span.target,), []).append(span)
-        scans = [
-            _histogram(frame, targets, members, buckets).withColumn("part", F.lit(i))
-            for i, members in enumerate(parts.values())
-        ]
-        by_part = list(parts.values())
-        for row in reduce(DataFrame.unionByName, scans).collect():
-            span = by_part[row.part][row.slot]
-            below = span.below + row.before
-            settle(
-                span.target,
-                (row.n, row.lo, row.hi),
-                below,
-                [r for r in span.ranks if below < r <= below + row.n],
-            )
-    return [(extent[0], at) for extent, at in zip(extents, found)]
+        ranks = sorted({r for r in target.ranks(extent.rows) if 1 <= r <= extent.rows})
+        if ranks and not settle(i, extent, 0, ranks) and extent.grid:
+            spans.pop()
+            windows = _windows(extent, ranks)
+            parts.append(_ladder(i, len(chains), windows, max(2, buckets // len(windows))))
+            chains.append(_Chain(i, 0, tuple(ranks)))
+    while parts or spans:
+        if not parts:
+            parts, chains = _parts(targets, spans, buckets)
+            spans.clear()
+        for row in _counted(frame, targets, parts, chains).collect():
+            chain = chains[row.chain]
+            below = chain.below + row.before
+            inside = [r for r in chain.ranks if below < r <= below + row.n]
+            settle(chain.target, _read(frame, targets[chain.target], row), below, inside)
+        parts, chains = [], []
+    return [(extent.rows, at) for extent, at in zip(extents, found)]
 
 
 def interpolated_quantiles(frame: DataFrame, columns: Sequence[str], q: float) -> dict[str, float | None]:
@@ -247,15 +375,18 @@ def with_tiles(frame: DataFrame, key: str, scores: dict[str, str], tiles: int =
     a unique long, and the ranked columns long or double without nulls.
     """
     columns = list(scores.values())
-    cuts = [at for _, at in order_statistics(frame, [Target(c, lambda n: tile_starts(n, tiles)) for c in columns])]
+    wanted = [Target(c, lambda n: tile_starts(n, tiles), tie=key) for c in columns]
+    cuts = [at for _, at in order_statistics(frame, wanted)]
     # A tile may begin among rows of equal value; there the key decides.
-    ties: dict[tuple[str, Number], list[int]] = {}
+    ties: dict[tuple[str, Number], tuple[Extent, list[int]]] = {}
     for column, values in zip(columns, cuts):
         for start, at in values.items():
             if start - at.below > 1:
-                ties.setdefault((column, at.value), []).append(start - at.below)
-    in_tie = [Target(key, lambda _, ranks=ranks: ranks, column, value) for (column, value), ranks in ties.items()]
-    tie_keys = dict(zip(ties, (at for _, at in order_statistics(frame, in_tie))))
+                extent = Extent(at.equal, *at.ties)
+                ties.setdefault((column, at.value), (extent, []))[1].append(start - at.below)
+    in_tie = [Target(key, lambda _, ranks=ranks: ranks, column, value) for (column, value), (_, ranks) in ties.items()]
+    known = [extent for extent, _ in ties.values()]
+    tie_keys = dict(zip(ties, (at for _, at in order_statistics(frame, in_tie, known=known))))
 
     def reached(column: str, start: int, at: Found) -> str:
         rank = start - at.below

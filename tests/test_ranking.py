@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Window
@@ -111,5 +112,40 @@ def test_one_value_owning_most_rows(spark):
 def test_windows_of_the_search_are_partitioned(spark):
     frame = longs(spark, range(10))
     spans = [ranking._Span(0, 0, 9, 0, (3,))]
-    plan = ranking._histogram(frame, [Target("v", every)], spans, 4)._jdf.queryExecution().toString()
+    targets = [Target("v", every)]
+    plan = ranking._counted(frame, targets, *ranking._parts(targets, spans, 4))._jdf.queryExecution().toString()
     assert "Exchange SinglePartition" not in plan
+    windows = [ranking._ladder(0, 0, [(2, 3), (7, 8)], 4)]
+    plan = ranking._counted(frame, targets, windows, [ranking._Chain(0, 0, (3,))])._jdf.queryExecution().toString()
+    assert "Exchange SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("wrong", [0, 200])
+def test_a_wrong_sketch_costs_passes_only(spark, monkeypatch, wrong):
+    """Ranks that lie outside the windows are found all the same."""
+    values = [x * x for x in range(300)] + [77] * 40
+    honest = ranking._extents
+
+    def misled(frame, targets):
+        return [replace(e, grid=(e.grid[wrong],) * len(e.grid)) for e in honest(frame, targets)]
+
+    monkeypatch.setattr(ranking, "_extents", misled)
+    _, found = order_statistics(longs(spark, values), [Target("v", every)])[0]
+    assert [found[r].value for r in every(len(values))] == sorted(values)
+
+
+def test_sketches_halve_the_passes(spark, monkeypatch):
+    """Values over many magnitudes: equal value ranges would put nearly all of them into one bucket at first."""
+    rng = random.Random(9)
+    values = [int(10 ** (rng.random() * 17)) for _ in range(5000)]
+    scans, counted = [], ranking._counted
+    monkeypatch.setattr(ranking, "_counted", lambda *a: scans.append(1) or counted(*a))
+    frame = longs(spark, values).cache()
+    wanted = [500, 2500, 4000]
+    _, found = order_statistics(frame, [Target("v", lambda n: wanted)], 4096)[0]
+    assert [found[r].value for r in wanted] == [sorted(values)[r - 1] for r in wanted]
+    with_sketch = len(scans)
+    scans.clear()
+    extent = ranking.Extent(len(values), min(values), max(values))
+    order_statistics(frame, [Target("v", lambda n: wanted)], 4096, known=[extent])
+    assert with_sketch <= 2 < len(scans)
