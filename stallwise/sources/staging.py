@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from contextlib import suppress
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,28 @@ def use_checkpoints(spark: SparkSession) -> None:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     _clear_at_exit(spark)
-    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are given out inside, as a list that grows."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [other for other in _recorders if other is not paths]
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove staged folders. Frames that read them no longer work."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(frame: DataFrame, label: str) -> DataFrame:
@@ -58,10 +80,10 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Remove every folder this application has staged. Frames that read them no longer work."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, [application_folder(spark)])
 
 
+_recorders: list[list[str]] = []
 _at_exit: set[str] = set()
 
 

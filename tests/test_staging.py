@@ -33,3 +33,17 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster(warehouse):
     session.conf = {"spark.sql.warehouse.dir": warehouse, "spark.master": "spark://host:7077"}
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(session)
+
+
+def test_recorded_folders_can_be_removed(spark):
+    before = staging.stage(spark.range(3), "before")
+    with staging.recorded() as outer:
+        one = staging.stage(spark.range(4), "one")
+        with staging.recorded() as inner:
+            two = staging.stage(spark.range(5), "two")
+    three = staging.stage(spark.range(6), "three")
+    assert len(outer) == 2 and inner == outer[1:]
+    staging.remove(spark, inner)
+    assert [f.count() for f in (before, one, three)] == [3, 4, 6]
+    with pytest.raises(Exception, match="(?i)not exist|not_exist"):
+        two.count()
