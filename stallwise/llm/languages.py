@@ -52,22 +52,28 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Hashed counts of a text's character n-grams, taken over chunks of bounded size."""
+    """Hashed counts of a text's character n-grams, taken over chunks of bounded size.
+
+    A chunk begins with the last characters of the one before, and counts n-grams that end in its own.
+    """
     counts = np.zeros(FEATURES, np.float32)
-    for start in range(0, len(text), CHUNK_CHARS):
-        low = max(0, start - max(ORDERS) + 1) if start else 0
-        part = text[low : start + CHUNK_CHARS].lower()
-        points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+    text, carried = text.lower(), np.array([], np.uint64)
+    for start in range(0, max(len(text), 1), CHUNK_CHARS):
+        part = text[start : start + CHUNK_CHARS]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = (points >= 97) & (points <= 122) | (points >= 0xAA)
         points = np.where(letters, points, 32).astype(np.uint64)
-        points = np.concatenate(([32], points, [32])).astype(np.uint64)
+        ends = [[32]] if start + CHUNK_CHARS >= len(text) else []
+        points = np.concatenate([carried if start else [32], points, *ends]).astype(np.uint64)
         blank = points == 32
         points = points[~(blank & np.concatenate(([False], blank[:-1])))]  # runs of others are one blank
         grams = np.zeros(len(points), np.uint64)
         for order in ORDERS:
             grams = grams[: len(points) - order + 1] * np.uint64(0x100000001B3) + points[order - 1 :]
-            slot = (mix(grams, order) % np.uint64(FEATURES)).astype(np.int64)
+            own = grams[max(0, len(carried) - order + 1) :]
+            slot = (mix(own, order) % np.uint64(FEATURES)).astype(np.int64)
             counts += np.bincount(slot, minlength=FEATURES).astype(np.float32)
+        carried = points[-(max(ORDERS) - 1) :]
     return counts
 
 
@@ -138,9 +144,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, centroids: int = CENTROIDS) -> Model | None:
     """Fit on ``doc_id, text, lang``: at most ``rows`` texts of each language."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    drawn = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The rank is taken over keys alone; texts are fetched for the rows drawn.
-    keys = known.select("lang", "doc_id").withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= rows)
+    # The rank is taken over keys alone, and over those only whose hash is among a language's least by its number of
+    # texts, with room to spare; texts are fetched for the rows drawn.
+    keys = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"))
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).withColumnRenamed("lang", "of")
+    part = F.col("draw") / F.lit(2.0**64) + F.lit(0.5)
+    near = keys.join(sizes, F.col("lang") == F.col("of")).where(part <= F.lit(2.0 * rows + 100) / F.col("texts"))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    keys = near.withColumn("turn", turn).where(F.col("turn") <= rows)
     keys = stage(keys.select("doc_id").distinct(), "drawn")
     texts = known.join(F.broadcast(keys), known["doc_id"].eqNullSafe(keys["doc_id"]), "left_semi").select("lang", "text")
     with arrow_rows(labelled.sparkSession, TEXT_ROWS):

@@ -93,6 +93,63 @@ def test_jaccard_join_loses_no_link(spark, monkeypatch, seed):
     assert found == {i: (len(brute_shingles(t)), low[i]) for i, t in texts.items()}
 
 
+def template_families(seed, families, size, changed):
+    """Texts of templates within a template, most too far from each other; some near copies of them."""
+    draw = random.Random(seed)
+    whole = [f"t{i}" for i in range(400)]
+    texts = []
+    for family in range(families):
+        template = list(whole)
+        for place in draw.sample(range(400), 6 if families > 1 else 0):
+            template[place] = f"f{family}p{place}"
+        for member in range(size):
+            words = list(template)
+            for place in draw.sample(range(400), changed):
+                words[place] = f"f{family}m{member}p{place}"
+            texts.append(" ".join(words))
+            if draw.random() < 0.1:
+                words[draw.randrange(400)] = f"near{len(texts)}"
+                texts.append(" ".join(words))
+    draw.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("families, size, changed", [(1, 150, 5), (3, 50, 4), (1, 60, 3)])
+def test_families_of_a_template_do_not_cost_their_pairs(spark, monkeypatch, families, size, changed):
+    monkeypatch.setattr(jaccard, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(jaccard, "PAIRED", 8)
+    pairs, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda d, p: pairs.append(p.count()) or verified(d, p))
+    texts = template_families(7, families, size, changed)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
+    assert found == brute_components(texts)
+    assert sum(pairs) < 12 * len(texts)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ids_with_several_texts_lose_no_link(spark, monkeypatch, seed):
+    """Rows that share an id are one document: it is linked by any of its texts."""
+    monkeypatch.setattr(jaccard, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    draw = random.Random(seed)
+    texts = [*near_copies(seed).values(), *template_families(seed, 1, 20, 5).values()]
+    rows = [(draw.randrange(len(texts) * 2 // 3), text) for text in texts]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
+    whole = brute_components(dict(enumerate(texts)))
+    low = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed, least = False, {}
+        for (i, _), c in zip(rows, (whole[k] for k in range(len(rows)))):
+            least[c] = min(least.get(c, low[i]), low[i])
+        for (i, _), c in zip(rows, (whole[k] for k in range(len(rows)))):
+            if least[c] < low[i]:
+                low[i], changed = least[c], True
+    assert found == low
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)]
@@ -526,3 +583,114 @@ def test_archives_with_archives_inside(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     expected = Counter((n, len(p), hashlib.sha1(p).hexdigest(), True) for ps in (payloads, payloads[::-1]) for n, p in enumerate(ps))
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.intact) for r in rows) == expected
+
+
+def plain_grams(text):
+    """Hashed n-gram counts of one text, letter by letter."""
+    points = [32]
+    for c in (text.lower() if text else ""):
+        code = ord(c) if "a" <= c <= "z" or ord(c) >= 0xAA else 32
+        if code != 32 or points[-1] != 32:
+            points.append(code)
+    if points[-1] != 32:
+        points.append(32)
+    counts = np.zeros(languages.FEATURES)
+    for order in languages.ORDERS:
+        for k in range(len(points) - order + 1):
+            value = 0
+            for code in points[k : k + order]:
+                value = (value * 0x100000001B3 + code) % 2**64
+            counts[int(shingles.mix(np.array([value], np.uint64), order)[0] % np.uint64(languages.FEATURES))] += 1
+    return counts
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000, 200_000])
+def test_gram_counts_do_not_hang_on_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(languages, "CHUNK_CHARS", chunk)
+    for text in ["a", "É1x\n\n..y", "  two words ", "über  den — Fluß 12 ab", "x" * 300, " . " * 40 + "z"]:
+        assert np.array_equal(languages.gram_counts(text), plain_grams(text))
+
+
+def test_whole_language_query_against_plain_cosines(spark):
+    """Every prediction from counts, weights and cosines taken one by one, with the model's idf and centroids."""
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = languages.train(documents.where(fold != queries.HELD_OUT))
+    short = documents.where("length(text) < 1500")
+    found = {r.doc_id: r for r in queries.op6_language(spark, SF_DIR).collect()}
+    rows = short.collect()
+    assert len(rows) > 50
+    for row in rows:
+        counts = plain_grams(row.text)
+        vector = np.array([np.log1p(n) * w for n, w in zip(counts, model.idf)])
+        vector = vector / max(np.sqrt((vector**2).sum()), 1e-9)
+        best = [max(float(vector @ c) for c, owner in zip(model.centroids, model.owner) if owner == k) for k in range(len(model.languages))]
+        chosen = int(np.argmax(best))
+        share = 1 / sum(np.exp(languages.SHARPNESS * (b - best[chosen])) for b in best)
+        got = found[row.doc_id]
+        assert got.lang_pred == model.languages[chosen] or sorted(best)[-1] - sorted(best)[-2] < 1e-5
+        assert got.score == pytest.approx(share, abs=1e-3) and got.rejected == (best[chosen] < model.limit[chosen])
+
+
+def test_foreign_scripts_are_rejected(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = languages.train(documents)
+    texts = ["Это обычный русский текст о погоде", "这是一个中文的句子，没有空格。", "Ελληνικά κείμενα για δοκιμή " * 30, "これは日本語のテキストです"]
+    strange = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert all(r.rejected for r in languages.predict(strange, model).collect())
+    known = languages.predict(documents, model).where("lang_pred <> 'und'")
+    assert known.where("rejected").count() <= 0.01 * known.count()
+
+
+def test_language_sample_is_that_of_least_hashes(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    twice = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 10**9))
+    rows = twice.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    expected = set()
+    for lang in {r.lang for r in rows}:
+        expected |= {r.doc_id for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:5]}
+    drawn, original = [], languages.stage
+    try:
+        languages.stage = lambda frame, label: drawn.append(original(frame, label)) or drawn[-1]
+        languages.train(twice, rows=5)
+    finally:
+        languages.stage = original
+    assert {r.doc_id for r in drawn[0].collect()} == expected
+
+
+def test_whole_toxicity_score_against_plain_kernels(spark):
+    """Every score of short texts from brute-force kernels of each word with each landmark."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(documents, labels, texts=60, landmarks=6)
+    assert model.constant is None and 2 <= len(model.landmarks) <= 6
+    own = {m: brute_kernel(m, m) for m in model.landmarks}
+    known = {}
+
+    def similar(word):
+        core = word.strip(toxicity._EDGE)
+        core = core if core.isalnum() else toxicity._NOT_LETTER.sub("", core)
+        if core not in known:
+            row = [0.0] * len(model.landmarks)
+            if toxicity.P <= len(core) <= 14:
+                norm = brute_kernel(core, core)
+                for k, mark in enumerate(model.landmarks):
+                    value = brute_kernel(core, mark) / np.sqrt(norm * own[mark])
+                    row[k] = value if value >= toxicity.LEAST else 0.0
+            known[core] = np.array(row)
+        return known[core]
+
+    texts = documents.where("length(text) < 400").collect()
+    texts = [(r.doc_id, r.text) for r in texts if all(len(w) <= 14 for w in (r.text or "").split())][:25]
+    texts += [(-1, None), (-2, ""), (-3, f"such a {model.landmarks[0]}!"), (-4, " ".join(model.landmarks[0]) + " you")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    for doc_id, text in texts:
+        text = (text or "").lower()
+        alike = {w for w in toxicity.units(text) if similar(w).any()}
+        rows = [np.max([similar(w) for w in toxicity.units(s) if w in alike], axis=0)
+                for s in toxicity._SENTENCE.split(text) if toxicity.units(s) & alike]
+        if alike and not rows:
+            rows = [np.max([similar(w) for w in alike], axis=0)]
+        rows = np.array(rows) if rows else np.zeros((1, len(model.landmarks)))
+        assert found[doc_id] == pytest.approx(model.score(rows), abs=2e-3)
+    assert found[-3] > found[-2]
