@@ -296,7 +296,7 @@ def _model_registry(spark: SparkSession, sf: str) -> DataFrame:
     }
     found = []
     for name, table in tables.items():
-        fitted = registry.fitted(table, "eta", partial(models.train_eta, rounds=2), {"rounds": 2}, folder)
+        fitted = registry.fitted(table, "eta", partial(models.train_eta, rounds=1), {"rounds": 1}, folder)
         found.append(fitted.metrics.select(F.lit(name).alias("table"), "test_rows", F.lit(fitted.fresh).alias("fitted")))
     return reduce(DataFrame.unionByName, found)
 
