@@ -14,7 +14,9 @@ capped.
 Edge cases: a null text, of an item or a document, has no words. An item without
 words has no window; one of fewer than ten is one window. Repeated items count
 once by id. Repeated document rows are scanned and returned each. An empty
-benchmark hits nothing; an empty corpus gives no rows. Extra columns are ignored
+benchmark hits nothing; an empty corpus gives no rows. Texts of any length are scanned
+whole, in their row. Windows at one place are hits of all their items, and a word counts
+once however many windows hold it, so no tie is broken. Extra columns are ignored
 by ``find`` and returned unchanged by ``remove``.
 """
 

@@ -16,8 +16,9 @@ the rest, so a source with a third of all rows is spread over thousands of group
 Edge cases: a null or empty text has size 0 and is never taken. The null source is
 a source, last in order. Ties in the hash fall back to the id and the size;
 repeated rows lie next to each other and share one group. With no words at all
-every target is 0. An empty table gives no rows. Extra columns are ignored by
-``mix`` and returned unchanged by ``training_order``.
+every target is 0. Texts of any length count all their words. Sources are shared out in
+one task, a row each: that takes thousands of them, not millions. An empty table gives no
+rows. Extra columns are ignored by ``mix`` and returned unchanged by ``training_order``.
 """
 
 from __future__ import annotations

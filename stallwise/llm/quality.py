@@ -15,8 +15,10 @@ Edge cases: a null or empty text has no words and fails the base rules. Document
 with a null host form one group of their own, judged like a host. The documents have
 no url, so by default their ``source`` stands in for the host: one bad source takes
 all its clean documents along. Repeated rows
-are judged and returned each. An empty table gives no rows. Extra columns are
-ignored by the statistics and returned unchanged by ``keep``.
+are judged and returned each. Texts of any length are counted whole. Documents and hosts
+are judged each by itself, so there are no ties; a bound that equals the limit passes.
+An empty table gives no rows. Extra columns are ignored by the statistics and returned
+unchanged by ``keep``, which stages the rows next to their statistics.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ only if the chain of successors from the start of the file reaches it:
 Edge cases: a null html is an empty payload; a null url leaves out its header; CR
 and LF in a url are escaped. A null page id is written as an empty id and read as
 null; it is never the largest. Repeated rows of the largest id are responses each.
-A file that doesn't start with a record yields none. An empty table gives no rows.
+A file that doesn't start with a record yields none. A payload of any length is one record,
+held in memory whole by the task that writes or reads it. An empty table gives no rows.
 Extra columns are ignored.
 """
 
