@@ -136,17 +136,18 @@ def placed_events(
         return plus_minutes("at", minutes)
 
     ranges_of = _Ranges(bounds)
+    low, whole, own_range = "_first_range", "_in_one_range", "_range"
     reached = F.filter(F.expr(_events(kinds)), lambda e: e["reached"])
     each = F.transform(reached, lambda e: ranges_of.of(e["event_ts"]))
-    rows = sessions.withColumn("low", ranges_of.of(end(min)))
-    rows = rows.withColumn("whole", ~ranges_of.reaches(F.col("low"), end(max)))
-    touched = F.when(F.col("whole"), F.array("low")).otherwise(F.array_distinct(each))
+    rows = sessions.withColumn(low, ranges_of.of(end(min)))
+    rows = rows.withColumn(whole, ~ranges_of.reaches(F.col(low), end(max)))
+    touched = F.when(F.col(whole), F.array(low)).otherwise(F.array_distinct(each))
     # Outer, as a plain explode would test every array for rows once more, at the scan.
-    rows = rows.select(*sessions.columns, "whole", F.explode_outer(touched).alias("range")).where("range IS NOT NULL")
-    rows = rows.repartitionById(len(bounds) + 1, F.col("range"))
-    events = rows.select(*others, "whole", "range", F.expr(f"inline({_events(kinds)})")).where("reached")
-    own = F.col("whole") | (ranges_of.of(F.col("event_ts")) == F.col("range"))
-    return events.where(own).drop("whole", "range", "reached")
+    rows = rows.select(*sessions.columns, whole, F.explode_outer(touched).alias(own_range))
+    rows = rows.where(F.col(own_range).isNotNull()).repartitionById(len(bounds) + 1, F.col(own_range))
+    events = rows.select(*others, whole, own_range, F.expr(f"inline({_events(kinds)})")).where("reached")
+    own = F.col(whole) | (ranges_of.of(F.col("event_ts")) == F.col(own_range))
+    return events.where(own).drop(whole, own_range, "reached")
 
 
 def ordered_events(

@@ -72,6 +72,13 @@ def test_nulls_and_an_empty_table(spark):
     assert timeline.ordered_events(made(spark, rows).limit(0), KINDS, ranges=3).count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rows = made(spark, CASES["few"]).selectExpr("*", "1 AS low", "2 AS whole", "3 AS `range`", "4 AS ranges")
+    found = timeline.ordered_events(rows, KINDS, ranges=2)
+    assert found.columns == ["session_id", "n", "low", "whole", "range", "ranges", "event_ts", "event_name"]
+    assert {(r.low, r.whole, r["range"], r.ranges) for r in found.collect()} == {(1, 2, 3, 4)}
+
+
 def test_shuffle_carries_a_row_a_session(spark, make_orders, make_restaurants):
     orders = make_orders(*({"order_ts": START + timedelta(minutes=n * 11)} for n in range(2000)))
     frame = journeys.journey_timeline(orders, None, make_restaurants((1, "Thai", 4.0)), ranges=8)
