@@ -75,6 +75,8 @@ BLOCK = 3
 SECTION = 1024  # values of turn in a section
 BROADCAST_SECTIONS = 1_000_000  # rows of 20 bytes
 SECTION_ROWS = 64  # sections sent to Python at a time
+# Conversation and section as columns without nulls, so that a join needs no other partitioning than the groups have.
+KEY = ("conv", "no_conv", "part", "no_part")
 SPACES = " \t\n\v\f\r"
 
 
@@ -247,22 +249,17 @@ def damage(conversations: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """``conv_id, section, marks``: messages that occur more than once, and those seen in an earlier turn."""
-    keys = rows.where("copies > 0").select("conv_id", "section", "turn", "role", F.md5("text").alias("digest"), "copies")
-    times = keys.groupBy("conv_id", "section", "turn", "role", "digest").agg(F.sum("copies").alias("times"))
-    times = stage(times, "messages")
+    """The key of a section and ``marks``: messages that occur more than once, and those seen in an earlier turn."""
+    keys = rows.where("copies > 0").select(*KEY, "turn", "role", F.md5("text").alias("digest"), "copies")
+    times = stage(keys.groupBy(*KEY, "turn", "role", "digest").agg(F.sum("copies").alias("times")), "messages")
+    message = [*KEY[:2], "role", "digest"]
     when = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    seen = times.groupBy("conv_id", "role", "digest").agg(F.min(when).alias("first"), F.count(F.lit(1)).alias("turns"))
-    seen = seen.where("turns > 1").select("conv_id", "role", "digest", "first")
-    other = seen.select(*(F.col(c).alias(f"seen_{c}") for c in seen.columns))
-    same = F.lit(True)
-    for c in ("conv_id", "role", "digest"):
-        same = same & F.col(c).eqNullSafe(F.col(f"seen_{c}"))
-    late = F.coalesce(when > F.col("seen_first"), F.lit(False))
-    marks = times.join(other, same, "left").select("conv_id", "section", "turn", "role", "digest", "times", late.alias("late"))
-    marks = marks.where("times > 1 OR late")
+    seen = times.groupBy(*message).agg(F.min(when).alias("first"), F.count(F.lit(1)).alias("turns"))
+    seen = seen.where("turns > 1").drop("turns")
+    late = F.coalesce(when > F.col("first"), F.lit(False)).alias("late")
+    marks = times.join(seen, message, "left").select(*KEY, "turn", "role", "digest", "times", late)
     mark = F.struct("turn", "role", "digest", "times", "late")
-    return marks.groupBy("conv_id", "section").agg(F.collect_list(mark).alias("marks"))
+    return marks.where("times > 1 OR late").groupBy(*KEY).agg(F.collect_list(mark).alias("marks"))
 
 
 def sections(rows: DataFrame) -> DataFrame:
@@ -270,7 +267,9 @@ def sections(rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``conv_id, turn, role, text, copies``; none of the last three is null.
     """
-    rows = rows.withColumn("section", F.floor(F.col("turn") / F.lit(SECTION)))
+    section = F.floor(F.col("turn") / F.lit(SECTION))
+    key = [part for c in (F.col("conv_id"), section) for part in (F.coalesce(c, F.lit(0).cast("long")), c.isNull())]
+    rows = rows.select(*(part.alias(name) for part, name in zip(key, KEY)), "turn", "role", "text", "copies")
     end = F.substring(F.rtrim("text", F.lit(SPACES)), -1, 1)
     message = let(
         end,
@@ -279,11 +278,12 @@ def sections(rows: DataFrame) -> DataFrame:
             end.isin(".", "!", "?").alias("closed"), "text",
         ),
     )
-    held = rows.select("conv_id", "section", F.when(F.col("copies") > 0, message).alias("message"))
-    held = held.groupBy("conv_id", "section").agg(F.sort_array(F.collect_set("message")).alias("messages"))
-    marks = _marked(rows).select(F.col("conv_id").alias("c"), F.col("section").alias("s"), "marks")
-    here = held["conv_id"].eqNullSafe(marks["c"]) & held["section"].eqNullSafe(marks["s"])
-    held = held.join(marks, here, "left").select("conv_id", "section", "messages", "marks")
+    held = rows.select(*KEY, F.when(F.col("copies") > 0, message).alias("message"))
+    held = held.groupBy(*KEY).agg(F.sort_array(F.collect_set("message")).alias("messages"))
+    # Both sides lie by this key already.
+    held = held.join(_marked(rows), list(KEY), "left")
+    named = [F.when(~F.col(KEY[k + 1]), F.col(KEY[k])).alias(name) for k, name in ((0, "conv_id"), (2, "section"))]
+    held = held.select(*named, "messages", "marks")
     with arrow_rows(rows.sparkSession, SECTION_ROWS):
         return stage(held.mapInArrow(_summarised, f"{_SECTION}, {_SUMMARY}"), "sections")
 
