@@ -72,12 +72,16 @@ def give_back() -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """At most ``rows`` rows in each Arrow batch while a stage of wide rows is written."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def arrow_rows(spark: SparkSession, rows: int, size: int | None = None):
+    """At most ``rows`` rows, and about ``size`` bytes, in each Arrow batch while a stage of wide rows is written."""
+    wanted = {"maxRecordsPerBatch": str(rows)} | ({"maxBytesPerBatch": f"{size}b"} if size else {})
+    before = {}
+    for key, value in wanted.items():
+        name = f"spark.sql.execution.arrow.{key}"
+        before[name] = spark.conf.get(name)
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

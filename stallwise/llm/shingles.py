@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
+GROUP_BYTES = 1_000_000  # of texts whose words are held at a time
 CHUNK_BYTES = 256_000  # text hashed at a time; bounds memory for texts of any length
 
 _random = np.random.default_rng(np.random.PCG64(20_240_607))
@@ -81,9 +82,15 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty for a null or a text without words."""
+    if not len(texts):
+        return
     texts = texts.cast(pa.large_string()).fill_null("")
-    for start in range(0, len(texts), 256):
-        part = texts.slice(start, 256)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    start = 0
+    while start < len(texts):  # a group of texts at a time, of any length if it is one
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GROUP_BYTES, "right")) - 1)
+        part = texts.slice(start, stop - start)
+        start = stop
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
         words, first = word_hashes(data, offsets)
