@@ -23,7 +23,7 @@ from stallwise.session import local_session  # noqa: E402
 
 ONCE = (
     "eta_model_metrics", "cancel_model_metrics", "score_eta", "score_cancellation_risk", "score_validated",
-    "model_round_trip",
+    "model_round_trip", "model_registry",
 )
 
 
