@@ -46,7 +46,7 @@ def labelled(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["model_registry", "score_eta", "score_cancellation_risk"],
+    ["model_registry", "score_eta", "score_cancellation_risk", "score_validated"],
 )
 def test_orders_and_lines_are_joined_once(spark, monkeypatch, market, name):
     asked = []
