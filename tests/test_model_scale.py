@@ -5,9 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
-from stallwise.operators import features, registry
+from stallwise.operators import features, models, registry
 from stallwise.plans.workload import QUERIES
 from stallwise.sources import standins
 
@@ -46,7 +47,7 @@ def labelled(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["model_registry", "score_eta", "score_cancellation_risk", "score_validated"],
+    ["model_registry", "score_eta", "score_cancellation_risk", "score_validated", "eta_model_metrics"],
 )
 def test_orders_and_lines_are_joined_once(spark, monkeypatch, market, name):
     asked = []
@@ -65,3 +66,23 @@ def test_orders_and_lines_are_joined_once(spark, monkeypatch, market, name):
 def test_a_split_is_used_without_looking_for_its_cuts_again(labelled, stratify):
     split = plan(features.train_test_split(labelled, stratify=stratify))
     assert "Window" not in split and "Aggregate" not in split
+
+
+@pytest.mark.parametrize("kind, trainer", [("GBTRegressor", models.train_eta), ("GBTClassifier", models.train_cancel)])
+def test_trainer_tasks_hold_a_bounded_number_of_rows(monkeypatch, labelled, kind, trainer):
+    sizes, booster = [], getattr(models, kind)
+
+    class Counting(Estimator):
+        def __init__(self, inner):
+            super().__init__()
+            self.inner = inner
+
+        def _fit(self, rows):
+            sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect())
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(models, kind, lambda **settings: Counting(booster(**settings)))
+    monkeypatch.setattr(models, "PARTITION_ROWS", 100, raising=False)
+    _, metric = trainer(labelled, rounds=1)
+    assert sum(sizes) == 800 and max(sizes) <= 200
+    assert metric.first().test_rows == 200
