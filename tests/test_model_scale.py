@@ -47,7 +47,7 @@ def labelled(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["model_registry", "score_eta", "score_cancellation_risk", "score_validated", "eta_model_metrics", "cancel_model_metrics"],
+    ["model_registry", "score_eta", "score_cancellation_risk", "score_validated", "eta_model_metrics", "cancel_model_metrics", "model_round_trip"],
 )
 def test_orders_and_lines_are_joined_once(spark, monkeypatch, market, name):
     asked = []
